@@ -52,9 +52,9 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         texts.select("i", row_key(F.col("t")).alias("row_key"), F.posexplode(F.split("t", "\n")).alias("place", "line"))
         .select("i", "row_key", "place", tokens(F.col("line")).alias("w"))
         .select("i", "row_key", "place", F.size("w").alias("n"), signatures(F.col("w")).alias("s"))
-        .where(F.size("s") > 0)
     )
-    lines = stored(lines, "lines")  # hashes and counts only: the texts are parsed once
+    # Hashes and counts only: the texts are parsed once. (A filter on "s" here would be pushed down with all it is made of.)
+    lines = stored(lines, "lines")
     each = lines.select("i", "row_key", F.explode("s").alias("s")).groupBy("s", "row_key").agg(F.min("i").alias("i"))
     first = F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("row_key").alias("k"))
     templates = each.groupBy("s").agg(F.count("*").alias("texts"), F.min(first).alias("first")).where(F.col("texts") >= least).select("s", F.col("first.k").alias("owner"))
