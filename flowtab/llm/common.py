@@ -54,6 +54,21 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+#: Ways in which the rows of one key are dealt out in a salted join.
+SALTS = 16
+
+
+def salted_left(left: DataFrame, right: DataFrame, left_key: str, right_key: str, salt: Column) -> DataFrame:
+    """Left join on one key, hot keys of the left side dealt to ``SALTS`` tasks by ``salt``, a hash of what tells its rows apart.
+
+    For a right side that has few rows against the left one, as each of them is sent ``SALTS`` times.
+    """
+    dealt = left.withColumn("__ft_salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
+    copies = right.withColumn("__ft_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = dealt.join(copies, (F.col(left_key) == F.col(right_key)) & (F.col("__ft_salt") == F.col("__ft_copy")), "left")
+    return joined.drop("__ft_salt", "__ft_copy")
+
+
 def per_row(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: str) -> DataFrame:
     """Map rows to rows in Arrow batches.
 

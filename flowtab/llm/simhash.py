@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_row, row_key, use_checkpoints
+from .common import per_row, row_key, salted_left, use_checkpoints
 
 _LOW = 0x5555555555555555
 _HALF = 0xFFFFFFFF
@@ -149,14 +149,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     use_checkpoints(df.sparkSession)
     docs = fingerprints(df, id_col, text_col).checkpoint()
-    least = docs.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
+    least = docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).checkpoint()
     groups = components(links(least.select("fp")))
     joined = groups.join(least, groups.node == least.fp)
     roots = joined.groupBy("root").agg(F.min("least").alias("id"))
     linked = joined.select("fp", "root").join(roots, "root").select("fp", "root", "id")
-    # Every fingerprint once, so that the join below meets one row for each key, however hot.
-    final = least.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component_fp"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("id")).alias("component_id"))
-    return docs.join(final, "fp").select("doc_id", "row_key", "fp", "component_fp", "component_id")
+    # Only fingerprints that are linked or met more than once tell a row anything; a hot one is dealt to many tasks.
+    shared = (
+        least.join(linked, "fp", "left")
+        .where("root is not null or n > 1")
+        .select(F.col("fp").alias("k"), F.coalesce("root", "fp").alias("component_fp"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("id")).alias("id"))
+    )
+    met = salted_left(docs, shared, "fp", "k", F.xxhash64("doc_id", "row_key"))
+    alone = F.col("k").isNull()
+    return met.select("doc_id", "row_key", "fp", F.coalesce("component_fp", "fp").alias("component_fp"), F.when(alone, F.col("doc_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,14 +174,15 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     marked = near_duplicates(df, id_col, text_col).select("doc_id", "row_key", "component_fp").checkpoint()
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("row_key").alias("k"))
-    winners = marked.groupBy("component_fp").agg(F.min(rank).alias("w"))
     rows = marked.groupBy("doc_id", "row_key", "component_fp").agg(F.count("*").alias("n"))
+    # A row alone in its component stays, so only the components of more rows are looked at.
+    winners = marked.groupBy("component_fp").agg(F.min(rank).alias("w"), F.count("*").alias("rows")).where(F.col("rows") > 1).select(F.col("component_fp").alias("k"), "w")
     verdicts = (
-        rows.join(winners, "component_fp")
+        salted_left(rows, winners, "component_fp", "k", F.xxhash64("doc_id", "row_key"))
+        .where("k is not null")
         .select("doc_id", "row_key", "n", (F.col("doc_id").eqNullSafe(F.col("w.i")) & (F.col("row_key") == F.col("w.k"))).alias("wins"))
         .where("not wins or n > 1")
-        .select(F.col("doc_id").alias("__ft_id"), F.col("row_key").alias("__ft_key"), "wins")
-        .withColumnRenamed("wins", "__ft_wins")
+        .select(F.col("doc_id").alias("__ft_id"), F.col("row_key").alias("__ft_key"), F.col("wins").alias("__ft_wins"))
     )
     keyed = df.withColumn("__ft_row", row_key(F.col(text_col)))
     met = keyed.join(verdicts, F.col(id_col).eqNullSafe(F.col("__ft_id")) & (F.col("__ft_row") == F.col("__ft_key")), "left")
