@@ -67,13 +67,13 @@ def progress(df: DataFrame, freq: int, by: str = "meter") -> DataFrame:
     sofar = w.rowsBetween(Window.unboundedPreceding, 0)
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     out = (
-        df.withColumn("at", F.row_number().over(w) - 1)
+        df.withColumn("iteration", F.row_number().over(w) - 1)
         .withColumn("rows", F.count("*").over(Window.partitionBy(by)))
         .withColumn("iter_s", seconds - F.lag(seconds).over(w))
         .withColumn("mean_s", F.avg("iter_s").over(sofar))
-        .withColumn("eta_s", F.col("mean_s") * (F.col("rows") - F.col("at") - 1))
+        .withColumn("eta_s", F.col("mean_s") * (F.col("rows") - F.col("iteration") - 1))
     )
-    return out.where((F.col("at") % freq == 0) | (F.col("at") == F.col("rows") - 1)).select(by, "step", F.col("at").cast("bigint").alias("at"), "iter_s", "mean_s", "eta_s")
+    return out.where((F.col("iteration") % freq == 0) | (F.col("iteration") == F.col("rows") - 1)).select(by, "step", F.col("iteration").cast("bigint").alias("iteration"), "iter_s", "mean_s", "eta_s")
 
 
 def format_meters(df: DataFrame, delimiter: str = "  ") -> DataFrame:

@@ -628,19 +628,19 @@ def _v_sql(z: str, t: float, scale: float, low: float, high: float) -> str:
 def _sampled_sql(source: str, method: str, steps: int, scale: float = 1.0, low: float = 0.0, high: float = 1.0) -> str:
     """CTEs z0, z1, ... for the steps of a sampler."""
     base = (
-        f"{PR}, {_MEANS}, z0 AS (SELECT pr.id, pr.pos, pr.label, target, condition, c.mu, c.var, n.mu AS nmu, n.var AS nvar, {source} AS z "
+        f"{PR}, {_MEANS}, z0 AS MATERIALIZED (SELECT pr.id, pr.pos, pr.label, target, condition, c.mu, c.var, n.mu AS nmu, n.var AS nvar, {source} AS z "
         "FROM pr JOIN c ON pr.label = c.label AND pr.pos = c.pos JOIN c n ON n.label = 10 AND n.pos = pr.pos)"
     )
     out, keep = [base], "id, pos, label, target, condition, mu, var, nmu, nvar"
     for k in range(steps):
         t, u = k / steps, (k + 1) / steps
         last = method == "euler" or k == steps - 1
-        out.append(f"e{k} AS (SELECT {keep}, z, {_v_sql('z', t, scale, low, high)} AS a FROM z{k})")
+        out.append(f"e{k} AS MATERIALIZED (SELECT {keep}, z, {_v_sql('z', t, scale, low, high)} AS a FROM z{k})")
         if last:
-            out.append(f"z{k + 1} AS (SELECT {keep}, z + ({u!r}::DOUBLE - {t!r}::DOUBLE) * a AS z FROM e{k})")
+            out.append(f"z{k + 1} AS MATERIALIZED (SELECT {keep}, z + ({u!r}::DOUBLE - {t!r}::DOUBLE) * a AS z FROM e{k})")
         else:
-            out.append(f"f{k} AS (SELECT {keep}, z, a, z + ({u!r}::DOUBLE - {t!r}::DOUBLE) * a AS y FROM e{k})")
-            out.append(f"z{k + 1} AS (SELECT {keep}, z + ({u!r}::DOUBLE - {t!r}::DOUBLE) * 0.5 * (a + {_v_sql('y', u, scale, low, high)}) AS z FROM f{k})")
+            out.append(f"f{k} AS MATERIALIZED (SELECT {keep}, z, a, z + ({u!r}::DOUBLE - {t!r}::DOUBLE) * a AS y FROM e{k})")
+            out.append(f"z{k + 1} AS MATERIALIZED (SELECT {keep}, z + ({u!r}::DOUBLE - {t!r}::DOUBLE) * 0.5 * (a + {_v_sql('y', u, scale, low, high)}) AS z FROM f{k})")
     return ", ".join(out)
 
 
@@ -706,9 +706,10 @@ def i1_rolling_meters(spark, sf_dir):
     return meters.rolling_meters(X.metric_rows(spark, sf_dir)).withColumn("mean", rounded(F.col("mean")))
 
 
-@query(f"WITH {METRICS}, r AS ({_ROLLING}) SELECT meter, step, {R('g')} AS global_avg FROM r")
+@query(f"WITH {METRICS}, r AS ({_ROLLING}) SELECT meter, step, {R('g * pi()', 8)} AS global_avg_pi FROM r")
 def i2_global_average(spark, sf_dir):
-    return meters.global_average(X.metric_rows(spark, sf_dir)).withColumn("global_avg", rounded(F.col("global_avg")))
+    out = meters.global_average(X.metric_rows(spark, sf_dir))
+    return out.select("meter", "step", rounded(F.col("global_avg") * F.pi(), 8).alias("global_avg_pi"))  # so that no value is a rounding tie
 
 
 @query(f"WITH {METRICS} SELECT meter, sum(n)::BIGINT AS count, {R('sum(value * n)', 4)} AS total, {R('sum(value * n) / sum(n)')} AS global_avg FROM m GROUP BY meter")
@@ -728,9 +729,9 @@ def i5_thin_log(spark, sf_dir):
 
 
 @query(
-    f"WITH {METRICS}, a AS (SELECT meter, step, row_number() OVER w - 1 AS at, count(*) OVER (PARTITION BY meter) AS rows, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS iter_s FROM m WINDOW w AS (PARTITION BY meter ORDER BY step)), "
+    f"WITH {METRICS}, a AS (SELECT meter, step, row_number() OVER w - 1 AS iteration, count(*) OVER (PARTITION BY meter) AS rows, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS iter_s FROM m WINDOW w AS (PARTITION BY meter ORDER BY step)), "
     "b AS (SELECT *, avg(iter_s) OVER (PARTITION BY meter ORDER BY step ROWS UNBOUNDED PRECEDING) AS mean_s FROM a) "
-    f"SELECT meter, step, at, {R('iter_s')} AS iter_s, {R('mean_s')} AS mean_s, {R('mean_s * (rows - at - 1)', 3)} AS eta_s FROM b WHERE at % 50 = 0 OR at = rows - 1"
+    f"SELECT meter, step, iteration, {R('iter_s')} AS iter_s, {R('mean_s')} AS mean_s, {R('mean_s * (rows - iteration - 1)', 3)} AS eta_s FROM b WHERE iteration % 50 = 0 OR iteration = rows - 1"
 )
 def i6_progress(spark, sf_dir):
     out = meters.progress(X.metric_rows(spark, sf_dir).select("meter", "step", "ts"), 50)
@@ -761,12 +762,12 @@ def _streamed(spark, sf_dir, make, start):
 
 
 @query(
-    f"WITH {METRICS}, r AS ({_ROLLING}) SELECT meter, step, l[(len(l) + 1) // 2] AS median, {R('mean')} AS mean, max, latest, {R('g')} AS global_avg, 0::BIGINT AS late FROM r"
+    f"WITH {METRICS}, r AS ({_ROLLING}) SELECT meter, step, l[(len(l) + 1) // 2] AS median, {R('mean')} AS mean, max, latest, {R('g * pi()', 8)} AS global_avg_pi, 0::BIGINT AS late FROM r"
 )
 def i8_stream_meters(spark, sf_dir):
     start = lambda df, out, marks: df.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start()
     out = _streamed(spark, sf_dir, streams.stream_meters, start)
-    return out.withColumns({"mean": rounded(F.col("mean")), "global_avg": rounded(F.col("global_avg"))})
+    return out.withColumns({"mean": rounded(F.col("mean")), "global_avg_pi": rounded(F.col("global_avg") * F.pi(), 8)}).drop("global_avg")
 
 
 @query("SELECT event_type AS meter, event_id AS step FROM events WHERE event_id % 97 = 3")
