@@ -11,7 +11,7 @@ from ..functions import arrays as A
 from ..operators import metrics
 from ..operators.images import halving_center_crop
 from ..operators.order import generation_plan, global_index
-from ..sources.images import read_images, read_labeled_images
+from ..sources.images import read_images, read_labeled_images, relative
 from ..sources.sinks import export_images, export_name, write_metric_log
 from .scoring import Predictor, generate, restore
 
@@ -19,10 +19,11 @@ from .scoring import Predictor, generate, restore
 def prepare_reference_set(spark: SparkSession, root: str, size: int, transform: Callable | None = None) -> DataFrame:
     """``idx, label, file_name, content`` of all training images, cut to ``size``, numbered by class and path."""
     listed = read_labeled_images(spark, root).withColumn("__ft_order", F.split("rel", "/"))
-    numbered = global_index(listed, ["label", "__ft_order"]).select("path", "label", "idx")
-    images = read_images(spark, f"{root.rstrip('/')}/train").withColumn("pixels", F.col("pixels").cast("array<double>"))
+    numbered = global_index(listed, ["label", "__ft_order"]).select("rel", "label", "idx")
+    train = f"{root.rstrip('/')}/train"
+    images = read_images(spark, train).withColumns({"rel": relative("path", train), "pixels": F.col("pixels").cast("array<double>")})
     cut = halving_center_crop(images, size, transform)
-    named = cut.join(numbered, "path").withColumn("file_name", export_name("reference", index=F.col("idx")))
+    named = cut.join(numbered, "rel").withColumn("file_name", export_name("reference", index=F.col("idx")))
     files = export_images(named)
     return named.select("idx", "label", "file_name").join(files, "file_name").select("idx", "label", "file_name", "content")
 

@@ -30,11 +30,16 @@ def image_paths(df: DataFrame, path: str = "path") -> DataFrame:
     return df.where(suffix(path).isin(*EXTENSIONS))
 
 
+def relative(path: Column | str, root: str) -> Column:
+    """A path below its root; schemes and authorities are spelt differently by Spark's sources."""
+    base = root.rstrip("/").split(":")[-1].lstrip("/")
+    return F.substring_index(path, base + "/", -1)
+
+
 def scan_images(spark: SparkSession, root: str, index: bool = False) -> DataFrame:
     """``path, rel`` of all images below a folder; contents are not read. ``index`` adds ``idx``, by path components."""
     paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    base = root.rstrip("/").split(":")[-1].lstrip("/")
-    found = image_paths(paths).withColumn("rel", F.substring_index("path", base + "/", -1))
+    found = image_paths(paths).withColumn("rel", relative("path", root))
     return global_index(found.withColumn("__ft_order", F.split("rel", "/")), ["__ft_order"]).drop("__ft_order") if index else found
 
 
