@@ -49,6 +49,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever characters the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def row_key(text: Column) -> Column:
     """Tells apart rows of one id that have different texts; equal rows get equal keys."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -21,7 +21,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row, row_key, use_checkpoints
+from .common import columns_of, per_row, row_key, use_checkpoints
 
 SCOPE = 200
 #: Base kinds, in the order in which spans of one start are listed; weak kinds come after them.
@@ -148,7 +148,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.length(text_col)))
     cleaned = F.when(F.col("__ft_spans").isNull(), F.col(text_col)).otherwise(F.aggregate("__ft_spans", start, step, rest))
-    return met.withColumn(text_col, cleaned).select(*df.columns)
+    return met.withColumn(text_col, cleaned).select(*columns_of(df))
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:

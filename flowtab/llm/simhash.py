@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_row, row_key, salted_left, use_checkpoints
+from .common import columns_of, per_row, row_key, salted_left, use_checkpoints
 
 _LOW = 0x5555555555555555
 _HALF = 0xFFFFFFFF
@@ -186,12 +186,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     keyed = df.withColumn("__ft_row", row_key(F.col(text_col)))
     met = keyed.join(verdicts, F.col(id_col).eqNullSafe(F.col("__ft_id")) & (F.col("__ft_row") == F.col("__ft_key")), "left")
-    single = met.where("__ft_wins is null").select(*df.columns)
-    order = F.xxhash64(*(F.col(c) for c, t in df.dtypes if "map<" not in t and "variant" not in t))
+    single = met.where("__ft_wins is null").select(*columns_of(df))
+    order = F.xxhash64(*(c for c, (_, t) in zip(columns_of(df), df.dtypes, strict=True) if "map<" not in t and "variant" not in t))
     repeated = (
         met.where("__ft_wins")
         .withColumn("__ft_n", F.row_number().over(Window.partitionBy(id_col, "__ft_row").orderBy(order)))
         .where("__ft_n = 1")
-        .select(*df.columns)
+        .select(*columns_of(df))
     )
     return single.union(repeated)
