@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -20,11 +21,33 @@ def fold(doc_id: Column) -> Column:
 
 def word_terms(word: str) -> list[str]:
     """A word and its beginnings, which compounds and inflections share."""
-    return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n)]
+    return [word, *beginnings(word)]
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+def beginnings(word: str) -> list[str]:
+    return [f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n]
+
+
+def word_counts(text: str | None) -> dict[str, int]:
+    return Counter(_WORD.findall(text.lower())) if text else {}
+
+
+def is_frequent(count: int, words: int) -> bool:
+    """Whether a beginning is frequent in a text: twice or more, and in one word of a hundred."""
+    return count >= 2 and 100 * count >= words
+
+
+def text_terms(text: str | None) -> set[str]:
+    """Words, beginnings, and once more the beginnings that are frequent in the text."""
+    words = word_counts(text)
+    total, found = sum(words.values()), set(words)
+    starts: Counter[str] = Counter()
+    for word, n in words.items():
+        for start in beginnings(word):
+            starts[start] += n
+    found.update(starts)
+    found.update(f"{start}+" for start, n in starts.items() if is_frequent(n, total))
+    return found
 
 
 def hashed(term: str) -> int:
@@ -62,12 +85,12 @@ def sample_features(df: DataFrame, ids: DataFrame, make: Callable, columns: list
     return got.groupBy("doc_id").agg(*(F.min_by(c, "k").alias(c) for c in names)).checkpoint()
 
 
-def telling_terms(sample: DataFrame, most: int, least_documents: int = 4) -> list[int]:
-    """The at most ``most`` terms of ``sample(y, terms)`` with the largest chi-square against the label."""
+def telling_terms(sample: DataFrame, most: int, least_documents: int = 4, least: float = 12.0) -> list[int]:
+    """The at most ``most`` terms of ``sample(y, terms)`` with the largest chi-square against the label, ``least`` or more."""
     n, pos = sample.agg(F.count("y"), F.sum("y")).first()
     if not n or not pos or pos == n:
         return []
     df = sample.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("d"), F.sum("y").alias("p")).where(F.col("d") >= least_documents)
     expected = F.col("d") * pos / n
     chi = (F.col("p") - expected) ** 2 / expected + (F.col("d") - F.col("p") - F.col("d") * (n - pos) / n) ** 2 / (F.col("d") * (n - pos) / n)
-    return [r.t for r in df.select("t", chi.alias("chi")).orderBy(F.desc("chi"), "t").limit(most).collect()]
+    return [r.t for r in df.select("t", chi.alias("chi")).where(F.col("chi") >= least).orderBy(F.desc("chi"), "t").limit(most).collect()]

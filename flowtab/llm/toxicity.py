@@ -1,6 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its words (letters, lower case) and of their beginnings, as 64-bit hashes. Of a bounded
+A text is the set of its words (letters, lower case), of their beginnings, and of the beginnings that are frequent in
+it, as 64-bit hashes. Of a bounded
 sample of labelled documents Spark counts the terms by label and keeps those that tell most (chi-square), so a model
 has a fixed size and strangers fall on no weight by chance. The machine has a weight and a vector for each term:
 ``score = sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>)``; the pairs are had as half of the squared
@@ -18,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_row, row_key
-from .learn import fold, hashed, labelled_ids, sample_features, telling_terms, word_terms, words_of
+from .learn import beginnings, fold, hashed, is_frequent, labelled_ids, sample_features, telling_terms, text_terms, word_counts, word_terms
 
 #: Bounds: labelled documents to learn from, terms of the model, length of a term's vector, words in a worker's memo.
 SAMPLE, MOST_TERMS, RANK, MEMO = 16_000, 4_096, 8, 300_000
 
 
 def _terms(text: str | None) -> list[int]:
-    return sorted({hashed(t) for w in words_of(text) for t in word_terms(w)})
+    return sorted(map(hashed, text_terms(text)))
 
 
 class FactorizationMachine:
@@ -36,13 +37,13 @@ class FactorizationMachine:
 
         self.index = {t: i for i, t in enumerate(terms)}
         self.w0, self.w, self.v = 0.0, np.zeros(len(terms)), np.zeros((len(terms), rank))
-        self._memo: dict[str, tuple[int, ...]] = {}
+        self._memo: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_memo": {}}
 
-    def fit(self, rows: list[list[int]], y: list[int], epochs: int = 12, batch: int = 256, step: float = 0.02, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
-        """Adam on the logistic loss; weights and vectors decay."""
+    def fit(self, rows: list[list[int]], y: list[int], updates: int = 1_000, batch: int = 256, step: float = 0.02, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+        """Adam on the logistic loss; weights and vectors decay. As many updates on a small sample as on a large one."""
         import numpy as np
 
         rng, labels = np.random.default_rng(seed), np.array(y, float)
@@ -57,7 +58,7 @@ class FactorizationMachine:
         flat = np.array([i for r in rows for i in r], np.int64)
         theta = np.concatenate([[self.w0], self.w, self.v.ravel()])
         m, s, t = np.zeros_like(theta), np.zeros_like(theta), 0
-        for _ in range(epochs):
+        for _ in range(max(1, round(updates * batch / len(labels)))):
             order = rng.permutation(len(labels))
             for at in range(0, len(order), batch):
                 rows_now = order[at : at + batch]
@@ -88,14 +89,19 @@ class FactorizationMachine:
         """Probability of label 1."""
         from math import exp
 
-        found: set[int] = set()
-        for word in words_of(text):
+        words, get = word_counts(text), self.index.get
+        total, found, often = sum(words.values()), set(), {}
+        for word, n in words.items():
             got = self._memo.get(word)
             if got is None:
                 if len(self._memo) >= MEMO:
                     self._memo.clear()
-                got = self._memo[word] = tuple(i for t in word_terms(word) if (i := self.index.get(hashed(t))) is not None)
-            found.update(got)
+                terms = [get(hashed(t)) for t in word_terms(word)], [get(hashed(f"{t}+")) for t in beginnings(word)]
+                got = self._memo[word] = tuple(tuple(i for i in numbers if i is not None) for numbers in terms)
+            found.update(got[0])
+            for i in got[1]:
+                often[i] = often.get(i, 0) + n
+        found.update(i for i, n in often.items() if is_frequent(n, total))
         return 1 / (1 + exp(-min(30.0, max(-30.0, self.logit(sorted(found))))))
 
 
