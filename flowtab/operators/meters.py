@@ -1,10 +1,20 @@
-"""Training meters: rows ``meter, step, value, n`` (and ``rank``), smoothed with windows."""
+"""Training meters: rows ``meter, step, value, n`` (and ``rank``), smoothed with windows.
+
+A meter may hold a third of all rows, so no window spans a whole meter. Rows are numbered in the order of (meter, step) and cut
+into blocks of equal size; a sliding window gets the few rows before its block as context, a running total the sums of the
+blocks before.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import global_index
+
+#: Rows of one block.
+BLOCK = 1 << 17
+
 
 def drop_nulls_check_numeric(df: DataFrame, value: str = "value") -> DataFrame:
     """Leave out nulls; a value that is no number is an error."""
@@ -28,17 +38,39 @@ def lower_median(values: Column) -> Column:
     return F.element_at(F.array_sort(values), F.floor((F.size(values) + 1) / 2).cast("int"))
 
 
-def rolling_meters(df: DataFrame, window: int = 20) -> DataFrame:
+def _blocks(df: DataFrame, by: str, context: int, size: int) -> DataFrame:
+    """Number the rows and add ``__ft_block``; each block also gets the ``context`` rows before it, marked ``__ft_extra``."""
+    numbered = global_index(df, [by, "step"], "__ft_i")
+    block = F.floor(F.col("__ft_i") / size)
+    # A row belongs to its block, and is context for the next one if that begins within ``context`` rows.
+    later = F.when((F.col("__ft_i") % size) >= size - context, F.array(block, block + 1)).otherwise(F.array(block))
+    return numbered.withColumn("__ft_own", block).withColumn("__ft_block", F.explode(later)).withColumn("__ft_extra", F.col("__ft_block") != F.col("__ft_own"))
+
+
+def _totals_before(blocks: DataFrame, by: str, **sums: Column) -> DataFrame:
+    """Per (meter, block): the meter's sums over all earlier blocks. There is one row for each meter and block."""
+    each = blocks.where("not __ft_extra").groupBy(by, "__ft_block").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    w = Window.partitionBy(by).orderBy("__ft_block").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select(by, "__ft_block", *(F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in sums))
+
+
+def rolling_meters(df: DataFrame, window: int = 20, block: int = BLOCK) -> DataFrame:
     """Median, mean, maximum and latest value over the last ``window`` steps of each meter."""
-    w = Window.partitionBy("meter").orderBy("step").rowsBetween(-(window - 1), 0)
+    blocks = _blocks(df.select("meter", "step", "value"), "meter", window - 1, max(block, window))
+    w = Window.partitionBy("__ft_block", "meter").orderBy("step").rowsBetween(-(window - 1), 0)
     values = F.collect_list("value").over(w)
-    return df.select("meter", "step", lower_median(values).alias("median"), F.avg("value").over(w).alias("mean"), F.max("value").over(w).alias("max"), F.col("value").alias("latest"))
+    out = blocks.select("meter", "step", "__ft_extra", lower_median(values).alias("median"), F.avg("value").over(w).alias("mean"), F.max("value").over(w).alias("max"), F.col("value").alias("latest"))
+    return out.where("not __ft_extra").drop("__ft_extra")
 
 
-def global_average(df: DataFrame) -> DataFrame:
+def global_average(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """Weighted mean of all values of a meter so far, at each step."""
-    w = Window.partitionBy("meter").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("meter", "step", (F.sum(F.col("value") * F.col("n")).over(w) / F.sum("n").over(w)).alias("global_avg"))
+    weighed = df.select("meter", "step", (F.col("value") * F.col("n")).alias("x"), F.col("n").alias("m"))
+    blocks = _blocks(weighed, "meter", 0, block)
+    before = _totals_before(blocks, "meter", bx=F.col("x"), bm=F.col("m"))
+    w = Window.partitionBy("__ft_block", "meter").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    inside = blocks.select("meter", "step", "__ft_block", F.sum("x").over(w).alias("x"), F.sum("m").over(w).alias("m"))
+    return inside.join(before, ["meter", "__ft_block"]).select("meter", "step", ((F.col("bx") + F.col("x")) / (F.col("bm") + F.col("m"))).alias("global_avg"))
 
 
 def merge_shards(df: DataFrame) -> DataFrame:
@@ -58,22 +90,30 @@ def thin_log(df: DataFrame, freq: int, steps_per_epoch: int, step: str = "step")
     return df.where(i % freq == 0).withColumn("x", F.floor((i / steps_per_epoch + epoch) * 1000).cast("bigint"))
 
 
-def progress(df: DataFrame, freq: int, by: str = "meter") -> DataFrame:
+def progress(df: DataFrame, freq: int, by: str = "meter", block: int = BLOCK) -> DataFrame:
     """Iteration time, its running mean and the time left, at every ``freq``-th row and the last of each run.
 
     ``df``: ``step, ts`` and the run's column. Seconds; the first row's time is unknown.
     """
-    w = Window.partitionBy(by).orderBy("step")
-    sofar = w.rowsBetween(Window.unboundedPreceding, 0)
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    blocks = _blocks(df.select(by, "step", seconds.alias("s")), by, 1, max(2, block))
+    w = Window.partitionBy("__ft_block", by).orderBy("step")
+    timed = blocks.withColumn("iter_s", F.col("s") - F.lag("s").over(w)).where("not __ft_extra")
+    each = timed.groupBy(by, "__ft_block").agg(F.count("*").alias("n"), F.sum("iter_s").alias("t"), F.count("iter_s").alias("k"))
+    earlier = Window.partitionBy(by).orderBy("__ft_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = each.select(
+        by, "__ft_block", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"b{c}") for c in ("n", "t", "k")), F.sum("n").over(Window.partitionBy(by)).alias("rows")
+    )
+    sofar = w.rowsBetween(Window.unboundedPreceding, 0)
+    inside = timed.select(by, "step", "__ft_block", "iter_s", F.count("*").over(sofar).alias("i"), F.sum("iter_s").over(sofar).alias("t"), F.count("iter_s").over(sofar).alias("k"))
     out = (
-        df.withColumn("iteration", F.row_number().over(w) - 1)
-        .withColumn("rows", F.count("*").over(Window.partitionBy(by)))
-        .withColumn("iter_s", seconds - F.lag(seconds).over(w))
-        .withColumn("mean_s", F.avg("iter_s").over(sofar))
+        inside.join(sums, [by, "__ft_block"])
+        .withColumn("iteration", (F.col("bn") + F.col("i") - 1).cast("bigint"))
+        .withColumn("mean_s", (F.col("bt") + F.coalesce("t", F.lit(0.0))) / F.nullif(F.col("bk") + F.col("k"), F.lit(0)))
         .withColumn("eta_s", F.col("mean_s") * (F.col("rows") - F.col("iteration") - 1))
     )
-    return out.where((F.col("iteration") % freq == 0) | (F.col("iteration") == F.col("rows") - 1)).select(by, "step", F.col("iteration").cast("bigint").alias("iteration"), "iter_s", "mean_s", "eta_s")
+    shown = (F.col("iteration") % freq == 0) | (F.col("iteration") == F.col("rows") - 1)
+    return out.where(shown).select(by, "step", "iteration", "iter_s", "mean_s", "eta_s")
 
 
 def format_meters(df: DataFrame, delimiter: str = "  ") -> DataFrame:

@@ -112,42 +112,34 @@ def mean_psnr(df: DataFrame, *by: str) -> DataFrame:
 def feature_moments(df: DataFrame, col: str = "f") -> tuple[int, object, object]:
     """Count, mean vector and sample covariance of a feature column of equal lengths.
 
-    Each task adds up its rows' outer products about a pilot mean, and Spark adds up the tasks' sums; only d x d
-    numbers reach the driver.
+    Each task adds up its rows' outer products about one row taken as the origin, and Spark adds up the tasks' sums; only
+    d x d numbers reach the driver.
     """
     import numpy as np
 
-    n, *_ = df.select(F.count(col)).first()
-    if not n:
+    first = df.where(F.col(col).isNotNull()).select(F.col(col).cast("array<double>").alias("f"))
+    some = first.take(1)
+    if not some:
         raise ValueError("no features")
-    pilot = [r.m for r in df.select(F.posexplode(col).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()]
-    d = len(pilot)
+    pilot, d = np.array(some[0].f), len(some[0].f)
 
     def partial(batches: Iterable) -> Iterator:
         import pandas as pd
 
-        total = np.zeros((d + 1, d))
+        total, rows = np.zeros((d + 1, d)), 0
         for pdf in batches:
-            x = np.stack(pdf["f"].to_list()).astype(float) - pilot
+            x = np.stack(pdf["f"].to_list()) - pilot
             total[:d] += x.T @ x
             total[d] += x.sum(0)
-        yield pd.DataFrame({"i": np.arange(total.size), "x": total.ravel()})
+            rows += len(x)
+        yield pd.DataFrame({"i": np.arange(total.size + 1), "x": np.append(total.ravel(), rows)})
 
-    sums = df.where(F.col(col).isNotNull()).select(F.col(col).cast("array<double>").alias("f")).mapInPandas(partial, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
-    flat = np.zeros((d + 1) * d)
+    sums = first.mapInPandas(partial, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
+    flat = np.zeros((d + 1) * d + 1)
     for r in sums.collect():
         flat[r.i] = r.x
-    gram, shift = flat[: d * d].reshape(d, d), flat[d * d :]
-    return n, np.array(pilot) + shift / n, (gram - np.outer(shift, shift) / n) / max(1, n - 1)
-
-
-def moments_table(df: DataFrame, col: str = "f") -> DataFrame:
-    """``i, j, mean_i, cov`` in long form, by aggregation alone; for feature vectors of moderate length."""
-    long = df.select(F.monotonically_increasing_id().alias("r"), F.col(col).alias("f")).select(
-        F.posexplode("f").alias("i", "x"), F.col("f")
-    )
-    pairs = long.select("i", "x", F.posexplode("f").alias("j", "y"))
-    return pairs.groupBy("i", "j").agg(F.avg("x").alias("mean_i"), F.covar_samp("x", "y").alias("cov"))
+    gram, shift, n = flat[: d * d].reshape(d, d), flat[d * d : -1], int(flat[-1])
+    return n, pilot + shift / n, (gram - np.outer(shift, shift) / n) / max(1, n - 1)
 
 
 def frechet(mu_a, sigma_a, mu_b, sigma_b) -> float:
@@ -185,14 +177,44 @@ def inception_score(df: DataFrame, probs: str = "p", split: Column | None = None
         .groupBy("split").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda s: s["q"]).alias("q"))
     )
     term = lambda p, q: F.when(p > 0, p * F.ln(p / q)).otherwise(0.0)
-    joined = rows.join(F.broadcast(marginal), "split")  # one row of class means for each split
+    joined = rows.join(marginal, "split")  # one row of class means for each split
     return joined.groupBy("split").agg(F.exp(F.avg(A.total(F.zip_with("p", "q", term)))).alias("score"))
 
 
 def fit_class_gaussian(df: DataFrame, null_class: int, col: str = "target") -> DataFrame:
     """``label, mu, var``: mean and population variance of each pixel by class, and over all as the null class."""
-    pixels = df.select("label", F.posexplode(col).alias("i", "x"))
-    both = pixels.select(F.explode(F.array("label", F.lit(null_class))).alias("label"), "i", "x")
-    each = both.groupBy("label", "i").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"))
-    ordered = each.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m", "v"))).alias("a"))
+
+    def partial(batches: Iterable) -> Iterator:
+        """Of each task and label: rows, and for each pixel the mean and the sum of squares about it (merged as they come)."""
+        import numpy as np
+        import pandas as pd
+
+        found: dict[int, tuple] = {}
+        for pdf in batches:
+            for label, rows in pdf.groupby("label").indices.items():
+                x = np.stack(pdf["x"].iloc[rows].to_list())
+                n, mean = len(x), x.mean(0)
+                found[label] = _merged(found.get(label), (n, mean, ((x - mean) ** 2).sum(0)))
+        out = [(k, n, np.arange(len(m)).tolist(), m.tolist(), q.tolist()) for k, (n, m, q) in found.items()]
+        yield pd.DataFrame(out, columns=["label", "n", "i", "m", "q"])
+
+    rows = df.where("label is not null").select("label", F.col(col).cast("array<double>").alias("x"))
+    parts = rows.mapInPandas(partial, "label int, n long, i array<int>, m array<double>, q array<double>")
+    # From here on there is a row for each task, class and pixel; the spread between the tasks' means is added to that within.
+    flat = parts.select("label", "n", F.explode(F.arrays_zip("i", "m", "q")).alias("p")).select("label", "n", "p.i", "p.m", "p.q")
+    both = flat.select(F.explode(F.array("label", F.lit(null_class))).alias("label"), "n", "i", "m", "q")
+    n, m = F.col("n"), F.col("m")
+    each = both.groupBy("label", "i").agg(F.sum("n").alias("n"), (F.sum(n * m) / F.sum(n)).alias("m"), F.sum("q").alias("q"), F.collect_list(F.struct("n", "m")).alias("parts"))
+    between = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["n"] * (p["m"] - F.col("m")) * (p["m"] - F.col("m")))
+    final = each.select("label", "i", "m", ((F.col("q") + between) / F.col("n")).alias("v"))
+    ordered = final.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m", "v"))).alias("a"))
     return ordered.select("label", F.transform("a", lambda s: s["m"]).alias("mu"), F.transform("a", lambda s: s["v"]).alias("var"))
+
+
+def _merged(a: tuple | None, b: tuple) -> tuple:
+    """Counts, means and sums of squares of two groups as those of their union."""
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    gap = b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + gap * gap * (a[0] * b[0] / n)

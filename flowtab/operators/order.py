@@ -68,7 +68,7 @@ def batch(df: DataFrame, size: int, drop_last: bool) -> DataFrame:
     if not drop_last:
         return out
     full = out.groupBy("shard").agg(F.floor(F.count("*") / size).alias("__ft_full"))
-    return out.join(F.broadcast(full), "shard").where(F.col("batch") < F.col("__ft_full")).select(*out.columns)
+    return out.join(full, "shard").where(F.col("batch") < F.col("__ft_full")).select(*out.columns)
 
 
 def label_plan(df: DataFrame, classes: int, idx: str = "idx", num: int | None = None) -> DataFrame:

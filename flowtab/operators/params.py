@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,8 +26,8 @@ def parameter_groups(df: DataFrame, weight_decay: float, skip: Iterable[str] = (
 
 
 def attach_group_config(params: DataFrame, groups: DataFrame, key: str = "decay") -> DataFrame:
-    """Settings of each parameter's group beside it; ``groups`` is configuration, one row for each group."""
-    return params.join(F.broadcast(groups), key, "left")
+    """Settings of each parameter's group beside it; ``groups`` has one row for each group, and Spark broadcasts it if small."""
+    return params.join(groups, key, "left")
 
 
 def group_lr(df: DataFrame) -> DataFrame:
@@ -41,22 +41,28 @@ def overlay_params(base: DataFrame, ema: DataFrame) -> DataFrame:
     return base.join(e, ["name", "idx"], "left").withColumn("value", F.coalesce("__ft_value", "value")).drop("__ft_value")
 
 
-def ema(df: DataFrame, decay: float, name: str = "ema") -> DataFrame:
-    """Exponential average of each value over its steps 0..n, in closed form: any order, partial sums."""
-    last = F.max("step").over(Window.partitionBy("name", "idx"))
+def _weight(decay: float) -> Column:
+    """What a step's value counts for in the end: d^n for the first, (1 - d) d^(n - k) for step k of 0..n."""
     d = F.lit(float(decay))
-    weight = F.when(F.col("step") == 0, F.pow(d, F.col("last"))).otherwise((1.0 - d) * F.pow(d, F.col("last") - F.col("step")))
-    return df.withColumn("last", last).groupBy("name", "idx").agg(F.sum(F.col("value") * weight).alias(name))
+    return F.when(F.col("step") == 0, F.pow(d, F.col("__ft_last"))).otherwise((1.0 - d) * F.pow(d, F.col("__ft_last") - F.col("step")))
 
 
-def two_emas(df: DataFrame, first: float = 0.9999, second: float = 0.9996) -> DataFrame:
-    """Both averages in one pass."""
-    last = F.max("step").over(Window.partitionBy("name", "idx"))
+def emas(df: DataFrame, **decays: float) -> DataFrame:
+    """Exponential averages of each value over its steps 0..n, in closed form: any order, partial sums.
 
-    def weight(d: float) -> Column:
-        return F.when(F.col("step") == 0, F.pow(F.lit(d), F.col("last"))).otherwise((1.0 - d) * F.pow(F.lit(d), F.col("last") - F.col("step")))
+    The last step of each value is an aggregate joined back, so a value with very many steps is not gathered anywhere.
+    """
+    last = df.groupBy("name", "idx").agg(F.max("step").alias("__ft_last"))
+    return df.join(last, ["name", "idx"]).groupBy("name", "idx").agg(*(F.sum(F.col("value") * _weight(d)).alias(n) for n, d in decays.items()))
 
-    return df.withColumn("last", last).groupBy("name", "idx").agg(*(F.sum(F.col("value") * weight(d)).alias(n) for n, d in (("ema1", first), ("ema2", second))))
+
+def ema(df: DataFrame, decay: float, name: str = "ema") -> DataFrame:
+    return emas(df, **{name: decay})
+
+
+def two_emas(df: DataFrame, first: float = 0.9999, second: float = 0.9996) -> DataFrame:
+    """Both averages in one pass."""
+    return emas(df, ema1=first, ema2=second)
 
 
 def parameter_count(df: DataFrame) -> DataFrame:
@@ -67,4 +73,4 @@ def parameter_count(df: DataFrame) -> DataFrame:
 
 def lookup_embedding(df: DataFrame, table: DataFrame) -> DataFrame:
     """The table's vector for each label; the null class is a row of the table like any other."""
-    return df.join(F.broadcast(table.select("label", "vec")), "label", "left")
+    return df.join(table.select("label", "vec"), "label", "left")

@@ -63,10 +63,12 @@ def class_gaussian(null_class: int = 10, scale: float = 1.0) -> Predictor:
 
 
 def with_class_gaussian(df: DataFrame, stats: DataFrame, null_class: int) -> DataFrame:
-    """Add ``mu, var`` of each row's label and ``mu_null, var_null``; the statistics have one row for each class."""
-    free = stats.where(F.col("label") == null_class).select(F.col("mu").alias("mu_null"), F.col("var").alias("var_null"))
-    both = stats.join(F.broadcast(free))
-    return df.join(F.broadcast(both), "label", "left")
+    """Add ``mu, var`` of each row's label and ``mu_null, var_null``.
+
+    Statistics have one row for each class, of the images' size; Spark broadcasts them only if they are small.
+    """
+    both = stats.join(stats.where(F.col("label") == null_class).select(F.lit(True).alias("one"), F.col("mu").alias("mu_null"), F.col("var").alias("var_null")), F.col("one"))
+    return df.join(both.drop("one"), "label", "left")
 
 
 def guided_velocity(predict: Predictor, null_class: int, scale: float = 1.0, drop: float = 0.1, low: float = 0.0, high: float = 1.0, eps: float = 0.05) -> Callable:

@@ -210,6 +210,12 @@ def test_meters_and_schedules(spark):
     df = spark.createDataFrame([("m", i, v, 1) for i, v in enumerate((3.0, 1.0, 2.0, 10.0))], "meter string, step bigint, value double, n int")
     last = meters.rolling_meters(df, 4).where("step = 3").first()
     assert (last.median, last.mean, last.max, last.latest) == (2.0, 4.0, 10.0, 10.0)
+    many = spark.createDataFrame([("ab"[i % 5 == 0], i, float(i * 31 % 17), 1 + i % 3) for i in range(400)], "meter string, step bigint, value double, n int")
+    for whole, cut in ((meters.rolling_meters(many), meters.rolling_meters(many, block=23)), (meters.global_average(many), meters.global_average(many, block=7))):
+        r = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in df.collect())
+        assert r(whole) == r(cut)
+    timed = many.withColumn("ts", F.timestamp_seconds(F.col("step") * 3 + F.col("step") % 4))
+    assert sorted(meters.progress(timed, 10).collect()) == sorted(meters.progress(timed, 10, block=9).collect())
     with pytest.raises(Exception, match="not a number"):
         meters.drop_nulls_check_numeric(spark.createDataFrame([("x",), (None,)], "value string")).collect()
     lr = params.learning_rate(spark.createDataFrame([(0.0,), (5.0,), (60.0,)], "epoch double"), 1.0, 0.1, 5, 60, "cosine")
