@@ -154,11 +154,14 @@ def _weights(size: int, out: int):
 
 
 def resample(image, h: int, w: int):
-    """Bicubic with antialiasing of an (H, W, C) array of 0..255: across, then down, 8-bit between."""
+    """Bicubic with antialiasing of an (H, W, C) array of 0..255: across, then down, 8-bit between.
+
+    Halves go up; a sum within 1e-9 of a half counts as one, so the order of addition does not matter.
+    """
     import numpy as np
 
     def level(a):
-        return np.clip(np.floor(a + 0.5), 0, 255)
+        return np.clip(np.floor(a + (0.5 + 1e-9)), 0, 255)
 
     out = image.astype(float)
     if out.shape[1] != w:

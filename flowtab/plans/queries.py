@@ -301,12 +301,28 @@ def d1_upscaled_size(spark, sf_dir):
     return _sides(spark, sf_dir).select("id", h.alias("new_h"), w.alias("new_w"))
 
 
-@query()
+def _bicubic_sql(n: int) -> str:
+    """The 8 x 8 images resampled to n x n: the kernel's weights as a table, across, then down, 8 bits between."""
+    step = f"(8::DOUBLE / {n})"
+    wide = f"greatest(1, {step})"
+    kernel = "CASE WHEN a < 1 THEN (1.5::DOUBLE * a - 2.5::DOUBLE) * a * a + 1 WHEN a < 2 THEN ((-0.5::DOUBLE * a + 2.5::DOUBLE) * a - 4) * a + 2 ELSE 0 END"
+    level = lambda x: f"least(greatest(floor({x} + (0.5::DOUBLE + 1e-9::DOUBLE)), 0), 255)"
+    return (
+        f"{PX}, b AS (SELECT id, y, x, round_even({U8}, 0) AS u FROM px), "
+        f"kn AS (SELECT o, i, abs((i + 0.5::DOUBLE - (o + 0.5::DOUBLE) * {step}) / {wide}) AS a FROM UNNEST(range({n})) AS t(o), UNNEST(range(8)) AS s(i)), "
+        f"wt AS (SELECT o, i, ({kernel}) / sum({kernel}) OVER (PARTITION BY o) AS w FROM kn), "
+        f"ac AS (SELECT id, y, o AS x, {level('sum(w * u)')} AS u FROM b JOIN wt ON b.x = wt.i GROUP BY id, y, o), "
+        f"rs AS (SELECT id, {n} AS h, {n} AS w, o * {n} + x AS pos, {level('sum(wt.w * u)')} AS pixels FROM ac JOIN wt ON ac.y = wt.i GROUP BY id, o, x) "
+        + dig("rs", "pixels", by="id, h, w")
+    )
+
+
+@query("WITH " + _bicubic_sql(12))
 def d1_upscale_short_side(spark, sf_dir):
     return digest(images.upscale_short_side(X.imgs_u8(spark, sf_dir), 12), "pixels", by=("id", "h", "w"))
 
 
-@query()
+@query("WITH " + _bicubic_sql(5))
 def d2_resize_square(spark, sf_dir):
     return digest(images.resize_square(X.imgs_u8(spark, sf_dir), 5), "pixels", by=("id", "h", "w"))
 
@@ -363,7 +379,13 @@ def d8_random_hflip(spark, sf_dir):
     return digest(images.random_hflip(X.imgs(spark, sf_dir), 4), "pixels")
 
 
-@query()
+@query(
+    f"WITH {PR}, o AS (SELECT *, y - floor({U(repr('3:top'), 'id')} * 3) AS cy, x - floor({U(repr('3:left'), 'id')} * 3) AS cx, floor({U(repr('3:rot90'), 'id')} * 4) AS k FROM pr), "
+    f"f AS (SELECT id, k, CASE WHEN {U(repr('3:vflip'), 'id')} < 0.5 THEN 5 - cy ELSE cy END AS y, CASE WHEN {U(repr('3:hflip'), 'id')} < 0.5 THEN 5 - cx ELSE cx END AS x, condition, target "
+    "FROM o WHERE cy BETWEEN 0 AND 5 AND cx BETWEEN 0 AND 5), "
+    "b AS (SELECT id, 6 AS h, 6 AS w, CASE k WHEN 1 THEN (5 - x) * 6 + y WHEN 2 THEN (5 - y) * 6 + 5 - x WHEN 3 THEN x * 6 + 5 - y ELSE y * 6 + x END AS pos, condition, target FROM f) "
+    + dig("b", "condition", "target", by="id, h, w")
+)
 def d9_prepare_pairs(spark, sf_dir):
     return digest(images.prepare_pairs(X.pairs(spark, sf_dir), 6, True, 3), "condition", "target", by=("id", "h", "w"))
 
@@ -679,7 +701,11 @@ def h6_restore(spark, sf_dir):
     return digest(scoring.restore(_with_stats(spark, sf_dir), scoring.predictor("class_gaussian"), 10, "heun", 3), "pixels")
 
 
-@query()
+@query(
+    f"WITH {_sampled_sql(N(repr('0:noise'), 'pr.id', 'pr.pos'), 'euler', 3)}, u AS (SELECT id, pos, round_even({U8.replace('v', 'z')}, 0) AS u8 FROM z3), d AS ({dig('u', 'u8')}), "
+    "k AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM embeddings) "
+    "SELECT idx, lpad(idx::VARCHAR, 5, '0') || '.png' AS file_name, idx // 64 AS step, (idx % 64 // 32)::INT AS rank, (idx % 32)::INT AS slot, u8_sum, u8_pos FROM d JOIN k USING (id)"
+)
 def h7_evaluate_generation(spark, sf_dir):
     """Images generated for every embedding's label, with their file names; the scores go to the metric log."""
     rows = order.global_index(_with_stats(spark, sf_dir), ["id"])
