@@ -3,7 +3,7 @@
 Base counts are taken over the whole text. Then each line with a word is held against the rules, in this
 order: navigation (two or more bars, or an arrow between words), boilerplate (a phrase of ``BOILERPLATE``), signs (more than
 one of ``#*$%&|<>`` for four words), shouting (more capitals than small letters, at least 10 letters), punctuation (a line of
-``LONG`` or more words that does not end in a closing sign). A document is rejected where the base rule fails or more
+``LONG`` or more words that neither ends in a closing sign nor has a sentence's end in it, as a cut-off paragraph has). A document is rejected where the base rule fails or more
 than ``LOST`` percent of its words stand in failing lines.
 
 Edge cases. Null and empty texts have no words, and so fail the base rule. Repeated rows get equal rows. An empty table
@@ -30,6 +30,7 @@ _SIGN = re.compile(r"[#*$%&|<>]")
 _ARROW = re.compile(r" (?:>|»|→|::) ")
 _PHRASE = re.compile("|".join(BOILERPLATE), re.I | re.A)
 _CLOSED = re.compile(r"[.!?:;…\"'”’»)\]][ \t\r]*\Z")
+_SENTENCE = re.compile(r"[.!?][ \t]")
 _CAPITAL, _SMALL = re.compile("[A-Z]"), re.compile("[a-z]")
 
 
@@ -45,7 +46,7 @@ def failing_rule(line: str, n_words: int) -> str | None:
         capitals = len(_CAPITAL.findall(line))
         if capitals >= 5 and capitals > (small := len(_SMALL.findall(line))) and capitals + small >= 10:
             return "shouting"
-    if n_words >= LONG and not _CLOSED.search(line):
+    if n_words >= LONG and not _CLOSED.search(line) and not _SENTENCE.search(line):
         return "punctuation"
     return None
 
@@ -129,7 +130,7 @@ m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY place) > 1
         OR 4 * len(regexp_extract_all(line, '[#*$%&|<>]')) > n
         OR (len(regexp_extract_all(line, '[A-Z]')) >= 5 AND len(regexp_extract_all(line, '[A-Z]')) > len(regexp_extract_all(line, '[a-z]'))
             AND len(regexp_extract_all(line, '[A-Za-z]')) >= 10)
-        OR (n >= {LONG} AND NOT regexp_matches(line, '[.!?:;…"''”’»)\\]][ \\t\\r]*$')) AS failed
+        OR (n >= {LONG} AND NOT regexp_matches(line, '[.!?:;…"''”’»)\\]][ \\t\\r]*$') AND NOT regexp_matches(line, '[.!?][ \\t]')) AS failed
       FROM l WHERE n > 0),
 g AS (SELECT doc_id, count(*) FILTER (dup) AS dups, count(*) FILTER (failed) AS failed, coalesce(sum(n) FILTER (failed), 0) AS lost FROM m GROUP BY doc_id),
 c AS (SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
