@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions.rand import hash_uniform
 
-#: Rows of one Arrow batch of images: 64 of 512 x 512 x 3 doubles are 0.4 GB.
-BATCH_ROWS = 64
+#: Bytes of one Arrow batch of images; a row of 512 x 512 x 3 doubles has 6.3 MB.
+BATCH_BYTES = 64 << 20
 
 
 def validate_images(df: DataFrame, size: int, channels: int | None = None) -> DataFrame:
@@ -188,9 +188,9 @@ def _halve(image):
 
 def _each_image(df: DataFrame, fn: Callable, columns: list[str]) -> DataFrame:
     """Apply ``fn(images, row)`` to the image columns of each row; sides are taken from the first result."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key, None) or 1 << 62) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
     names = df.columns
 
     def run(batches: Iterable) -> Iterator:
