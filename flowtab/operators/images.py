@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions.rand import hash_uniform
 
-#: Bytes of one Arrow batch of images; a row of 512 x 512 x 3 doubles has 6.3 MB.
-BATCH_BYTES = 64 << 20
-
 
 def validate_images(df: DataFrame, size: int, channels: int | None = None) -> DataFrame:
     """``df`` if all images have the size; otherwise an error with their number."""
@@ -187,10 +184,10 @@ def _halve(image):
 
 
 def _each_image(df: DataFrame, fn: Callable, columns: list[str]) -> DataFrame:
-    """Apply ``fn(images, row)`` to the image columns of each row; sides are taken from the first result."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(key, None) or 1 << 62) > BATCH_BYTES:
-        conf.set(key, str(BATCH_BYTES))
+    """Apply ``fn(images, row)`` to the image columns of each row; sides are taken from the first result.
+
+    Spark bounds an Arrow batch by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``), so large images come a few at a time.
+    """
     names = df.columns
 
     def run(batches: Iterable) -> Iterator:
