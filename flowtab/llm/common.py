@@ -15,13 +15,9 @@ BATCH_ROWS, BATCH_BYTES = 2_000, 32 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and bytes where the session still has Spark's defaults."""
-    for key, default, value in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", None, BATCH_BYTES),
-    ):
-        now = spark.conf.get(key, None)
-        if now is None or now == default or (default is None and int(now) >= 1 << 31):
+    """Bound Arrow batches by rows and bytes where the session does not set them itself."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(key, None) is None:
             spark.conf.set(key, str(value))
 
 
