@@ -128,38 +128,29 @@ def write(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_c
     digests = per_row(source, ["t"], lambda: lambda t: ([d for d, _ in chunks_of(payload_of(t)[1])],), "d array<binary>").select(F.explode("d").alias("digest"))
     shipped = spark.sparkContext.broadcast(shared_filter(digests))
 
-    def make():
+    def parts(t: str | None) -> tuple[int, list[tuple[bytes, bytes]], list[bool]]:
         bits = shipped.value
-
-        def one(i, k, t):
-            size, payload = payload_of(t)
-            parts = chunks_of(payload)
-            own = [None if all(bits[p >> 3] >> (p & 7) & 1 for p in _filter_places(d)) else s for d, s in parts]
-            rest = {d: s for (d, s), o in zip(parts, own, strict=True) if o is None}
-            return i, k, size, [d for d, _ in parts], own, [{"digest": d, "samples": s} for d, s in rest.items()]
-
-        return one
-
-    rows = per_row(
-        source, ["i", "k", "t"], make,
-        f"doc_id {kind}, row_key bigint, n_bytes bigint, digests array<binary>, samples array<binary>, shared array<struct<digest binary, samples binary>>",
-    )
-    landed = shared_path(spark, "landed")
-    write_ = lambda out, to: out.write.option("compression", "zstd").parquet(to)
-    write_(rows, landed)
-    landed_rows = spark.read.parquet(landed)
-    write_(landed_rows.select(F.explode("shared").alias("c")).select("c.*").groupBy("digest").agg(F.first("samples").alias("samples")), f"{path}/chunks")
-    # The rows become the store's documents as they lie: only the column of shared chunks goes.
-    write_(landed_rows.drop("shared"), f"{path}/documents")
-    _delete(spark, landed)
+        size, payload = payload_of(t)
+        found = chunks_of(payload)
+        return size, found, [all(bits[p >> 3] >> (p & 7) & 1 for p in _filter_places(d)) for d, _ in found]
+
+    def own(i, k, t):
+        size, found, shared = parts(t)
+        return i, k, size, [d for d, _ in found], [None if s else x for (_, x), s in zip(found, shared, strict=True)]
+
+    def common(t):
+        _, found, shared = parts(t)
+        once = {d: x for (d, x), s in zip(found, shared, strict=True) if s}
+        return ([{"digest": d, "samples": x} for d, x in once.items()],)
+
+    # The texts are chunked again for the second table, which costs less than writing shared chunks twice.
+    rows = per_row(source, ["i", "k", "t"], lambda: own, f"doc_id {kind}, row_key bigint, n_bytes bigint, digests array<binary>, samples array<binary>")
+    rows.write.option("compression", "zstd").parquet(f"{path}/documents")
+    shared = per_row(source, ["t"], lambda: common, "shared array<struct<digest binary, samples binary>>").select(F.explode("shared").alias("c")).select("c.*")
+    shared.groupBy("digest").agg(F.first("samples").alias("samples")).write.option("compression", "zstd").parquet(f"{path}/chunks")
     return Store(spark, path, kind)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def _measure(doc_id, size, digests, samples):
     """Verify the chunks, rebuild the payload, and measure it and its stored form."""
     import numpy as np
@@ -207,6 +198,6 @@ def read_back(store: Store) -> DataFrame:
     return whole.union(partial.select("doc_id", "row_key").join(rebuilt, "row_key").drop("row_key"))
 
 
-def texts(store: Store) -> DataFrame:
-    """``doc_id, n_chunks`` of every document in the store; its chunk list's length."""
+def chunk_counts(store: Store) -> DataFrame:
+    """``doc_id, n_chunks``: the length of every document's chunk list."""
     return store.documents().select("doc_id", F.size("digests").alias("n_chunks"))
