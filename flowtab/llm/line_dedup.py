@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stored, use_checkpoints
+from .common import columns_of, row_key, salted_left, stored, use_checkpoints
 
 LEAD, PARTS, SHORTEST = 4, 4, 3
 LEAST_TEXTS, COPY_SHARE = 3, 0.5
@@ -58,8 +58,8 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     each = lines.select("i", "row_key", F.explode("s").alias("s")).groupBy("s", "row_key").agg(F.min("i").alias("i"))
     first = F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("row_key").alias("k"))
     templates = each.groupBy("s").agg(F.count("*").alias("texts"), F.min(first).alias("first")).where(F.col("texts") >= least).select("s", F.col("first.k").alias("owner"))
-    once = lines.groupBy("row_key", "place").agg(F.first("n").alias("n"), F.first("s").alias("s"))
-    met = once.select("row_key", "place", "n", F.explode("s").alias("s")).join(templates, "s")
+    flat = lines.select("row_key", "place", "n", F.explode("s").alias("s"))
+    met = salted_left(flat, templates.withColumnRenamed("s", "t"), "s", "t", F.xxhash64("row_key", "place")).where("owner is not null")
     found = met.groupBy("row_key", "place").agg(F.first("n").alias("n"), F.max(F.col("owner") != F.col("row_key")).alias("drop"))
     return found.groupBy("row_key").agg(F.sum("n").alias("repeated"), F.collect_list(F.when(F.col("drop"), F.col("place"))).alias("places"))
 
@@ -73,7 +73,7 @@ def dedup_lines(
     """
     lines = F.split(F.col(text_col), "\n")
     found = recurring(df, id_col, text_col, least).select(F.col("row_key").alias("__ft_key"), F.col("repeated").alias("__ft_repeated"), F.col("places").alias("__ft_places")).where(F.size("__ft_places") > 0)
-    met = df.withColumn("__ft_row", row_key(F.col(text_col))).join(found, F.col("__ft_row") == F.col("__ft_key"), "left")
+    met = salted_left(df.withColumn("__ft_row", row_key(F.col(text_col))), found, "__ft_row", "__ft_key", F.xxhash64(id_col))
     total = F.size(F.array_remove(F.split(F.translate(text_col, "\n", " "), " "), ""))
     dropped = F.when(F.col("__ft_places").isNotNull() & (F.col("__ft_repeated") <= total * copy_share), F.col("__ft_places"))
     marked = met.withColumn("__ft_drop", dropped)
@@ -82,7 +82,7 @@ def dedup_lines(
         marked = marked.withColumn("n_lines", F.when(F.col(text_col).isNull(), 1).otherwise(F.col("n_lines"))).withColumn("n_dropped", F.greatest(F.lit(0).cast("bigint"), "n_dropped"))
     left = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col("__ft_drop"), k)), "\n")
     out = marked.withColumn(text_col, F.when(F.col("__ft_drop").isNull(), F.col(text_col)).otherwise(left))
-    return out.select(*df.columns, *(["n_lines", "n_dropped"] if counts else []))
+    return out.select(*columns_of(df), *(["n_lines", "n_dropped"] if counts else []))
 
 
 SQL = f"""
