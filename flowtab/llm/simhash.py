@@ -172,7 +172,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     stays. Columns stay as they are. Only ids and hashes meet in the joins before the last one, which
     brings the (few) rows to leave out to the texts.
     """
-    marked = near_duplicates(df, id_col, text_col).select("doc_id", "row_key", "component_fp").checkpoint()
+    return keep_first(df, near_duplicates(df, id_col, text_col).select("doc_id", "row_key", "component_fp"), id_col, text_col)
+
+
+def keep_first(df: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The first row of each component. ``marked``: one row ``doc_id, row_key, component_fp`` per row of ``df``."""
+    marked = marked.checkpoint()
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("row_key").alias("k"))
     rows = marked.groupBy("doc_id", "row_key", "component_fp").agg(F.count("*").alias("n"))
     # A row alone in its component stays, so only the components of more rows are looked at.
