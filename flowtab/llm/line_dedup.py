@@ -5,6 +5,7 @@ fields there and everywhere. Below that leaf, the rest of the line is cut into `
 agree in all but one part share the template in which that part is a variable field. (Lines of fewer than
 ``2 * LEAD`` tokens have one template, their masked tokens.) A template that stands in ``least`` or more
 different texts recurs: its lines are dropped from all but the first text, by smallest id, that holds it.
+With ``long``, lines of that many tokens recur from two texts on. (The SQL, and so the query, has no such rule.)
 
 Texts are told apart by their hash, and equal texts are treated as one, so exact copies stay exact copies.
 A text more than ``copy_share`` of whose words stand in recurring lines is as a whole a copy or a form;
@@ -24,6 +25,8 @@ from .common import columns_of, row_key, salted_left, stored, use_checkpoints
 
 LEAD, PARTS, SHORTEST = 4, 4, 3
 LEAST_TEXTS, COPY_SHARE = 3, 0.5
+#: Tokens from which on a line in two texts is no chance, where ``long`` is given.
+LONG = 20
 
 
 def tokens(line: Column) -> Column:
@@ -44,7 +47,7 @@ def signatures(words: Column) -> Column:
     return F.when(n < SHORTEST, F.array().cast("array<bigint>")).when(n < 2 * LEAD, whole).otherwise(F.array(*map(without, range(PARTS))))
 
 
-def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS) -> DataFrame:
+def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS, long: int | None = None) -> DataFrame:
     """Per text with recurring lines: ``row_key, repeated`` (words in them), ``places`` (lines to drop, from 0)."""
     use_checkpoints(df.sparkSession)
     texts = df.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -55,9 +58,13 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     )
     # Hashes and counts only: the texts are parsed once. (A filter on "s" here would be pushed down with all it is made of.)
     lines = stored(lines, "lines")
-    each = lines.select("i", "row_key", F.explode("s").alias("s")).groupBy("s", "row_key").agg(F.min("i").alias("i"))
+    each = lines.select("i", "row_key", "n", F.explode("s").alias("s")).groupBy("s", "row_key").agg(F.min("i").alias("i"), F.max("n").alias("tokens"))
     first = F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("row_key").alias("k"))
-    templates = each.groupBy("s").agg(F.count("*").alias("texts"), F.min(first).alias("first")).where(F.col("texts") >= least).select("s", F.col("first.k").alias("owner"))
+    # A template's lines have one token count, which is part of its hash.
+    often = F.col("texts") >= least
+    if long is not None:
+        often = often | ((F.col("texts") >= 2) & (F.col("tokens") >= long))
+    templates = each.groupBy("s").agg(F.count("*").alias("texts"), F.min(first).alias("first"), F.max("tokens").alias("tokens")).where(often).select("s", F.col("first.k").alias("owner"))
     flat = lines.select("row_key", "place", "n", F.explode("s").alias("s"))
     met = salted_left(flat, templates.withColumnRenamed("s", "t"), "s", "t", F.xxhash64("row_key", "place")).where("owner is not null")
     found = met.groupBy("row_key", "place").agg(F.first("n").alias("n"), F.max(F.col("owner") != F.col("row_key")).alias("drop"))
@@ -65,14 +72,14 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
 
 def dedup_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS, copy_share: float = COPY_SHARE, counts: bool = False
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS, copy_share: float = COPY_SHARE, counts: bool = False, long: int | None = None
 ) -> DataFrame:
     """``df`` without recurring lines in the text column; all rows and columns stay.
 
     With ``counts`` two columns are added: ``n_lines`` and ``n_dropped``.
     """
     lines = F.split(F.col(text_col), "\n")
-    found = recurring(df, id_col, text_col, least).select(F.col("row_key").alias("__ft_key"), F.col("repeated").alias("__ft_repeated"), F.col("places").alias("__ft_places")).where(F.size("__ft_places") > 0)
+    found = recurring(df, id_col, text_col, least, long).select(F.col("row_key").alias("__ft_key"), F.col("repeated").alias("__ft_repeated"), F.col("places").alias("__ft_places")).where(F.size("__ft_places") > 0)
     met = salted_left(df.withColumn("__ft_row", row_key(F.col(text_col))), found, "__ft_row", "__ft_key", F.xxhash64(id_col))
     total = F.size(F.array_remove(F.split(F.translate(text_col, "\n", " "), " "), ""))
     dropped = F.when(F.col("__ft_places").isNotNull() & (F.col("__ft_repeated") <= total * copy_share), F.col("__ft_places"))
