@@ -10,6 +10,7 @@ With ``long``, lines of that many tokens recur from two texts on. (The SQL, and
 Texts are told apart by their hash, and equal texts are treated as one, so exact copies stay exact copies.
 A text more than ``copy_share`` of whose words stand in recurring lines is as a whole a copy or a form;
 dropping its lines would leave a stub, so it stays as it is, for near-dedup to decide.
+With ``copy_share`` None only a text that would lose all its words stays.
 
 Edge cases. A null text is one empty line and stays null. Lines with fewer than ``SHORTEST`` tokens never recur. Null ids
 come last when the first text is sought. Repeated rows get equal results. An empty table gives an empty result. ``df`` may
@@ -48,7 +49,7 @@ def signatures(words: Column) -> Column:
 
 
 def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS, long: int | None = None) -> DataFrame:
-    """Per text with recurring lines: ``row_key, repeated`` (words in them), ``places`` (lines to drop, from 0)."""
+    """Per text with recurring lines: ``row_key, repeated`` (words in them), ``lost`` (words in those to drop), ``places`` (lines to drop, from 0)."""
     use_checkpoints(df.sparkSession)
     texts = df.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     lines = (
@@ -68,21 +69,22 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     flat = lines.select("row_key", "place", "n", F.explode("s").alias("s"))
     met = salted_left(flat, templates.withColumnRenamed("s", "t"), "s", "t", F.xxhash64("row_key", "place")).where("owner is not null")
     found = met.groupBy("row_key", "place").agg(F.first("n").alias("n"), F.max(F.col("owner") != F.col("row_key")).alias("drop"))
-    return found.groupBy("row_key").agg(F.sum("n").alias("repeated"), F.collect_list(F.when(F.col("drop"), F.col("place"))).alias("places"))
+    return found.groupBy("row_key").agg(F.sum("n").alias("repeated"), F.sum(F.when(F.col("drop"), F.col("n"))).alias("lost"), F.collect_list(F.when(F.col("drop"), F.col("place"))).alias("places"))
 
 
 def dedup_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS, copy_share: float = COPY_SHARE, counts: bool = False, long: int | None = None
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS, copy_share: float | None = COPY_SHARE, counts: bool = False, long: int | None = None
 ) -> DataFrame:
     """``df`` without recurring lines in the text column; all rows and columns stay.
 
     With ``counts`` two columns are added: ``n_lines`` and ``n_dropped``.
     """
     lines = F.split(F.col(text_col), "\n")
-    found = recurring(df, id_col, text_col, least, long).select(F.col("row_key").alias("__ft_key"), F.col("repeated").alias("__ft_repeated"), F.col("places").alias("__ft_places")).where(F.size("__ft_places") > 0)
+    found = recurring(df, id_col, text_col, least, long).select(F.col("row_key").alias("__ft_key"), F.col("lost" if copy_share is None else "repeated").alias("__ft_repeated"), F.col("places").alias("__ft_places")).where(F.size("__ft_places") > 0)
     met = salted_left(df.withColumn("__ft_row", row_key(F.col(text_col))), found, "__ft_row", "__ft_key", F.xxhash64(id_col))
     total = F.size(F.array_remove(F.split(F.translate(text_col, "\n", " "), " "), ""))
-    dropped = F.when(F.col("__ft_places").isNotNull() & (F.col("__ft_repeated") <= total * copy_share), F.col("__ft_places"))
+    partly = F.col("__ft_repeated") < total if copy_share is None else F.col("__ft_repeated") <= total * copy_share
+    dropped = F.when(F.col("__ft_places").isNotNull() & partly, F.col("__ft_places"))
     marked = met.withColumn("__ft_drop", dropped)
     if counts:
         marked = marked.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(1)).cast("bigint")).withColumn("n_dropped", F.coalesce(F.size("__ft_drop"), F.lit(0)).cast("bigint"))
