@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -22,11 +21,14 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def use_checkpoints(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts: spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for lineage cuts and tables that later steps read: ``spark.checkpoint.dir``.
+
+    An error where neither the session nor its context names one: a folder of the driver alone is no shared one.
+    """
     sc = spark.sparkContext
-    if base is None:
-        base = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="flowtab-checkpoints-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return base
@@ -51,23 +53,38 @@ def columns_of(df: DataFrame) -> list[Column]:
 
 
 def row_key(text: Column) -> Column:
-    """Tells apart rows of one id that have different texts; equal rows get equal keys."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    """SHA-256 of a text (null: empty). Tells apart rows of one id that have different texts; equal rows get equal keys."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 #: Ways in which the rows of one key are dealt out in a salted join.
 SALTS = 16
 
 
-def salted_left(left: DataFrame, right: DataFrame, left_key: str, right_key: str, salt: Column) -> DataFrame:
-    """Left join on one key, hot keys of the left side dealt to ``SALTS`` tasks by ``salt``, a hash of what tells its rows apart.
+def salted_left(left: DataFrame, right: DataFrame, left_key: str | list[str], right_key: str | list[str], salt: Column) -> DataFrame:
+    """Left join on equal keys, hot keys of the left side dealt to ``SALTS`` tasks by ``salt``, a hash of what tells its rows apart.
 
     For a right side that has few rows against the left one, as each of them is sent ``SALTS`` times.
     """
+    pairs = zip(*([k] if isinstance(k, str) else k for k in (left_key, right_key)), strict=True)
     dealt = left.withColumn("__ft_salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
     copies = right.withColumn("__ft_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = dealt.join(copies, (F.col(left_key) == F.col(right_key)) & (F.col("__ft_salt") == F.col("__ft_copy")), "left")
-    return joined.drop("__ft_salt", "__ft_copy")
+    on = F.col("__ft_salt") == F.col("__ft_copy")
+    for a, b in pairs:
+        on = (F.col(a) == F.col(b)) & on
+    return dealt.join(copies, on, "left").drop("__ft_salt", "__ft_copy")
+
+
+def dealt_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, salt: Column, share: int = 256) -> DataFrame:
+    """Left join on one key: rows of ``left`` with a key of more than ``share`` rows are dealt to tasks, each with a copy of the right row.
+
+    For right rows that are large or many, as only those of hot keys are sent more than once. ``right`` has each key once.
+    """
+    hot = left.groupBy(F.col(left_key).alias("__ft_hot")).agg(F.floor((F.count("*") - 1) / share).alias("__ft_more")).where("__ft_more > 0").checkpoint()
+    dealt = salted_left(left, hot, left_key, "__ft_hot", salt).withColumn("__ft_part", F.pmod(F.hash(salt), F.coalesce("__ft_more", F.lit(0)) + 1)).drop("__ft_hot", "__ft_more")
+    copies = right.join(hot, F.col(right_key) == F.col("__ft_hot"), "left").withColumn("__ft_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("__ft_more", F.lit(0)))))
+    copies = copies.drop("__ft_hot", "__ft_more")
+    return dealt.join(copies, (F.col(left_key) == F.col(right_key)) & (F.col("__ft_part") == F.col("__ft_copy")), "left").drop("__ft_part", "__ft_copy")
 
 
 def per_row(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: str) -> DataFrame:

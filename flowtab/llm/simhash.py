@@ -2,24 +2,25 @@
 
 A 64-bit fingerprint is cut into 32 segments of two bits and mapped to its 32 segment bit counts, kept in
 unary code (0: 00, 1: 01, 2: 11). The Manhattan distance of two such vectors is then the bit count of the
-XOR of their codes, and never more than the Hamming distance of the fingerprints. Of two vectors at distance
-3 or less, one of the two halves (16 counts) is at distance 1 or less; so each half is a unit grid, in which a
-fingerprint is stored in its own cell and looks into that cell and the up to 16 cells one count higher. Pairs
-that meet are held against the whole Manhattan bound and then the exact Hamming distance, in the join itself.
-
-Edge cases. Null or empty texts and texts without words have the fingerprint zero and link like any other.
-Null ids take part; the id of a component is its smallest id that is not null. Repeated rows share a
-fingerprint. An empty table gives an empty result. Only the two named columns are read, others may have any name.
+XOR of their codes, and never more than the Hamming distance of the fingerprints. Of two fingerprints at Hamming distance
+3 or less, one of the two halves (32 bits, 16 counts) is at Hamming distance 1 or less, and so at Manhattan distance 1 or less;
+so each half is a unit grid, joined at radius one. A cell of the counts is subdivided by the exact bits of its half, as
+cells of middling counts would fill up: a fingerprint is stored in its own subcell and looks into that and those of one bit more.
+Pairs that meet are held against the whole Manhattan bound and then the exact Hamming distance, in the join itself.
+
+Edge cases. Null or empty texts and texts without words have the fingerprint zero and link like any other. Very long texts are
+hashed in blocks. Null ids take part; the id of a component is its smallest id that is not null, so ties do not occur. Repeated rows
+share a fingerprint. An empty table gives an empty result. Only the two named columns are read, others may have any name.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, per_row, row_key, salted_left, use_checkpoints
+from .common import SALTS, columns_of, per_row, row_key, salted_left, use_checkpoints
 
 _LOW = 0x5555555555555555
 _HALF = 0xFFFFFFFF
@@ -58,7 +59,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         source.select("i", "t", row_key(F.col("t")).alias("k")),
         ["i", "k", "t"],
         lambda: lambda i, k, t: (i, k, fingerprint(t)),
-        f"doc_id {source.schema['i'].dataType.simpleString()}, row_key bigint, fp bigint",
+        f"doc_id {source.schema['i'].dataType.simpleString()}, row_key binary, fp bigint",
     )
 
 
@@ -70,37 +71,20 @@ def embedding(fp: Column) -> Column:
     return either.bitwiseOR(F.shiftleft(both, 1))
 
 
-def _higher(cell: Column) -> Column:
-    """The cells in which one of the 16 counts is higher by one."""
-
-    def step(i: Column) -> Column:
-        low, high = F.call_function("shiftleft", F.lit(1).cast("long"), i), F.call_function("shiftleft", F.lit(2).cast("long"), i)
-        bit = F.when(cell.bitwiseAND(low) == 0, low).when(cell.bitwiseAND(high) == 0, high)
-        return cell.bitwiseOR(bit)
-
-    return F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(30), F.lit(2)), step))
+def _higher(half: Column) -> Column:
+    """The halves with one bit more."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    return F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.when(half.bitwiseAND(bit(i)) == 0, half.bitwiseOR(bit(i)))))
 
 
 def links(prints: DataFrame) -> DataFrame:
     """Pairs ``a, b`` (a < b) of distinct fingerprints at ``MAX_BITS`` or fewer bits. ``prints``: distinct ``fp``."""
-    halves = prints.select("fp", embedding(F.col("fp")).alias("e")).select(
-        "fp",
-        "e",
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("half"), F.col("e").bitwiseAND(F.lit(_HALF)).alias("cell")),
-                F.struct(F.lit(1).alias("half"), F.shiftrightunsigned("e", 32).alias("cell")),
-            )
-        ).alias("h"),
-    )
-    # The half goes into the key's spare upper bits: one long to shuffle by.
-    home = halves.select("fp", "e", F.col("h.cell").bitwiseOR(F.shiftleft(F.col("h.half").cast("long"), 33)).alias("cell"))
-    probe = halves.select(
-        "fp",
-        "e",
-        F.explode(F.concat(F.array("h.cell"), _higher(F.col("h.cell")))).alias("c"),
-        "h.half",
-    ).select("fp", "e", F.col("c").bitwiseOR(F.shiftleft(F.col("half").cast("long"), 33)).alias("cell"))
+    half = lambda k: F.struct(F.lit(k).alias("half"), F.shiftrightunsigned("fp", 32 * k).bitwiseAND(F.lit(_HALF)).alias("bits"))
+    halves = prints.select("fp", embedding(F.col("fp")).alias("e"), F.explode(F.array(half(0), half(1))).alias("h"))
+    # The exact bits of a half tell its counts too; which half it is goes into the key's spare upper bits: one long to shuffle by.
+    key = lambda bits: bits.bitwiseOR(F.shiftleft(F.col("h.half").cast("long"), 33)).alias("cell")
+    home = halves.select("fp", "e", key(F.col("h.bits")))
+    probe = halves.select("fp", "e", "h", F.explode(F.concat(F.array("h.bits"), _higher(F.col("h.bits")))).alias("c")).select("fp", "e", key(F.col("c")))
     x, y = home.alias("x"), probe.alias("y")
     found = x.join(
         y,
@@ -116,7 +100,7 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``a, b``: one row ``node, root`` per node, root its smallest node.
 
     Rounds of large-star and small-star, each a partially aggregated minimum joined back to the edges, until
-    the edges no longer change; every round is checkpointed.
+    the edges no longer change; every round is checkpointed. The edges of a hub are dealt to ``SALTS`` tasks.
     """
     use_checkpoints(edges.sparkSession)
 
@@ -124,12 +108,15 @@ def components(edges: DataFrame) -> DataFrame:
         """Link neighbours to the smallest node near: the larger ones, or the smaller ones and the node."""
         ordered = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         both = ordered.union(ordered.select("b", "a")) if large else ordered
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        near = both.join(least, "a")
+        dealt = both.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("s"))
+        # The minimum of a node goes to the salts that it has, of which a node of few neighbours has few.
+        parts = dealt.groupBy("a", "s").agg(F.min("b").alias("m"))
+        least = parts.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("s").alias("ss")).select("a", F.least("a", "m").alias("m"), "ss")
+        near = dealt.join(least.select("a", "m", F.explode("ss").alias("s")), ["a", "s"])
         if large:
             out = near.where("b > a").select("b", "m")
         else:
-            out = near.select("b", "m").union(least)
+            out = near.select("b", "m").union(least.select("a", "m"))
         return out.toDF("a", "b").where("a != b").distinct()
 
     now, before = edges.select("a", "b").distinct().checkpoint(), None
@@ -153,7 +140,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = components(links(least.select("fp")))
     joined = groups.join(least, groups.node == least.fp)
     roots = joined.groupBy("root").agg(F.min("least").alias("id"))
-    linked = joined.select("fp", "root").join(roots, "root").select("fp", "root", "id")
+    linked = salted_left(joined.select("fp", "root"), roots.withColumnRenamed("root", "r"), "root", "r", F.xxhash64("fp")).select("fp", "root", "id")
     # Only fingerprints that are linked or met more than once tell a row anything; a hot one is dealt to many tasks.
     shared = (
         least.join(linked, "fp", "left")
@@ -169,8 +156,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """The rows of ``df`` without near-duplicates: of each component the row with the smallest id stays.
 
     Ties (one id with several texts) go by the text's hash, null ids come last, and of repeated rows one
-    stays. Columns stay as they are. Only ids and hashes meet in the joins before the last one, which
-    brings the (few) rows to leave out to the texts.
+    stays. Columns stay as they are. Ids and hashes alone meet in the joins before the last one, in which the texts move once
+    to meet the verdicts by id and hash.
     """
     return keep_first(df, near_duplicates(df, id_col, text_col).select("doc_id", "row_key", "component_fp"), id_col, text_col)
 
@@ -192,11 +179,8 @@ def keep_first(df: DataFrame, marked: DataFrame, id_col: str, text_col: str) ->
     keyed = df.withColumn("__ft_row", row_key(F.col(text_col)))
     met = keyed.join(verdicts, F.col(id_col).eqNullSafe(F.col("__ft_id")) & (F.col("__ft_row") == F.col("__ft_key")), "left")
     single = met.where("__ft_wins is null").select(*columns_of(df))
+    # Of repeated rows the one with the smallest hash, found by tasks before the shuffle: however many there are, few meet.
     order = F.xxhash64(*(c for c, (_, t) in zip(columns_of(df), df.dtypes, strict=True) if "map<" not in t and "variant" not in t))
-    repeated = (
-        met.where("__ft_wins")
-        .withColumn("__ft_n", F.row_number().over(Window.partitionBy(id_col, "__ft_row").orderBy(order)))
-        .where("__ft_n = 1")
-        .select(*columns_of(df))
-    )
-    return single.union(repeated)
+    rows = met.where("__ft_wins").select("__ft_id", "__ft_key", order.alias("__ft_order"), F.struct(*columns_of(df)).alias("__ft_row"))
+    repeated = rows.groupBy("__ft_id", "__ft_key").agg(F.min_by("__ft_row", "__ft_order").alias("r"))
+    return single.union(repeated.select(*(F.col("r")[c].alias(c) for c in df.columns)))
