@@ -3,25 +3,31 @@
 A scan of each text finds parts. Certain parts (assignments, access identifiers, long hex runs) are reported
 as they are. Weak parts say nothing alone: an address with a host (endpoint), a run of 20 or more mixed
 base64 characters (opaque), a user or account name (account). A weak part is reported only where a
-complementary part lies within the same scope: ``scope`` code points before or after. That is an interval
-join. It is done on places binned by the scope's width: a bin's first and last place of each kind, aggregated
-before the shuffle, tell for its own and both neighbouring bins whether a partner is in reach, so each weak
-part meets at most three rows for each kind, however many parts a document has.
-
-Edge cases. Null and empty texts have no spans. Overlapping kinds are all reported. Repeated rows of one id and text are
-one scope and give equal rows; rows of one id with different texts are kept apart. An empty table gives an
-empty result. Only the named columns are read.
+complementary part lies within the same scope: at most ``scope`` code points between the end of one and the start of the other,
+or overlapping. That is an interval join of ``[start - scope, end + scope]`` with ``[start, end]``. It is done on places binned by
+the scope's width: a part enters each bin that its span covers, and a bin's first start and last end of each kind, aggregated
+before the shuffle, tell whether a partner is in reach. So each weak part meets one row for each kind and bin, however many parts
+a document has.
+
+Only documents with a weak part take part in the join. ``redact`` replaces spans in the batches that scan them; texts with a weak
+part, which wait for the join's answer, are split off, and no other text moves.
+
+Edge cases. Null and empty texts have no spans. Very long texts are scanned whole, in time linear in their length and
+their spans. Overlapping kinds are all reported; ties (spans of one start) go by kind as listed, then by end. Repeated rows of one
+id and text are one scope and give equal rows; rows of one id with different texts are kept apart. An empty table gives an
+empty result. Only the named columns are read, ``redact`` keeps all, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, per_row, row_key, use_checkpoints
+from .common import bound_batches, columns_of, per_row, row_key, stored, use_checkpoints
 
 SCOPE = 200
 #: Base kinds, in the order in which spans of one start are listed; weak kinds come after them.
@@ -58,13 +64,40 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    taken = [(a, b) for k, a, b in found if k in BASE]
     # What stands in a certain span is no part of its own.
-    mixed = [m.span() for m in _OPAQUE.finditer(text) if all(c.search(m[0]) for c in _MIX)]
-    found += [("opaque", a, b) for a, b in mixed if not any(x < b and a < y for x, y in taken)]
+    starts, ends = [], []
+    for a, b in sorted((a, b) for k, a, b in found if k in BASE):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    for m in _OPAQUE.finditer(text):
+        if all(c.search(m[0]) for c in _MIX):
+            before = bisect_right(starts, m.end() - 1) - 1  # the last certain stretch that begins within or before the run
+            if before < 0 or ends[before] <= m.start():
+                found.append(("opaque", *m.span()))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with ``[kind]`` for each span, spans ordered by start; overlapping ones are replaced as one, by the first."""
+    out, at = [], 0
+    for kind, a, b in spans:
+        if a >= at:
+            out += [text[at:a], f"[{kind}]"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+_SPANS = "array<struct<kind string, start bigint, end bigint>>"
+
+
+def _weak(spans: Column) -> Column:
+    """Whether there is a weak part that may have a partner."""
+    return F.exists(spans, lambda s: ~s["kind"].isin(*BASE)) & (F.size(spans) > 1)
+
+
 def parts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: ``doc_id, row_key, spans array<struct<kind, start, end>>``, weak ones included."""
     source = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
@@ -72,36 +105,31 @@ def parts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         source.withColumn("k", row_key(F.col("t"))),
         ["i", "k", "t"],
         lambda: lambda i, k, t: (i, k, [dict(zip(("kind", "start", "end"), s, strict=True)) for s in scan(t)]),
-        f"doc_id {source.schema['i'].dataType.simpleString()}, row_key bigint, spans array<struct<kind string, start bigint, end bigint>>",
+        f"doc_id {source.schema['i'].dataType.simpleString()}, row_key binary, spans {_SPANS}",
     )
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The weak parts of ``parts`` that have a complement in their scope: ``doc_id, row_key, kind, start, end``."""
-    flat = (
-        found.where(F.exists("spans", lambda s: ~s["kind"].isin(*BASE)) & (F.size("spans") > 1))
-        .select("doc_id", "row_key", F.explode("spans").alias("s"))
-        .select("doc_id", "row_key", "s.*")
-        .distinct()
-    )
-    bins = flat.groupBy("doc_id", "row_key", F.floor(F.col("start") / scope).alias("bin"), "kind").agg(F.min("start").alias("first"), F.max("start").alias("last"))
+    flat = found.where(_weak(F.col("spans"))).select("doc_id", "row_key", F.explode("spans").alias("s")).select("doc_id", "row_key", "s.*").distinct()
+    bin_of = lambda place: F.floor(place / scope)
+    covered = F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("end")))).alias("bin")
+    bins = flat.select("doc_id", "row_key", "kind", "start", "end", covered).groupBy("doc_id", "row_key", "bin", "kind").agg(F.min("start").alias("first"), F.max("end").alias("last"))
     wanted = F.create_map(*(x for k, v in COMPLEMENT.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     weak = flat.where(~F.col("kind").isin(*BASE)).select(
-        F.col("doc_id").alias("d"), F.col("row_key").alias("r"), "kind", "start", "end", F.explode(wanted[F.col("kind")]).alias("partner")
+        F.col("doc_id").alias("d"), F.col("row_key").alias("r"), "kind", "start", "end", (F.col("start") - scope).alias("from"), (F.col("end") + scope).alias("to"), F.explode(wanted[F.col("kind")]).alias("partner")
     )
-    here = F.floor(F.col("start") / scope)
-    probes = weak.withColumn("at", F.explode(F.array(here - 1, here, here + 1)))
+    probes = weak.withColumn("at", F.explode(F.sequence(bin_of(F.col("from")), bin_of(F.col("to")))))
     met = probes.alias("p").join(
         bins.alias("q"),
         F.col("p.d").eqNullSafe(F.col("q.doc_id"))
         & (F.col("p.r") == F.col("q.row_key"))
         & (F.col("p.at") == F.col("q.bin"))
         & (F.col("p.partner") == F.col("q.kind"))
-        & (
-            F.when(F.col("p.at") == F.floor(F.col("p.start") / scope), True)
-            .when(F.col("q.bin") * scope < F.col("p.start"), F.col("p.start") - F.col("q.last") <= scope)
-            .otherwise(F.col("q.first") - F.col("p.start") <= scope)
-        ),
+        # In a bin amid the reach any partner is in it; the first and the last bin, never one and the same, are covered in part.
+        & F.when(F.col("p.at") == bin_of(F.col("p.from")), F.col("q.last") >= F.col("p.from"))
+        .when(F.col("p.at") == bin_of(F.col("p.to")), F.col("q.first") <= F.col("p.to"))
+        .otherwise(True),
         "left_semi",
     )
     return met.select(F.col("d").alias("doc_id"), F.col("r").alias("row_key"), "kind", "start", "end").distinct()
@@ -110,7 +138,11 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 def credentials(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """One row per row: ``doc_id, row_key, spans``: base spans and linked weak ones, ordered."""
     use_checkpoints(df.sparkSession)
-    found = parts(df, id_col, text_col).checkpoint()  # one scan of the texts for both uses
+    return _reported(parts(df, id_col, text_col).checkpoint(), scope)  # one scan of the texts for both uses
+
+
+def _reported(found: DataFrame, scope: int) -> DataFrame:
+    """``parts`` with the spans to report, in order."""
     extra = linked(found, scope).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
     base = found.withColumn("spans", F.filter("spans", lambda s: s["kind"].isin(*BASE)))
     joined = base.alias("b").join(extra.alias("e"), F.col("b.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("b.row_key") == F.col("e.row_key")), "left")
@@ -130,25 +162,37 @@ def credentials(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """``df`` with each reported span replaced by ``[kind]``; overlapping spans are replaced as one, by the first.
 
-    All rows and columns stay; texts without spans do not move: their rows take no part in the join's result
-    but by a null.
+    All rows and columns stay. Texts without weak parts are redacted where they are scanned; the few with some are stored with their
+    parts, and redacted after the join.
     """
-    marked = credentials(df, id_col, text_col, scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("__ft_id"), F.col("row_key").alias("__ft_key"), F.col("spans").alias("__ft_spans")).dropDuplicates(["__ft_id", "__ft_key"])
-    keyed = df.withColumn("__ft_row", row_key(F.col(text_col)))
-    met = keyed.join(marked, F.col(id_col).eqNullSafe(F.col("__ft_id")) & (F.col("__ft_row") == F.col("__ft_key")), "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        between = F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.when(fresh, F.concat(acc["out"], between, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        )
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.length(text_col)))
-    cleaned = F.when(F.col("__ft_spans").isNull(), F.col(text_col)).otherwise(F.aggregate("__ft_spans", start, step, rest))
-    return met.withColumn(text_col, cleaned).select(*columns_of(df))
+    spark = df.sparkSession
+    bound_batches(spark)
+    use_checkpoints(spark)
+    text = columns_of(df)[df.columns.index(text_col)]
+
+    @F.pandas_udf(_SPANS)
+    def scanned(texts):
+        import pandas as pd
+
+        return pd.Series([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in scan(t)] for t in texts])
+
+    @F.pandas_udf("string")
+    def cleaned(texts, spans):
+        import pandas as pd
+
+        return pd.Series([replaced(t, [(x["kind"], x["start"], x["end"]) for x in s]) if t is not None and s is not None and len(s) else t for t, s in zip(texts, spans, strict=True)])
+
+    found = df.withColumn("__ft_parts", scanned.asNondeterministic()(text))  # so that a filter on it scans no second time
+    plain = found.where(~_weak(F.col("__ft_parts")))
+    # A weak part alone has no partner either.
+    plain = plain.withColumn(text_col, cleaned(text, F.filter("__ft_parts", lambda s: s["kind"].isin(*BASE))))
+    waiting = stored(found.where(_weak(F.col("__ft_parts"))).withColumn("__ft_row", row_key(text)), "weak-parts")
+    ids = columns_of(df)[df.columns.index(id_col)]
+    answer = _reported(waiting.select(ids.alias("doc_id"), F.col("__ft_row").alias("row_key"), F.col("__ft_parts").alias("spans")).dropDuplicates(["doc_id", "row_key"]), scope)
+    answer = answer.toDF("__ft_id", "__ft_key", "__ft_spans")
+    met = waiting.join(answer, ids.eqNullSafe(F.col("__ft_id")) & (F.col("__ft_row") == F.col("__ft_key")), "left")
+    linked_too = met.withColumn(text_col, cleaned(text, F.col("__ft_spans")))
+    return plain.select(*columns_of(df)).union(linked_too.select(*columns_of(df)))
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
