@@ -3,18 +3,17 @@
 A line is parsed by its token count, then by its ``LEAD`` leading tokens; tokens with a digit are variable
 fields there and everywhere. Below that leaf, the rest of the line is cut into ``PARTS`` parts, and lines that
 agree in all but one part share the template in which that part is a variable field. (Lines of fewer than
-``2 * LEAD`` tokens have one template, their masked tokens.) A template that stands in ``least`` or more
-different texts recurs: its lines are dropped from all but the first text, by smallest id, that holds it.
-With ``long``, lines of that many tokens recur from two texts on. (The SQL, and so the query, has no such rule.)
-
-Texts are told apart by their hash, and equal texts are treated as one, so exact copies stay exact copies.
-A text more than ``copy_share`` of whose words stand in recurring lines is as a whole a copy or a form;
-dropping its lines would leave a stub, so it stays as it is, for near-dedup to decide.
-With ``copy_share`` None only a text that would lose all its words stays.
-
-Edge cases. A null text is one empty line and stays null. Lines with fewer than ``SHORTEST`` tokens never recur. Null ids
-come last when the first text is sought. Repeated rows get equal results. An empty table gives an empty result. ``df`` may
-have further columns, whatever their names.
+``2 * LEAD`` tokens have one template, their masked tokens.) A template recurs if it stands in ``least`` or more
+different texts, or in two and has ``long`` or more tokens, which is no chance. Its lines are dropped from all texts but the
+first, by smallest id, that holds it; a text of such lines alone is empty thereafter.
+
+Equal texts are treated as one, so exact copies stay exact copies, for near-dedup to decide on. Texts are counted by a 64-bit hash;
+lines are dropped only where a second one, of another seed, is equal too.
+
+Edge cases. A null text is one empty line and stays null. Blank lines, and lines of variable fields alone (rows of numbers), never
+recur. Texts of any length are worked on as arrays of lines, in time linear in them. Null ids come last when the first text is
+sought; ties between texts of one id go by the texts' hash. Repeated rows get equal results. An empty table gives an empty result.
+``df`` may have further columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,17 +21,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, row_key, salted_left, stored, use_checkpoints
+from .common import columns_of, salted_left, stored, use_checkpoints
 
-LEAD, PARTS, SHORTEST = 4, 4, 3
-LEAST_TEXTS, COPY_SHARE = 3, 0.5
-#: Tokens from which on a line in two texts is no chance, where ``long`` is given.
-LONG = 20
+LEAD, PARTS = 4, 4
+#: Texts from which on a template recurs, and tokens from which on it does so from two.
+LEAST_TEXTS, LONG = 3, 20
+FIELD = "<*>"
 
 
 def tokens(line: Column) -> Column:
     """Tokens between spaces; those with a digit are ``<*>``."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(line)
     return F.array_remove(F.split(masked, " "), "")
 
 
@@ -45,53 +44,55 @@ def signatures(words: Column) -> Column:
         return F.xxhash64(F.lit(k), n, F.slice(words, 1, begin + LEAD), F.slice(words, end + LEAD + 1, n))
 
     whole = F.array(F.xxhash64(F.lit(-1), n, words))
-    return F.when(n < SHORTEST, F.array().cast("array<bigint>")).when(n < 2 * LEAD, whole).otherwise(F.array(*map(without, range(PARTS))))
+    return F.when(F.size(F.array_remove(words, FIELD)) == 0, F.array().cast("array<bigint>")).when(n < 2 * LEAD, whole).otherwise(F.array(*map(without, range(PARTS))))
+
 
+def _keys(text: Column) -> list[Column]:
+    """Two hashes of a text."""
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
 
-def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS, long: int | None = None) -> DataFrame:
-    """Per text with recurring lines: ``row_key, repeated`` (words in them), ``lost`` (words in those to drop), ``places`` (lines to drop, from 0)."""
+
+def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS, long: int = LONG) -> DataFrame:
+    """Per text with lines to drop: ``row_key, check`` (its hashes) and ``places`` (of the lines, from 0)."""
     use_checkpoints(df.sparkSession)
     texts = df.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    key, check = _keys(F.col("t"))
     lines = (
-        texts.select("i", row_key(F.col("t")).alias("row_key"), F.posexplode(F.split("t", "\n")).alias("place", "line"))
-        .select("i", "row_key", "place", tokens(F.col("line")).alias("w"))
-        .select("i", "row_key", "place", F.size("w").alias("n"), signatures(F.col("w")).alias("s"))
+        texts.select("i", key.alias("row_key"), check.alias("check"), F.posexplode(F.split("t", "\n")).alias("place", "line"))
+        .select("i", "row_key", "check", "place", tokens(F.col("line")).alias("w"))
+        .select("i", "row_key", "check", "place", F.size("w").alias("n"), signatures(F.col("w")).alias("s"))
     )
     # Hashes and counts only: the texts are parsed once. (A filter on "s" here would be pushed down with all it is made of.)
     lines = stored(lines, "lines")
     each = lines.select("i", "row_key", "n", F.explode("s").alias("s")).groupBy("s", "row_key").agg(F.min("i").alias("i"), F.max("n").alias("tokens"))
     first = F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("row_key").alias("k"))
     # A template's lines have one token count, which is part of its hash.
-    often = F.col("texts") >= least
-    if long is not None:
-        often = often | ((F.col("texts") >= 2) & (F.col("tokens") >= long))
-    templates = each.groupBy("s").agg(F.count("*").alias("texts"), F.min(first).alias("first"), F.max("tokens").alias("tokens")).where(often).select("s", F.col("first.k").alias("owner"))
-    flat = lines.select("row_key", "place", "n", F.explode("s").alias("s"))
-    met = salted_left(flat, templates.withColumnRenamed("s", "t"), "s", "t", F.xxhash64("row_key", "place")).where("owner is not null")
-    found = met.groupBy("row_key", "place").agg(F.first("n").alias("n"), F.max(F.col("owner") != F.col("row_key")).alias("drop"))
-    return found.groupBy("row_key").agg(F.sum("n").alias("repeated"), F.sum(F.when(F.col("drop"), F.col("n"))).alias("lost"), F.collect_list(F.when(F.col("drop"), F.col("place"))).alias("places"))
-
-
-def dedup_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS, copy_share: float | None = COPY_SHARE, counts: bool = False, long: int | None = None
-) -> DataFrame:
+    often = (F.col("texts") >= least) | ((F.col("texts") >= 2) & (F.col("tokens") >= long))
+    templates = each.groupBy("s").agg(F.count("*").alias("texts"), F.min(first).alias("first"), F.max("tokens").alias("tokens")).where(often).select(F.col("s").alias("t"), F.col("first.k").alias("owner"))
+    flat = lines.select("row_key", "check", "place", F.explode("s").alias("s"))
+    met = salted_left(flat, templates, "s", "t", F.xxhash64("row_key", "place")).where("owner != row_key")
+    return met.groupBy("row_key", "check").agg(F.collect_set("place").alias("places"))
+
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS, long: int = LONG, counts: bool = False) -> DataFrame:
     """``df`` without recurring lines in the text column; all rows and columns stay.
 
-    With ``counts`` two columns are added: ``n_lines`` and ``n_dropped``.
+    With ``counts`` two columns are added, ``n_lines`` and ``n_dropped``; columns of ``df`` with these names are replaced.
     """
-    lines = F.split(F.col(text_col), "\n")
-    found = recurring(df, id_col, text_col, least, long).select(F.col("row_key").alias("__ft_key"), F.col("lost" if copy_share is None else "repeated").alias("__ft_repeated"), F.col("places").alias("__ft_places")).where(F.size("__ft_places") > 0)
-    met = salted_left(df.withColumn("__ft_row", row_key(F.col(text_col))), found, "__ft_row", "__ft_key", F.xxhash64(id_col))
-    total = F.size(F.array_remove(F.split(F.translate(text_col, "\n", " "), " "), ""))
-    partly = F.col("__ft_repeated") < total if copy_share is None else F.col("__ft_repeated") <= total * copy_share
-    dropped = F.when(F.col("__ft_places").isNotNull() & partly, F.col("__ft_places"))
-    marked = met.withColumn("__ft_drop", dropped)
+    text = columns_of(df)[df.columns.index(text_col)]
+    found = recurring(df, id_col, text_col, least, long).toDF("__ft_key", "__ft_check", "__ft_places")
+    key, check = _keys(F.coalesce(text, F.lit("")))
+    met = salted_left(df.withColumns({"__ft_row": key, "__ft_second": check}), found, ["__ft_row", "__ft_second"], ["__ft_key", "__ft_check"], F.xxhash64(columns_of(df)[df.columns.index(id_col)]))
+    lines, places = F.split(text, "\n"), F.col("__ft_places")
+    # A set difference of places, so that the time is linear in the lines, however many are dropped.
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+    kept = F.transform(F.array(F.struct(lines.alias("l"), left.alias("k"))), lambda s: F.array_join(F.transform(s["k"], lambda k: s["l"][k]), "\n"))[0]
+    out = met
     if counts:
-        marked = marked.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(1)).cast("bigint")).withColumn("n_dropped", F.coalesce(F.size("__ft_drop"), F.lit(0)).cast("bigint"))
-        marked = marked.withColumn("n_lines", F.when(F.col(text_col).isNull(), 1).otherwise(F.col("n_lines"))).withColumn("n_dropped", F.greatest(F.lit(0).cast("bigint"), "n_dropped"))
-    left = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col("__ft_drop"), k)), "\n")
-    out = marked.withColumn(text_col, F.when(F.col("__ft_drop").isNull(), F.col(text_col)).otherwise(left))
-    return out.select(*columns_of(df), *(["n_lines", "n_dropped"] if counts else []))
+        out = out.withColumns({"n_lines": F.when(text.isNull(), 1).otherwise(F.size(lines)).cast("bigint"), "n_dropped": F.coalesce(F.size(places), F.lit(0)).cast("bigint")})
+    names = ["n_lines", "n_dropped"] if counts else []
+    out = out.withColumn(text_col, F.when(places.isNull() | text.isNull(), text).otherwise(kept))
+    return out.select(*(c for c, n in zip(columns_of(df), df.columns, strict=True) if n not in names), *names)
 
 
 SQL = f"""
@@ -99,19 +100,16 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, text, i AS place, string_split(text, chr(10))[i + 1] AS line
       FROM t, UNNEST(range(len(string_split(text, chr(10))))) AS u(i)),
 w AS (SELECT doc_id, text, place,
-             list_filter(string_split(regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda x: x <> '') AS w FROM l),
+             list_filter(string_split(regexp_replace(line, '[^ ]*[0-9][^ ]*', '{FIELD}', 'g'), ' '), lambda x: x <> '') AS w FROM l),
 s AS (SELECT doc_id, text, place, len(w) AS n, k,
              CASE WHEN k < 0 THEN w ELSE list_concat(w[1 : {LEAD} + ((len(w) - {LEAD}) * k) // {PARTS}],
                                                      w[{LEAD} + ((len(w) - {LEAD}) * (k + 1)) // {PARTS} + 1 : len(w)]) END AS s
-      FROM w, UNNEST(CASE WHEN len(w) < {SHORTEST} THEN [] WHEN len(w) < {2 * LEAD} THEN [-1] ELSE range({PARTS}) END) AS u(k)),
-r AS (SELECT n, k, s, arg_min(text, doc_id) AS owner FROM s GROUP BY n, k, s HAVING count(DISTINCT text) >= {LEAST_TEXTS}),
-f AS (SELECT s.text, s.place, any_value(s.n) AS n, bool_or(r.owner <> s.text) AS gone
-      FROM (SELECT DISTINCT text, place, n, k, s FROM s) s JOIN r ON s.n = r.n AND s.k = r.k AND s.s = r.s GROUP BY s.text, s.place),
-g AS (SELECT text, sum(n) AS repeated, list(place) FILTER (gone) AS places FROM f GROUP BY text),
-d AS (SELECT t.doc_id, string_split(t.text, chr(10)) AS lines,
-             CASE WHEN g.repeated <= {COPY_SHARE} * len(list_filter(string_split(replace(t.text, chr(10), ' '), ' '), lambda x: x <> ''))
-                  THEN g.places END AS places
-      FROM t LEFT JOIN g ON t.text = g.text)
+      FROM w, UNNEST(CASE WHEN len(list_filter(w, lambda x: x <> '{FIELD}')) = 0 THEN [] WHEN len(w) < {2 * LEAD} THEN [-1] ELSE range({PARTS}) END) AS u(k)),
+r AS (SELECT n, k, s, arg_min(text, doc_id) AS owner FROM s GROUP BY n, k, s
+      HAVING count(DISTINCT text) >= {LEAST_TEXTS} OR (count(DISTINCT text) >= 2 AND n >= {LONG})),
+g AS (SELECT s.text, list(DISTINCT s.place) AS places
+      FROM s JOIN r ON s.n = r.n AND s.k = r.k AND s.s = r.s WHERE r.owner <> s.text GROUP BY s.text),
+d AS (SELECT t.doc_id, string_split(t.text, chr(10)) AS lines, g.places FROM t LEFT JOIN g ON t.text = g.text)
 SELECT doc_id, len(lines) AS n_lines, coalesce(len(places), 0)::BIGINT AS n_dropped,
        md5(array_to_string([lines[i + 1] FOR i IN range(len(lines)) IF NOT coalesce(list_contains(places, i), false)], chr(10))) AS text_md5
 FROM d
