@@ -38,13 +38,13 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return cotrain.score(docs, cotrain.fit(docs, table(spark, sf_dir, "labels")))
+    found = cotrain.features(table(spark, sf_dir, "documents"))
+    return cotrain.score(found, cotrain.fit(found, table(spark, sf_dir, "labels")))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("row_key")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
