@@ -5,8 +5,9 @@ stored token is compared, so a stranger never passes. Tier two: a pre-token that
 starts as single bytes in a doubly linked list, and a heap of (rank, place) gives the pair to merge next.
 Pre-tokens met again are answered from a memo of bounded size in each Python worker.
 
-Edge cases. Null and empty texts have no ids. Texts of any length are split lazily. Repeated rows give
-equal rows; an empty table gives an empty result; only the named columns are read.
+Edge cases. Null and empty texts have no ids. Texts of any length are encoded whole, one at a time. Pairs of equal rank (ties) merge
+from the left. Repeated rows give equal rows; an empty table gives an empty result; only the named columns are read, so others may have
+any name.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import per_row
 
-#: Entries of a worker's memo of pre-tokens; it starts anew when full.
-MEMO = 400_000
+#: Entries of a worker's memo of pre-tokens, which starts anew when full, and the longest pre-token that it keeps: a bound in bytes.
+MEMO, MEMO_LENGTH = 400_000, 64
+#: Displacements tried for a bucket before all is hashed anew by another seed.
+TRIES = 1 << 16
 
 # The public split pattern, by the largest code point of a text: explicit classes are searched faster. White
 # space is Unicode's White_Space, which has no U+001C to U+001F.
@@ -69,13 +72,20 @@ class PerfectHash:
     """
 
     def __init__(self, keys: list[bytes], load: int = 2) -> None:
+        self.n = max(1, len(keys))
+        self.buckets, self.seed = max(1, self.n // load), 0
+        if len(set(keys)) < len(keys):
+            raise ValueError("keys must differ")
+        while not self._placed(keys):
+            self.seed += 1
+
+    def _placed(self, keys: list[bytes]) -> bool:
         from xxhash import xxh3_64_intdigest
 
-        n = self.n = max(1, len(keys))
-        self.buckets = max(1, n // load)
+        n = self.n
         groups: dict[int, list[tuple[int, int]]] = {}
         for at, key in enumerate(keys):
-            h = xxh3_64_intdigest(key)
+            h = xxh3_64_intdigest(key, self.seed)
             groups.setdefault((h & 0xFFFFFFFF) % self.buckets, []).append((h >> 32, at))
         self.shift, self.slots = [0] * self.buckets, [-1] * n
         free, lowest = self.slots, 0
@@ -86,20 +96,21 @@ class PerfectHash:
                 free[lowest] = members[0][1]
                 self.shift[bucket] = -1 - lowest
                 continue
-            d = 0
-            while True:
-                d += 1
+            for d in range(1, TRIES):
                 places = [(h + d * (h >> 16 | 1)) % n for h, _ in members]
                 if len(set(places)) == len(places) and all(free[p] < 0 for p in places):
                     break
+            else:
+                return False
             for p, (_, at) in zip(places, members, strict=True):
                 free[p] = at
             self.shift[bucket] = d
+        return True
 
     def find(self, key: bytes) -> int:
         from xxhash import xxh3_64_intdigest
 
-        h = xxh3_64_intdigest(key)
+        h = xxh3_64_intdigest(key, self.seed)
         d = self.shift[(h & 0xFFFFFFFF) % self.buckets]
         if d < 0:
             return self.slots[-1 - d]
@@ -172,9 +183,10 @@ class TwoTierBPE:
         raw = pre_token.encode("utf-8", "surrogatepass")
         known = self.rank(raw)
         got = (known,) if known >= 0 else self.merge(raw)
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[pre_token] = got
+        if len(pre_token) <= MEMO_LENGTH:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[pre_token] = got
         return got
 
     def encode(self, text: str | None) -> list[int]:

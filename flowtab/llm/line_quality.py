@@ -6,8 +6,9 @@ one of ``#*$%&|<>`` for four words), shouting (more capitals than small letters,
 ``LONG`` or more words that neither ends in a closing sign nor has a sentence's end in it, as a cut-off paragraph has). A document is rejected where the base rule fails or more
 than ``LOST`` percent of its words stand in failing lines.
 
-Edge cases. Null and empty texts have no words, and so fail the base rule. Repeated rows get equal rows. An empty table
-gives an empty result. Only doc_id and text are read.
+Edge cases. Null and empty texts have no words, and so fail the base rule. Very long texts are seen whole, in time and memory linear
+in their words. A line that fails several rules goes by the first; a document that loses exactly ``LOST`` percent (tie) is kept.
+Repeated rows get equal rows. An empty table gives an empty result. Only doc_id and text are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -19,8 +20,13 @@ from pyspark.sql import DataFrame
 from .common import per_row
 
 BOILERPLATE = [
-    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "click here",
-    "enable javascript", "lorem ipsum", "sign up for our newsletter", "skip to content",
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "terms and conditions", "click here",
+    "read more", "learn more", "continue reading", "back to top", "skip to content", "skip to main content", "skip navigation",
+    "enable javascript", "javascript is disabled", "uses cookies", "use cookies", "accept cookies", "accept all cookies", "cookie settings",
+    "lorem ipsum", "sign up for our newsletter", "subscribe to our newsletter", "subscribe now", "sign in to", "log in to", "create an account",
+    "forgot your password", "follow us on", "share this", "share on facebook", "share on twitter", "add to cart", "add to basket", "leave a comment",
+    "leave a reply", "post a comment", "related posts", "related articles", "powered by wordpress", "page not found", "previous post", "next post",
+    "posted in", "filed under", "tagged with", "print this page", "email this", "advertisement",
 ]
 LOST, LONG = 50, 4
 RULES = ("navigation", "boilerplate", "signs", "shouting", "punctuation")

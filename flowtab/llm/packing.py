@@ -7,13 +7,19 @@ the best start of a window that ends at j is the minimum of cost(i) + position(i
 reach: a monotone queue slides over them, and each boundary enters and leaves it once. Windows whose length
 is a power of two are not padded; their few starts are looked up.
 
-The stream is worked off in blocks of bounded size: the last, open window of a block is carried into the next.
-A partition closes its last window, so padding there is at most one window in each partition. The
+The stream is worked off in blocks of bounded size, with the result of one block over all of it: at a block's edge, cuts are
+settled only up to the last boundary that the best ways to all boundaries in reach of the edge have in common; the tokens after it
+go on in the next block. (Ways that have nothing in common over ``MOST`` tokens, as in endless periodic texts, are settled by the
+cheapest; so memory is bounded.) A partition closes its last window, so padding there is at most one window in each partition. The
 number of a sequence holds its partition's number. A task depends on its partition alone, which a lost executor's
 successor reads again; before packing rows that come out of a shuffle, store them.
 
-Edge cases. Null and empty texts are the end token alone. Documents of any length are cut as often as needed.
-Repeated rows are packed each. An empty table gives no pieces. Only the named columns are read.
+Ids are those of the vocabulary file's tokens and ranks, by the public byte-level split; they equal the tokenizer library's, which a
+test checks. (Its file knows no normaliser and no added tokens but special ones, which are read.)
+
+Edge cases. Null and empty texts are the end token alone. Documents of any length are cut as often as needed. Of cuts of equal
+cost (ties) the earliest start counts. Repeated rows are packed each. An empty table gives no pieces. Only the named columns are read, so
+others may have any name.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ import json
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,16 +41,17 @@ CAPACITY, END = 1024, 0
 #: Penalties, in tokens of padding, for a window that ends inside a document: after a sentence, or within one.
 SENTENCE_CUT, HARD_CUT = 8, 64
 #: Stretches without a boundary get a place to cut after so many tokens.
-HARD_STEP = 256
-#: Tokens of one block of the stream.
-BLOCK = 1 << 19
+HARD_STEP = 64
+#: Tokens of one block of the stream, and those over which an edge may stay open.
+BLOCK, MOST = 1 << 19, 1 << 22
 
 
-def cut_points(positions: list[int], penalties: list[int], capacity: int = CAPACITY) -> list[int]:
+def cut_points(positions: list[int], penalties: list[int], capacity: int = CAPACITY, more: bool = False, settle: bool = False) -> list[int]:
     """Indexes of the boundaries where windows end.
 
     ``positions``: increasing, the first where the first window starts; no step exceeds ``capacity``.
     ``penalties``: of a cut there. Costs are compared by value, ties go to the earliest start met.
+    With ``more`` the stream goes on: only the cuts are given that hold whatever comes; with ``settle`` also those of the cheapest way.
     """
     n = len(positions)
     cost, start, queue, at = [0] * n, [0] * n, deque([0]), {positions[0]: 0}
@@ -69,7 +77,20 @@ def cut_points(positions: list[int], penalties: list[int], capacity: int = CAPAC
             queue.pop()
         queue.append(j)
         at[p] = j
-    out, j = [], n - 1
+    j = n - 1
+    if more:
+        ways = {i for i in range(n - 1, -1, -1) if positions[i] >= positions[-1] - capacity}
+        if settle:
+            ways = {min(ways, key=lambda i: (key[i], i))}
+        heap = [-i for i in ways]
+        heapify(heap)
+        while len(heap) > 1:  # the latest of the ways goes back by one window
+            i = start[-heappop(heap)]
+            if i not in ways:
+                ways.add(i)
+                heappush(heap, -i)
+        j = -heap[0]
+    out = []
     while j:
         out.append(j)
         j = start[j]
@@ -92,10 +113,11 @@ class Tokens:
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.special = set(special)
         size = 1 + max([*ranks.values(), *special.values()])
-        self.ends, self.begins = np.zeros(size, bool), np.zeros(size, bool)
+        self.ends, self.begins, self.lines = (np.zeros(size, bool) for _ in range(3))
         for token, i in ranks.items():
-            self.ends[i] = token[-1:] in (b".", b"!", b"?") or b"\n" in token
+            self.ends[i] = token[-1:] in (b".", b"!", b"?")
             self.begins[i] = token[:1] in (b" ", b"\n")
+            self.lines[i] = b"\n" in token
 
     def ids(self, text: str):
         if any(s in text for s in self.special):
@@ -116,16 +138,20 @@ class _Packer:
 
         self.np, self.tokens, self.next, self.capacity, self.with_ids = np, tokens, first, capacity, with_ids
         self.parts: list[tuple] = []  # (id, offset of this part in its document, ids, document's length)
-        self.size = 0
+        self.size, self.limit = 0, BLOCK
 
     def add(self, doc_id, text: str | None) -> Iterator[tuple]:
         np = self.np
         ids = np.append(self.tokens.ids(text or "").astype("<u4"), np.array([END], "<u4"))
         for at in range(0, len(ids), BLOCK):
             part = ids[at : at + BLOCK]
-            self.parts.append((doc_id, at, part, len(ids)))
+            if at and self.parts:  # what is left of the same document: a window's piece of it stays one
+                _, since, before, _ = self.parts.pop()
+                self.parts.append((doc_id, since, np.concatenate([before, part]), len(ids)))
+            else:
+                self.parts.append((doc_id, at, part, len(ids)))
             self.size += len(part)
-            if self.size >= BLOCK:
+            if self.size >= self.limit:
                 yield from self.flush(False)
 
     def flush(self, last: bool) -> Iterator[tuple]:
@@ -136,7 +162,7 @@ class _Packer:
         lengths = np.array([len(p[2]) for p in self.parts], np.int64)
         stops = np.cumsum(lengths)
         inside = np.zeros(len(stream) + 1, np.int16)
-        inside[1:-1] = np.where(self.tokens.ends[stream[:-1]] & self.tokens.begins[stream[1:]], 2, 0)
+        inside[1:-1] = np.where(self.tokens.lines[stream[:-1]] | (self.tokens.ends[stream[:-1]] & self.tokens.begins[stream[1:]]), 2, 0)
         done = np.array([p[1] + len(p[2]) == p[3] for p in self.parts])
         inside[stops[done]] = 1
         inside[0] = 1
@@ -145,14 +171,12 @@ class _Packer:
         if len(wide):
             ends = np.append(marks, len(stream))
             inside[np.concatenate([np.arange(ends[w] + HARD_STEP, ends[w + 1], HARD_STEP) for w in wide])] |= 4
-        if not inside[-1]:
+        if last and not inside[-1]:
             inside[-1] = 4
         marks = np.flatnonzero(inside)
         price = np.array([0, 0, SENTENCE_CUT, 0, HARD_CUT, 0, SENTENCE_CUT, 0], np.int64)
         positions = marks.tolist()
-        cuts = [positions[i] for i in cut_points(positions, price[inside[marks]].tolist(), self.capacity)]
-        if not last:
-            cuts.pop()  # the open window goes on in the next block
+        cuts = [positions[i] for i in cut_points(positions, price[inside[marks]].tolist(), self.capacity, not last, len(stream) >= MOST)]
         part, begin, start = 0, 0, 0  # begin: where the part at hand starts in the stream
         for cut in cuts:
             offset = 0
@@ -171,6 +195,7 @@ class _Packer:
             doc_id, at, ids, total = rest[0]
             rest[0] = (doc_id, at + start - begin, ids[start - begin :], total)
         self.parts, self.size = rest, sum(len(p[2]) for p in rest)
+        self.limit = self.size + BLOCK
 
 
 def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
