@@ -6,6 +6,7 @@ Crops, flips, turns and patches only move pixels and are expressions. Resampling
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,16 +49,30 @@ def _moved(df: DataFrame, out_h: Column, out_w: Column, source: Callable, column
     return df.withColumns(made | {"h": out_h.cast("int"), "w": out_w.cast("int")})
 
 
+def _boxed(df: DataFrame, size: int, columns: Iterable[str], top: Column, left: Column) -> DataFrame:
+    """The box from (top, left): slices of rows; in an image without room for it pixel by pixel, with zeros outside."""
+    side, h, w, c = F.lit(size), F.col("h"), F.col("w"), F.col("c")
+
+    def rows(px: Column, w: Column, c: Column, top: Column, left: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda y: F.slice(px, (((y + top) * w + left) * c + 1).cast("int"), size * c)))
+
+    def made(name: str) -> Column:
+        loose = A.remap(name, h, w, c, side, side, lambda y, x, top, left: (y + top, x + left), top, left)
+        return F.when((h >= size) & (w >= size), A.bind(rows, F.col(name), w, c, top, left)).otherwise(loose)
+
+    return df.withColumns({name: made(name) for name in columns} | {"h": side.cast("int"), "w": side.cast("int")})
+
+
 def center_crop(df: DataFrame, size: int, columns: Iterable[str] = ("pixels",)) -> DataFrame:
     """The middle ``size`` x ``size``, offsets rounded down; images that are smaller are filled with zeros right and below."""
     top, left = (F.greatest(F.lit(0), F.floor((F.col(s) - size) / 2).cast("int")) for s in "hw")
-    return _moved(df, F.lit(size), F.lit(size), lambda y, x, top, left: (y + top, x + left), columns, top, left)
+    return _boxed(df, size, columns, top, left)
 
 
 def random_crop_pair(df: DataFrame, size: int, seed: int, columns: Iterable[str] = ("pixels",)) -> DataFrame:
     """One random box for all image columns; every place from 0 to side - size is as likely."""
     draw = lambda side, name: F.floor(hash_uniform(f"{seed}:{name}", F.col("id")) * (F.col(side) - size + 1)).cast("int")
-    return _moved(df, F.lit(size), F.lit(size), lambda y, x, top, left: (y + top, x + left), columns, draw("h", "top"), draw("w", "left"))
+    return _boxed(df, size, columns, draw("h", "top"), draw("w", "left"))
 
 
 def hflip(df: DataFrame, seed: int, p: float = 0.5, columns: Iterable[str] = ("pixels",)) -> DataFrame:
@@ -139,6 +154,7 @@ def _kernel(x):
     return np.where(x < 1, (1.5 * x - 2.5) * x * x + 1, np.where(x < 2, ((-0.5 * x + 2.5) * x - 4) * x + 2, 0.0))
 
 
+@cache
 def _weights(size: int, out: int):
     """out x size matrix: the kernel, widened by the shrink factor, at each output's centre; rows sum to 1."""
     import numpy as np
@@ -150,8 +166,8 @@ def _weights(size: int, out: int):
     return w / w.sum(1, keepdims=True)
 
 
-def resample(image, h: int, w: int):
-    """Bicubic with antialiasing of an (H, W, C) array of 0..255: across, then down, 8-bit between.
+def resample(images, h: int, w: int):
+    """Bicubic with antialiasing of (N, H, W, C) arrays of 0..255: across, then down, 8-bit between.
 
     Halves go up; a sum within 1e-9 of a half counts as one, so the order of addition does not matter.
     """
@@ -160,31 +176,47 @@ def resample(image, h: int, w: int):
     def level(a):
         return np.clip(np.floor(a + (0.5 + 1e-9)), 0, 255)
 
-    out = image.astype(float)
-    if out.shape[1] != w:
-        out = level(np.einsum("ow,hwc->hoc", _weights(out.shape[1], w), out))
-    if out.shape[0] != h:
-        out = level(np.einsum("oh,hwc->owc", _weights(out.shape[0], h), out))
+    out = images.astype(float)
+    if out.shape[2] != w:
+        out = level(np.einsum("ow,nhwc->nhoc", _weights(out.shape[2], w), out))
+    if out.shape[1] != h:
+        out = level(np.einsum("oh,nhwc->nowc", _weights(out.shape[1], h), out))
     return out
 
 
-def _halve(image):
-    """2 x 2 block means, to the nearest level; a last odd row or column is shared out as an area mean."""
+@cache
+def _areas(size: int):
+    """size // 2 x size matrix of area means."""
+    import numpy as np
+
+    out = size // 2
+    edges, i = np.arange(out + 1) * (size / out), np.arange(size)
+    return np.clip(np.minimum(edges[1:, None], i + 1) - np.maximum(edges[:-1, None], i), 0, None) / (size / out)
+
+
+def halve(images, times: int):
+    """``times`` rounds of 2 x 2 block means, to the nearest level; a last odd row or column is shared out as an area mean."""
     import numpy as np
 
-    def area(size: int):
-        out = size // 2
-        edges = np.arange(out + 1) * (size / out)
-        i = np.arange(size)
-        return np.clip(np.minimum(edges[1:, None], i + 1) - np.maximum(edges[:-1, None], i), 0, None) / (size / out)
+    for _ in range(times):
+        for spec, axis in (("ow,nhwc->nhoc", 2), ("oh,nhwc->nowc", 1)):
+            images = np.floor(np.einsum(spec, _areas(images.shape[axis]), images) + 0.5)
+    return images
 
-    return np.floor(np.einsum("oh,hwc->owc", area(image.shape[0]), np.floor(np.einsum("ow,hwc->hoc", area(image.shape[1]), image) + 0.5)) + 0.5)
 
+def middle(images, size: int):
+    """The middle ``size`` x ``size``, as ``center_crop`` has it."""
+    import numpy as np
 
+    out = np.zeros((len(images), size, size, images.shape[3]))
+    top, left = (max(0, (side - size) // 2) for side in images.shape[1:3])
+    part = images[:, top : top + size, left : left + size]
+    out[:, : part.shape[1], : part.shape[2]] = part
+    return out
 
 
-def _each_image(df: DataFrame, fn: Callable, columns: list[str]) -> DataFrame:
-    """Apply ``fn(images, row)`` to the image columns of each row; sides are taken from the first result.
+def _each_shape(df: DataFrame, fn: Callable, columns: list[str]) -> DataFrame:
+    """Apply ``fn(stacks, rows)`` to the images of one shape at a time: a stack (N, H, W, C) for each image column, and their rows.
 
     Spark bounds an Arrow batch by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``), so large images come a few at a time.
     """
@@ -194,49 +226,49 @@ def _each_image(df: DataFrame, fn: Callable, columns: list[str]) -> DataFrame:
         import numpy as np
 
         for pdf in batches:
-            rows = []
-            for row in pdf.to_dict("records"):
-                images = [np.asarray(row[c], float).reshape(int(row["h"]), int(row["w"]), int(row["c"])) for c in columns]
-                made = fn(images, row)
-                row |= {c: m.ravel().tolist() for c, m in zip(columns, made, strict=True)} | {"h": made[0].shape[0], "w": made[0].shape[1]}
-                rows.append(row)
-            yield type(pdf)(rows, columns=names)
+            for shape, at in pdf.groupby(["h", "w", "c"]).indices.items():
+                rows = pdf.iloc[at].reset_index(drop=True)
+                made = fn([np.stack(rows[c].to_list()).astype(float).reshape(-1, *map(int, shape)) for c in columns], rows)
+                for c, m in zip(columns, made, strict=True):
+                    rows[c] = list(m.reshape(len(rows), -1))
+                rows["h"], rows["w"] = (np.int32(side) for side in made[0].shape[1:3])
+                yield rows[names]
 
     return df.mapInPandas(run, df.schema)
 
 
-def upscale_short_side(df: DataFrame, size: int, columns: Iterable[str] = ("pixels",)) -> DataFrame:
-    """Bicubic, so that the shorter side is ``size``; larger images stay."""
+def _to_sides(df: DataFrame, h: Column, w: Column, times: Column | None, fn: Callable, columns: Iterable[str]) -> DataFrame:
+    """Halve ``times`` and resample each image to sides that Spark works out, then ``fn(stack)``."""
+    sided = df.withColumns({"__ft_h": h, "__ft_w": w, "__ft_times": F.lit(0) if times is None else times.cast("int")})
+    columns = list(columns)
+
+    def each(stacks, rows):
+        h, w, times = (int(rows[c].iloc[0]) for c in ("__ft_h", "__ft_w", "__ft_times"))  # the same for all of one shape
+        return [fn(resample(halve(s, times), h, w)) for s in stacks]
+
+    return _each_shape(sided, each, columns).drop("__ft_h", "__ft_w", "__ft_times")
 
-    def fn(images, row):
-        h, w = images[0].shape[:2]
-        if min(h, w) >= size:
-            return images
-        scale = size / min(h, w)
-        return [resample(i, round(h * scale), round(w * scale)) for i in images]
 
-    return _each_image(df, fn, list(columns))
+def upscale_short_side(df: DataFrame, size: int, columns: Iterable[str] = ("pixels",)) -> DataFrame:
+    """Bicubic to ``upscaled_size``."""
+    return _to_sides(df, *upscaled_size(F.col("h"), F.col("w"), size), None, lambda s: s, columns)
 
 
 def resize_square(df: DataFrame, n: int, columns: Iterable[str] = ("pixels",)) -> DataFrame:
     """Bicubic to n x n."""
-    return _each_image(df, lambda images, row: [resample(i, n, n) for i in images], list(columns))
+    return _to_sides(df, F.lit(n), F.lit(n), None, lambda s: s, columns)
+
 
+def _per_image(transform: Callable | None, images):
+    """The caller's hook, image by image."""
+    import numpy as np
 
-def halving_crop(image, size: int):
-    """Halve while both sides allow it, scale the shorter side to ``size``, cut the middle."""
-    while min(image.shape[:2]) >= 2 * size:
-        image = _halve(image)
-    h, w = image.shape[:2]
-    scale = size / min(h, w)
-    image = resample(image, round(h * scale), round(w * scale))
-    top, left = (image.shape[0] - size) // 2, (image.shape[1] - size) // 2
-    return image[top : top + size, left : left + size]
+    return np.stack([transform(i) for i in images]) if transform else images
 
 
 def halving_center_crop(df: DataFrame, size: int, transform: Callable | None = None, columns: Iterable[str] = ("pixels",)) -> DataFrame:
-    """``halving_crop`` for each image, then the caller's ``transform(array) -> array``, in the same pass."""
-    return _each_image(df, lambda images, row: [(transform or (lambda a: a))(halving_crop(i, size)) for i in images], list(columns))
+    """Images by ``halved_size``, their middle, then the caller's ``transform(array) -> array``, in the same pass."""
+    return _to_sides(df, *halved_size(F.col("h"), F.col("w"), size), lambda s: _per_image(transform, middle(s, size)), columns)
 
 
 def prepare_pairs(
@@ -251,30 +283,28 @@ def prepare_pairs(
         raise ValueError("resize must not be below size: there is no box to crop")
     columns = list(columns)
     draws = {f"__ft_{n}": hash_uniform(f"{seed}:{n}", F.col("id")) for n in ("top", "left", "hflip", "vflip", "rot90")}
+    h, w = (F.lit(resize), F.lit(resize)) if resize else upscaled_size(F.col("h"), F.col("w"), size)
+    names = list(draws)
 
-    def fn(images, row):
+    def box(image, row):
         import numpy as np
 
-        h, w = images[0].shape[:2]
-        if resize:
-            images = [resample(i, resize, resize) for i in images]
-        else:
-            images = [i if min(i.shape[:2]) >= size else resample(i, *(round(s * size / min(i.shape[:2])) for s in i.shape[:2])) for i in images]
-        h, w = images[0].shape[:2]
-        top, left = max(0, (h - size) // 2), max(0, (w - size) // 2)
+        top, left = (int(row[f"__ft_{n}"] * (side - size + 1)) for n, side in zip(("top", "left"), image.shape[:2], strict=True))
+        out = image[top : top + size, left : left + size]
+        if flip:
+            out = out[:: -1 if row["__ft_vflip"] < 0.5 else 1, :: -1 if row["__ft_hflip"] < 0.5 else 1]
+        return np.rot90(out, int(row["__ft_rot90"] * 4)) if turn else out
+
+    def each(stacks, rows):
+        import numpy as np
+
+        sides = [int(rows[c].iloc[0]) for c in ("__ft_h", "__ft_w")]
+        scaled = [resample(s, *sides) for s in stacks]
         if train:
-            top, left = int(row["__ft_top"] * (h - size + 1)), int(row["__ft_left"] * (w - size + 1))
-        out = []
-        for i in images:
-            box = np.zeros((size, size, i.shape[2]))
-            part = i[top : top + size, left : left + size]
-            box[: part.shape[0], : part.shape[1]] = part
-            if train and flip:
-                box = box[:, ::-1] if row["__ft_hflip"] < 0.5 else box
-                box = box[::-1] if row["__ft_vflip"] < 0.5 else box
-            if train and turn:
-                box = np.rot90(box, int(row["__ft_rot90"] * 4))
-            out.append(transform(box) if transform else box)
-        return out
-
-    return _each_image(df.withColumns(draws), fn, columns).drop(*draws)
+            marks = rows[names].to_dict("records")  # a few numbers for each image
+            scaled = [np.stack([box(i, m) for i, m in zip(s, marks, strict=True)]) for s in scaled]
+        else:
+            scaled = [middle(s, size) for s in scaled]
+        return [_per_image(transform, s) for s in scaled]
+
+    return _each_shape(df.withColumns(draws | {"__ft_h": h, "__ft_w": w}), each, columns).drop(*draws, "__ft_h", "__ft_w")

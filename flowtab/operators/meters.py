@@ -93,27 +93,35 @@ def thin_log(df: DataFrame, freq: int, steps_per_epoch: int, step: str = "step")
 def progress(df: DataFrame, freq: int, by: str = "meter", block: int = BLOCK) -> DataFrame:
     """Iteration time, its running mean and the time left, at every ``freq``-th row and the last of each run.
 
-    ``df``: ``step, ts`` and the run's column. Seconds; the first row's time is unknown.
+    ``df``: ``step, ts`` (an iteration's end) and the run's column; with ``loaded`` (when its data had come) also the wait for data and
+    its running mean. Seconds; the first row's time is unknown, and so counts for nothing. The time left is that of all iterations
+    not yet done when this one began. ``total_s`` and ``s_per_it`` are so far; at the last row they are the run's.
     """
+    waits = "loaded" in df.columns
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    blocks = _blocks(df.select(by, "step", seconds.alias("s")), by, 1, max(2, block))
+    came = F.unix_micros(F.col("loaded").cast("timestamp")) / 1e6 if waits else F.lit(None).cast("double")
+    blocks = _blocks(df.select(by, "step", seconds.alias("s"), came.alias("came")), by, 1, max(2, block))
     w = Window.partitionBy("__ft_block", by).orderBy("step")
-    timed = blocks.withColumn("iter_s", F.col("s") - F.lag("s").over(w)).where("not __ft_extra")
-    each = timed.groupBy(by, "__ft_block").agg(F.count("*").alias("n"), F.sum("iter_s").alias("t"), F.count("iter_s").alias("k"))
+    wait = F.when(F.col("came").isNotNull() & F.lag("s").over(w).isNotNull(), F.greatest(F.lit(0.0), F.col("came") - F.lag("s").over(w)))
+    timed = blocks.withColumns({"iter_s": F.col("s") - F.lag("s").over(w), "data_s": wait}).where("not __ft_extra")
+    each = timed.groupBy(by, "__ft_block").agg(F.count("*").alias("n"), F.sum("iter_s").alias("t"), F.count("iter_s").alias("k"), F.sum("data_s").alias("d"))
     earlier = Window.partitionBy(by).orderBy("__ft_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = each.select(
-        by, "__ft_block", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"b{c}") for c in ("n", "t", "k")), F.sum("n").over(Window.partitionBy(by)).alias("rows")
+        by, "__ft_block", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"b{c}") for c in ("n", "t", "k", "d")), F.sum("n").over(Window.partitionBy(by)).alias("rows")
     )
     sofar = w.rowsBetween(Window.unboundedPreceding, 0)
-    inside = timed.select(by, "step", "__ft_block", "iter_s", F.count("*").over(sofar).alias("i"), F.sum("iter_s").over(sofar).alias("t"), F.count("iter_s").over(sofar).alias("k"))
+    inside = timed.select(by, "step", "__ft_block", "iter_s", "data_s", F.sum("data_s").over(sofar).alias("d"), F.count("*").over(sofar).alias("i"), F.sum("iter_s").over(sofar).alias("t"), F.count("iter_s").over(sofar).alias("k"))
     out = (
         inside.join(sums, [by, "__ft_block"])
         .withColumn("iteration", (F.col("bn") + F.col("i") - 1).cast("bigint"))
         .withColumn("mean_s", (F.col("bt") + F.coalesce("t", F.lit(0.0))) / F.nullif(F.col("bk") + F.col("k"), F.lit(0)))
-        .withColumn("eta_s", F.col("mean_s") * (F.col("rows") - F.col("iteration") - 1))
+        .withColumn("mean_data_s", (F.col("bd") + F.coalesce("d", F.lit(0.0))) / F.nullif(F.col("bk") + F.col("k"), F.lit(0)))
+        .withColumn("eta_s", F.col("mean_s") * (F.col("rows") - F.col("iteration")))
+        .withColumn("total_s", F.col("bt") + F.coalesce("t", F.lit(0.0)))
+        .withColumn("s_per_it", F.col("total_s") / (F.col("iteration") + 1))
     )
     shown = (F.col("iteration") % freq == 0) | (F.col("iteration") == F.col("rows") - 1)
-    return out.where(shown).select(by, "step", "iteration", "iter_s", "mean_s", "eta_s")
+    return out.where(shown).select(by, "step", "iteration", "iter_s", "mean_s", "eta_s", *(["data_s", "mean_data_s"] if waits else []), "total_s", "s_per_it")
 
 
 def format_meters(df: DataFrame, delimiter: str = "  ") -> DataFrame:

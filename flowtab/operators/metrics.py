@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.joins import cut
 
 #: Default weights of the loss terms after the velocity error.
 WEIGHTS = {"recon": 1.0, "residual": 0.2, "ssim": 0.1, "gradient": 0.05}
@@ -109,11 +110,18 @@ def mean_psnr(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("psnr").alias("n"), (F.sum("psnr") / F.nullif(F.count("psnr"), F.lit(0))).alias("psnr"))
 
 
-def feature_moments(df: DataFrame, col: str = "f") -> tuple[int, object, object]:
-    """Count, mean vector and sample covariance of a feature column of equal lengths.
+def _summed(parts: DataFrame, by: str) -> DataFrame:
+    """``by, x``: the sum of the arrays ``x`` of each group, element by element, added up by tasks before the shuffle."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    return parts.groupBy(by).agg(vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("x"))
+
 
-    Each task adds up its rows' outer products about one row taken as the origin, and Spark adds up the tasks' sums; only
-    d x d numbers reach the driver.
+def moment_sums(df: DataFrame, col: str = "f") -> tuple[DataFrame, object]:
+    """Rows ``i, x`` and the pilot: one row of features, about which the sums are taken.
+
+    Row i is row i of the sum of outer products; the last one (i = d) has the sums and the count. Each task gives d + 1 rows.
     """
     import numpy as np
 
@@ -126,20 +134,40 @@ def feature_moments(df: DataFrame, col: str = "f") -> tuple[int, object, object]
     def partial(batches: Iterable) -> Iterator:
         import pandas as pd
 
-        total, rows = np.zeros((d + 1, d)), 0
+        gram, shift, rows = np.zeros((d, d)), np.zeros(d), 0
         for pdf in batches:
             x = np.stack(pdf["f"].to_list()) - pilot
-            total[:d] += x.T @ x
-            total[d] += x.sum(0)
+            gram += x.T @ x
+            shift += x.sum(0)
             rows += len(x)
-        yield pd.DataFrame({"i": np.arange(total.size + 1), "x": np.append(total.ravel(), rows)})
+        yield pd.DataFrame({"i": range(d + 1), "x": [*gram, np.append(shift, rows)]})
+
+    return _summed(first.mapInPandas(partial, "i long, x array<double>"), "i"), pilot
+
+
+def feature_moments(df: DataFrame, col: str = "f") -> tuple[int, object, object]:
+    """Count, mean vector and sample covariance of a feature column of equal lengths; d + 1 rows reach the driver."""
+    import numpy as np
+
+    sums, pilot = moment_sums(df, col)
+    rows = sums.orderBy("i").toArrow()["x"]
+    *gram, last = (np.array(x.values.to_numpy()) for x in rows)
+    shift, n = last[:-1], int(last[-1])
+    return n, pilot + shift / n, (np.stack(gram) - np.outer(shift, shift) / n) / max(1, n - 1)
 
-    sums = first.mapInPandas(partial, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
-    flat = np.zeros((d + 1) * d + 1)
-    for r in sums.collect():
-        flat[r.i] = r.x
-    gram, shift, n = flat[: d * d].reshape(d, d), flat[d * d : -1], int(flat[-1])
-    return n, pilot + shift / n, (gram - np.outer(shift, shift) / n) / max(1, n - 1)
+
+def covariance_rows(df: DataFrame, col: str = "f") -> DataFrame:
+    """The same as rows ``i, j, mean_i, cov``, made by Spark; the driver sees the sums (d numbers) alone."""
+    sums, pilot = moment_sums(df, col)
+    sums = cut(sums)
+    d = len(pilot)
+    last = sums.where(F.col("i") == d).first().x
+    n = last[d]
+    means = sums.sparkSession.createDataFrame([(k, s / n, float(p) + s / n) for k, (s, p) in enumerate(zip(last, pilot, strict=False))], "k int, shift double, mean double")
+    flat = sums.where(F.col("i") < d).select(F.col("i").cast("int").alias("i"), F.posexplode("x").alias("j", "g"))
+    here, there = means.alias("a"), means.alias("b")
+    met = flat.join(here, F.col("i") == F.col("a.k")).join(there, F.col("j") == F.col("b.k"))
+    return met.select("i", "j", F.col("a.mean").alias("mean_i"), ((F.col("g") - n * F.col("a.shift") * F.col("b.shift")) / max(1.0, n - 1)).alias("cov"))
 
 
 def frechet(mu_a, sigma_a, mu_b, sigma_b) -> float:
@@ -182,39 +210,34 @@ def inception_score(df: DataFrame, probs: str = "p", split: Column | None = None
 
 
 def fit_class_gaussian(df: DataFrame, null_class: int, col: str = "target") -> DataFrame:
-    """``label, mu, var``: mean and population variance of each pixel by class, and over all as the null class."""
+    """``label, mu, var``: mean and population variance of each pixel by class, and over all as the null class.
+
+    Each task adds up, for each label, the differences from one image (the pilot), their squares and the rows; Spark adds up
+    the tasks' sums. Nothing is listed by task.
+    """
+    import numpy as np
+
+    rows = df.where("label is not null").select("label", F.col(col).cast("array<double>").alias("x"))
+    some = rows.where("x is not null").take(1)
+    pilot = np.array(some[0].x) if some else np.zeros(0)
+    d = len(pilot)
 
     def partial(batches: Iterable) -> Iterator:
-        """Of each task and label: rows, and for each pixel the mean and the sum of squares about it (merged as they come)."""
-        import numpy as np
         import pandas as pd
 
-        found: dict[int, tuple] = {}
+        found: dict[int, object] = {}
         for pdf in batches:
-            for label, rows in pdf.groupby("label").indices.items():
-                x = np.stack(pdf["x"].iloc[rows].to_list())
-                n, mean = len(x), x.mean(0)
-                found[label] = _merged(found.get(label), (n, mean, ((x - mean) ** 2).sum(0)))
-        out = [(k, n, np.arange(len(m)).tolist(), m.tolist(), q.tolist()) for k, (n, m, q) in found.items()]
-        yield pd.DataFrame(out, columns=["label", "n", "i", "m", "q"])
+            for label, at in pdf.groupby("label").indices.items():
+                x = np.stack(pdf["x"].iloc[at].to_list()) - pilot
+                sums = np.concatenate([x.sum(0), (x * x).sum(0), [len(x)]])
+                for k in (label, null_class):
+                    found[k] = found[k] + sums if k in found else sums
+        yield pd.DataFrame({"label": list(found), "x": list(found.values())})
+
+    def final(batches: Iterable) -> Iterator:
+        for pdf in batches:
+            x = np.stack(pdf["x"].to_list()) if len(pdf) else np.zeros((0, 2 * d + 1))
+            n, shift = x[:, -1:], x[:, :d] / x[:, -1:]
+            yield type(pdf)({"label": pdf["label"], "mu": list(pilot + shift), "var": list(np.maximum(0, x[:, d : 2 * d] / n - shift * shift))})
 
-    rows = df.where("label is not null").select("label", F.col(col).cast("array<double>").alias("x"))
-    parts = rows.mapInPandas(partial, "label int, n long, i array<int>, m array<double>, q array<double>")
-    # From here on there is a row for each task, class and pixel; the spread between the tasks' means is added to that within.
-    flat = parts.select("label", "n", F.explode(F.arrays_zip("i", "m", "q")).alias("p")).select("label", "n", "p.i", "p.m", "p.q")
-    both = flat.select(F.explode(F.array("label", F.lit(null_class))).alias("label"), "n", "i", "m", "q")
-    n, m = F.col("n"), F.col("m")
-    each = both.groupBy("label", "i").agg(F.sum("n").alias("n"), (F.sum(n * m) / F.sum(n)).alias("m"), F.sum("q").alias("q"), F.collect_list(F.struct("n", "m")).alias("parts"))
-    between = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["n"] * (p["m"] - F.col("m")) * (p["m"] - F.col("m")))
-    final = each.select("label", "i", "m", ((F.col("q") + between) / F.col("n")).alias("v"))
-    ordered = final.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m", "v"))).alias("a"))
-    return ordered.select("label", F.transform("a", lambda s: s["m"]).alias("mu"), F.transform("a", lambda s: s["v"]).alias("var"))
-
-
-def _merged(a: tuple | None, b: tuple) -> tuple:
-    """Counts, means and sums of squares of two groups as those of their union."""
-    if a is None:
-        return b
-    n = a[0] + b[0]
-    gap = b[1] - a[1]
-    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + gap * gap * (a[0] * b[0] / n)
+    return _summed(rows.mapInPandas(partial, "label int, x array<double>"), "label").mapInPandas(final, "label int, mu array<double>, var array<double>")

@@ -7,19 +7,12 @@ for each, meet in one place.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster names, so that both uses see the same parts."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowtab-checkpoints-"))
-    return df.checkpoint()
+from ..functions.joins import cut
 
 
 def global_index(df: DataFrame, keys: Sequence[str], name: str = "idx") -> DataFrame:
@@ -30,7 +23,7 @@ def global_index(df: DataFrame, keys: Sequence[str], name: str = "idx") -> DataF
         .withColumn("__ft_part", F.spark_partition_id())
         .withColumn("__ft_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    parted = _checkpointed(parted)
+    parted = cut(parted)  # both uses see the same parts
     counts = parted.groupBy("__ft_part").agg(F.count("*").alias("__ft_n"))
     before = counts.select(
         F.col("__ft_part"), F.coalesce(F.sum("__ft_n").over(Window.orderBy("__ft_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ft_before")

@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import dealt_left
+
 
 def learning_rate(df: DataFrame, lr: float, min_lr: float, warmup: float, epochs: float, schedule: str = "constant", epoch: str = "epoch") -> DataFrame:
     """Add ``lr`` for a fractional epoch: linear warm-up from 0, then constant or a half cosine down to ``min_lr``."""
@@ -50,10 +52,12 @@ def _weight(decay: float) -> Column:
 def emas(df: DataFrame, **decays: float) -> DataFrame:
     """Exponential averages of each value over its steps 0..n, in closed form: any order, partial sums.
 
-    The last step of each value is an aggregate joined back, so a value with very many steps is not gathered anywhere.
+    The last step of each value is an aggregate joined back, the steps of one value dealt to several tasks; so a value with very many
+    steps is gathered nowhere.
     """
-    last = df.groupBy("name", "idx").agg(F.max("step").alias("__ft_last"))
-    return df.join(last, ["name", "idx"]).groupBy("name", "idx").agg(*(F.sum(F.col("value") * _weight(d)).alias(n) for n, d in decays.items()))
+    last = df.groupBy(F.col("name").alias("__ft_name"), F.col("idx").alias("__ft_idx")).agg(F.max("step").alias("__ft_last"))
+    met = dealt_left(df, last, (F.col("name") == F.col("__ft_name")) & (F.col("idx") == F.col("__ft_idx")), F.xxhash64("step"))
+    return met.groupBy("name", "idx").agg(*(F.sum(F.col("value") * _weight(d)).alias(n) for n, d in decays.items()))
 
 
 def ema(df: DataFrame, decay: float, name: str = "ema") -> DataFrame:
@@ -73,4 +77,5 @@ def parameter_count(df: DataFrame) -> DataFrame:
 
 def lookup_embedding(df: DataFrame, table: DataFrame) -> DataFrame:
     """The table's vector for each label; the null class is a row of the table like any other."""
-    return df.join(table.select("label", "vec"), "label", "left")
+    vectors = table.select(F.col("label").alias("__ft_label"), "vec")
+    return dealt_left(df, vectors, F.col("label") == F.col("__ft_label"), F.xxhash64("id")).drop("__ft_label")

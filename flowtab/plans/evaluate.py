@@ -8,24 +8,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.joins import cut
 from ..operators import metrics
 from ..operators.images import halving_center_crop
 from ..operators.order import generation_plan, global_index
+from ..operators.pairing import class_index
 from ..sources.images import read_images, read_labeled_images, relative
 from ..sources.sinks import export_images, export_name, write_metric_log
 from .scoring import Predictor, generate, restore
 
 
+def reference_set(images: DataFrame, size: int, transform: Callable | None = None, listing: DataFrame | None = None) -> DataFrame:
+    """``idx, label, file_name, content`` of images ``rel, h, w, c, pixels``: cut to ``size``, numbered by class and path.
+
+    Names ``rel, class_name`` are numbered, those of ``listing`` or else the images' own; the pixels meet their number in one join, by path.
+    """
+    names = class_index((images if listing is None else listing).select("rel", "class_name")).withColumn("__ft_order", F.split("rel", "/"))
+    numbered = global_index(names, ["label", "__ft_order"]).select(F.col("rel").alias("__ft_rel"), "label", "idx")
+    cropped = halving_center_crop(images.select("rel", "h", "w", "c", "pixels"), size, transform)
+    named = cropped.join(numbered, F.col("rel") == F.col("__ft_rel")).withColumn("file_name", export_name("reference", index=F.col("idx")))
+    return export_images(named, "file_name", "idx", "label").select("idx", "label", "file_name", "content")
+
+
 def prepare_reference_set(spark: SparkSession, root: str, size: int, transform: Callable | None = None) -> DataFrame:
-    """``idx, label, file_name, content`` of all training images, cut to ``size``, numbered by class and path."""
-    listed = read_labeled_images(spark, root).withColumn("__ft_order", F.split("rel", "/"))
-    numbered = global_index(listed, ["label", "__ft_order"]).select("rel", "label", "idx")
+    """The reference set of all images in the class folders of ``<root>/train``."""
     train = f"{root.rstrip('/')}/train"
     images = read_images(spark, train).withColumns({"rel": relative("path", train), "pixels": F.col("pixels").cast("array<double>")})
-    cut = halving_center_crop(images, size, transform)
-    named = cut.join(numbered, "rel").withColumn("file_name", export_name("reference", index=F.col("idx")))
-    files = export_images(named)
-    return named.select("idx", "label", "file_name").join(files, "file_name").select("idx", "label", "file_name", "content")
+    return reference_set(images, size, transform, read_labeled_images(spark, root))
 
 
 def evaluate_generation(
@@ -35,11 +44,11 @@ def evaluate_generation(
     """Generate for rows ``id, idx, label`` (and what the predictor needs), and score the images.
 
     Gives the images (8 bits, with file names) and the scores: ``inception`` over ``softmax(features)``, and ``frechet``
-    where statistics are given.
+    where statistics are given. The images are stored once, and both scores and the caller read them there.
     """
     plan = generation_plan(df, batch, world)
     made = generate(plan, predict, null_class, **sampling).withColumn("u8", A.denormalize_u8("pixels"))
-    images = made.withColumn("file_name", export_name("generated", index=F.col("idx")))
+    images = cut(made.withColumn("file_name", export_name("generated", index=F.col("idx"))))
     scored = images.select(features(F.col("pixels")).alias("f"))
     out = {"inception": metrics.inception_score(scored.select(A.softmax("f").alias("p"))).first().score}
     if stats is not None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.joins import shared_folder
 from ..functions.rand import hash_normal, hash_uniform
 from ..operators import flow, images, meters, metrics, order, pairing, params
 from ..sources import images as sources
@@ -38,9 +38,8 @@ def query(sql: str | None = None) -> Callable:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names; a temporary one where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="flowtab-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder that the cluster names."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # A. Scans, sources, sinks
@@ -397,6 +396,19 @@ def d10_reference_index(spark, sf_dir):
     return order.global_index(listed, ["label", "parts"]).select("rel", "idx")
 
 
+@query(
+    f"WITH {PX}, b AS (SELECT id, y, x, round_even({U8}, 0) AS u FROM px), r AS (SELECT id, y, x // 2 AS x, floor(avg(u) + 0.5) AS u FROM b GROUP BY id, y, x // 2), "
+    "c AS (SELECT id, y // 2 * 4 + x AS pos, floor(avg(u) + 0.5) AS pixels FROM r GROUP BY id, y // 2, x), "
+    "n AS (SELECT vec_id AS id, label, row_number() OVER (ORDER BY label::VARCHAR, label || '/' || vec_id || '.png') - 1 AS idx FROM embeddings), "
+    "d AS (SELECT idx, 'transformed_' || lpad(idx::VARCHAR, 8, '0') || '.png' AS file_name, pos, pixels FROM c JOIN n USING (id)) " + dig("d", "pixels", by="idx, file_name")
+)
+def d10_reference_set(spark, sf_dir):
+    """Images of all classes, cut to 4 x 4, numbered by class and path and written as files, whose pixels are read again."""
+    rows = X.imgs_u8(spark, sf_dir).withColumn("class_name", F.col("label").cast("string")).drop("label")
+    made = evaluate.reference_set(rows.withColumn("rel", F.concat("class_name", F.lit("/"), F.col("id").cast("string"), F.lit(".png"))), 4)
+    return digest(made.withColumn("pixels", sinks.unpng("content")), "pixels", by=("idx", "file_name"))
+
+
 @query(f"WITH {PX}, b AS (SELECT id, y // 2 * 4 + x // 2 AS patch, y % 2 * 2 + x % 2 AS pos, v AS \"values\" FROM px) " + dig("b", '"values"', by="id, patch").replace('"values"_', "values_"))
 def d11_patchify(spark, sf_dir):
     return digest(images.patchify(X.imgs(spark, sf_dir), 2), "values", by=("id", "patch"))
@@ -594,9 +606,8 @@ def g8_mean_psnr(spark, sf_dir):
 
 @query(f"WITH {PX} SELECT a.pos AS i, b.pos AS j, {R('avg(a.v)', 8)} AS mean_i, {R('covar_samp(a.v, b.v)', 8)} AS cov FROM px a JOIN px b ON a.id = b.id GROUP BY a.pos, b.pos")
 def g9_feature_moments(spark, sf_dir):
-    _, mu, sigma = metrics.feature_moments(X.imgs(spark, sf_dir), "pixels")
-    rows = [(i, j, float(mu[i]), float(sigma[i, j])) for i in range(len(mu)) for j in range(len(mu))]
-    return spark.createDataFrame(rows, "i int, j int, mean_i double, cov double").select("i", "j", rounded(F.col("mean_i"), 8).alias("mean_i"), rounded(F.col("cov"), 8).alias("cov"))
+    rows = metrics.covariance_rows(X.imgs(spark, sf_dir), "pixels")
+    return rows.select("i", "j", rounded(F.col("mean_i"), 8).alias("mean_i"), rounded(F.col("cov"), 8).alias("cov"))
 
 
 @query()
@@ -721,6 +732,21 @@ def h8_evaluate_restoration(spark, sf_dir):
     return scores.withColumn("psnr", rounded(F.col("psnr")))
 
 
+@query(
+    f"WITH {_sampled_sql(N(repr('0:noise'), 'pr.id', 'pr.pos'), 'euler', 3)}, ft AS (SELECT id, pos, z AS v FROM z3 WHERE pos < 10), "
+    "sx AS (SELECT id, pos, exp(v - max(v) OVER (PARTITION BY id)) AS e FROM ft), pb AS (SELECT id, pos, e / sum(e) OVER (PARTITION BY id) AS p FROM sx), "
+    "mg AS (SELECT pos, avg(p) AS q FROM pb GROUP BY pos), kl AS (SELECT id, sum(p * ln(p / q)) AS d FROM pb JOIN mg USING (pos) GROUP BY id), "
+    "fr AS (SELECT avg(v) AS m, var_samp(v) AS s FROM ft GROUP BY pos) "
+    f"SELECT 'inception' AS tag, {R('exp(avg(d))')} AS value FROM kl UNION ALL SELECT 'frechet', {R('sum((m - 0.25::DOUBLE) * (m - 0.25::DOUBLE) + s)')} FROM fr"
+)
+def h7_generation_scores(spark, sf_dir):
+    """Both scores, from the log. The stored statistics are a point (no spread), which SQL can follow."""
+    rows, log = order.global_index(_with_stats(spark, sf_dir), ["id"]), scratch(spark, "metric-log")
+    stats = spark.createDataFrame([(8, [0.25] * 10, [[0.0] * 10] * 10)], "res int, mu array<double>, sigma array<array<double>>")
+    evaluate.evaluate_generation(rows, scoring.predictor("class_gaussian"), lambda px: F.slice(px, 1, 10), stats, 10, 32, 2, res=8, log=log, steps=3, method="euler")
+    return sinks.read_metric_log(spark, log).select("tag", rounded(F.col("value")).alias("value"))
+
+
 # I. Meters
 
 _W20 = "OVER (PARTITION BY meter ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
@@ -755,13 +781,18 @@ def i5_thin_log(spark, sf_dir):
 
 
 @query(
-    f"WITH {METRICS}, a AS (SELECT meter, step, row_number() OVER w - 1 AS iteration, count(*) OVER (PARTITION BY meter) AS rows, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS iter_s FROM m WINDOW w AS (PARTITION BY meter ORDER BY step)), "
-    "b AS (SELECT *, avg(iter_s) OVER (PARTITION BY meter ORDER BY step ROWS UNBOUNDED PRECEDING) AS mean_s FROM a) "
-    f"SELECT meter, step, iteration, {R('iter_s')} AS iter_s, {R('mean_s')} AS mean_s, {R('mean_s * (rows - iteration - 1)', 3)} AS eta_s FROM b WHERE iteration % 50 = 0 OR iteration = rows - 1"
+    f"WITH {METRICS}, a AS (SELECT meter, step, row_number() OVER w - 1 AS iteration, count(*) OVER (PARTITION BY meter) AS rows, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS iter_s, "
+    "CASE WHEN lag(epoch_us(ts)) OVER w IS NOT NULL THEN greatest(0, epoch_us(ts) - 1000000 * (step % 7) - lag(epoch_us(ts)) OVER w) / 1e6 END AS data_s FROM m WINDOW w AS (PARTITION BY meter ORDER BY step)), "
+    "b AS (SELECT *, avg(iter_s) OVER w AS mean_s, avg(data_s) OVER w AS mean_data_s, coalesce(sum(iter_s) OVER w, 0) AS total_s FROM a WINDOW w AS (PARTITION BY meter ORDER BY step ROWS UNBOUNDED PRECEDING)) "
+    f"SELECT meter, step, iteration, {R('iter_s')} AS iter_s, {R('mean_s')} AS mean_s, {R('mean_s * (rows - iteration)', 3)} AS eta_s, {R('data_s')} AS data_s, {R('mean_data_s')} AS mean_data_s, {R('total_s')} AS total_s, {R('total_s / (iteration + 1)')} AS s_per_it "
+    "FROM b WHERE iteration % 50 = 0 OR iteration = rows - 1"
 )
 def i6_progress(spark, sf_dir):
-    out = meters.progress(X.metric_rows(spark, sf_dir).select("meter", "step", "ts"), 50)
-    return out.withColumns({"iter_s": rounded(F.col("iter_s")), "mean_s": rounded(F.col("mean_s")), "eta_s": rounded(F.col("eta_s"), 3)})
+    """Events as ends of iterations, whose data came up to six seconds before."""
+    loaded = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) - 1_000_000 * (F.col("step") % 7))
+    out = meters.progress(X.metric_rows(spark, sf_dir).select("meter", "step", "ts", loaded.alias("loaded")), 50)
+    names = ("iter_s", "mean_s", "data_s", "mean_data_s", "total_s", "s_per_it")
+    return out.withColumns({c: rounded(F.col(c)) for c in names} | {"eta_s": rounded(F.col("eta_s"), 3)})
 
 
 @query(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.joins import dealt_left
 from ..operators.flow import bridge_source, noise
 
 Predictor = Callable[[Column, Column, Column, Column], Column]
@@ -65,10 +66,12 @@ def class_gaussian(null_class: int = 10, scale: float = 1.0) -> Predictor:
 def with_class_gaussian(df: DataFrame, stats: DataFrame, null_class: int) -> DataFrame:
     """Add ``mu, var`` of each row's label and ``mu_null, var_null``.
 
-    Statistics have one row for each class, of the images' size; Spark broadcasts them only if they are small.
+    Statistics have one row for each class, of the images' size; Spark broadcasts them only if they are small. Else the rows of a
+    label are dealt to several tasks, by ``id``.
     """
     both = stats.join(stats.where(F.col("label") == null_class).select(F.lit(True).alias("one"), F.col("mu").alias("mu_null"), F.col("var").alias("var_null")), F.col("one"))
-    return df.join(both.drop("one"), "label", "left")
+    known = both.drop("one").withColumnRenamed("label", "__ft_label")
+    return dealt_left(df, known, F.col("label") == F.col("__ft_label"), F.xxhash64("id")).drop("__ft_label")
 
 
 def guided_velocity(predict: Predictor, null_class: int, scale: float = 1.0, drop: float = 0.1, low: float = 0.0, high: float = 1.0, eps: float = 0.05) -> Callable:

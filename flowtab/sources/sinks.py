@@ -34,15 +34,43 @@ def png(pixels, h: int, w: int, c: int) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, 1)) + chunk(b"IEND", b"")
 
 
-def export_images(df: DataFrame, name_col: str = "file_name") -> DataFrame:
-    """``file_name, content``: one PNG for each image; write it as Parquet, or hand it to ``write_files``."""
+def unpng(content: Column | str) -> Column:
+    """Samples of PNG files as ``png`` writes them."""
+
+    def one(data: bytes):
+        import numpy as np
+
+        w, h, _, kind = struct.unpack(">IIBB", data[16:26])
+        at, packed = 8, b""
+        while at < len(data):
+            (n,) = struct.unpack(">I", data[at : at + 4])
+            packed += data[at + 8 : at + 8 + n] if data[at + 4 : at + 8] == b"IDAT" else b""
+            at += 12 + n
+        rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + w * {0: 1, 2: 3}[kind])
+        if rows[:, 0].any():
+            raise ValueError("a filtered PNG was not written here")
+        return rows[:, 1:].ravel().astype(float)
+
+    @F.pandas_udf("array<double>")
+    def samples(contents):
+        import pandas as pd
+
+        return pd.Series([one(bytes(d)) for d in contents])
+
+    return samples(content)
+
+
+def export_images(df: DataFrame, name_col: str = "file_name", *keep: str) -> DataFrame:
+    """``file_name, content`` and the columns of ``keep``: one PNG for each image; write it as Parquet, or hand it to ``write_files``."""
+    kept = df.select(*keep).schema
+    fields = ", ".join(["file_name string", "content binary", *(f"{f.name} {f.dataType.simpleString()}" for f in kept)])
 
     def run(batches: Iterable) -> Iterator:
         for pdf in batches:
             made = [png(p, int(h), int(w), int(c)) for p, h, w, c in zip(pdf["pixels"], pdf["h"], pdf["w"], pdf["c"], strict=True)]
-            yield type(pdf)({"file_name": pdf["n"], "content": made})
+            yield type(pdf)({"file_name": pdf["n"], "content": made} | {k: pdf[k] for k in keep})
 
-    return df.select(F.col(name_col).alias("n"), "pixels", "h", "w", "c").mapInPandas(run, "file_name string, content binary")
+    return df.select(F.col(name_col).alias("n"), "pixels", "h", "w", "c", *keep).mapInPandas(run, fields)
 
 
 def write_files(exported: DataFrame, put: Callable[[str, bytes], None]) -> None:

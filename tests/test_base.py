@@ -141,8 +141,10 @@ def test_sizes_and_resampling(spark):
             a, b, n = a // 2, b // 2, n + 1
         s = 256 / min(a, b)
         assert tuple(d[1:]) == (round(a * s), round(b * s), n)
-    flat = np.full((5, 7, 3), 93.0)
-    assert (images.resample(flat, 9, 4) == 93).all() and images.halving_crop(np.full((40, 50, 1), 7.0), 8).shape == (8, 8, 1)
+    flat = np.full((2, 5, 7, 3), 93.0)
+    assert (images.resample(flat, 9, 4) == 93).all() and images.halve(np.full((1, 41, 50, 1), 7.0), 2).shape == (1, 10, 12, 1)
+    mixed = images.halving_center_crop(image_rows(spark, [(40, 50, 1), (8, 9, 3), (33, 17, 1), (40, 50, 1)]), 8).collect()
+    assert all((r.h, r.w, len(r.pixels)) == (8, 8, 64 * r.c) for r in mixed) and len(mixed) == 4
     got = images.prepare_pairs(image_rows(spark, [(9, 8, 3)] * 3).withColumn("condition", F.col("pixels")).withColumnRenamed("pixels", "target"), 8, True, 5).collect()
     assert all(r.condition == r.target and len(r.target) == 192 and r.h == 8 for r in got)
     with pytest.raises(ValueError):
@@ -293,3 +295,52 @@ def test_encodings(spark):
     assert np.allclose(got.g, half(5) + half(3))
     with pytest.raises(ValueError):
         A.grid_encode("r", "c", 6)
+
+
+def test_frechet_by_another_way(spark):
+    """The trace of the root of the product by the product's own eigenvalues."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(i % 2, 1 + i % 3, 5).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, f array<double>")
+    a, b = (np.array([f for i, f in rows if i % 2 == k]) for k in (0, 1))
+    sa, sb = np.cov(a.T), np.cov(b.T)
+    want = ((a.mean(0) - b.mean(0)) ** 2).sum() + np.trace(sa) + np.trace(sb) - 2 * np.sqrt(np.linalg.eigvals(sa @ sb).real).sum()
+    assert math.isclose(metrics.frechet_distance(df.where("id % 2 = 0"), df.where("id % 2 = 1")), want, rel_tol=1e-9)
+
+
+def test_exported_pixels_are_those_of_the_images(spark):
+    """What the export query writes, read by a PNG reader of another make."""
+    rows = image_rows(spark, [(4, 6, 3), (5, 3, 1)]).withColumn("file_name", F.col("id").cast("string"))
+    got = {r.file_name: r.p for r in sinks.export_images(rows).select("file_name", sinks.unpng("content").alias("p")).collect()}
+    assert got == {r.file_name: r.pixels for r in rows.collect()}
+
+
+def test_tasks_give_arrays_and_hot_keys_are_dealt(spark):
+    df = image_rows(spark, [(4, 4, 1)] * 20).withColumnRenamed("pixels", "target")
+    plan = plan_of(metrics.fit_class_gaussian(df, 9))
+    assert "collect_list" not in plan and "explode" not in plan.lower()
+    sums, _ = metrics.moment_sums(df, "target")
+    assert sums.count() == 17
+    steps = spark.createDataFrame([("a", 0, k, float(k)) for k in range(50)], "name string, idx int, step int, value double")
+    assert "__ft_salt" in plan_of(params.ema(steps, 0.9))
+    files = spark.createDataFrame([("a/x.png",)], "rel string")
+    assert "__ft_salt" in plan_of(pairing.pair_images(files, files))
+
+
+def test_progress_counts_waits_and_totals(spark):
+    rows = [("a", k, 10.0 * k, 10.0 * k - 3) for k in range(5)]
+    df = spark.createDataFrame(rows, "meter string, step bigint, e double, l double").select("meter", "step", F.timestamp_seconds("e").alias("ts"), F.timestamp_seconds("l").alias("loaded"))
+    got = meters.progress(df, 2).orderBy("step").collect()
+    assert [(r.iteration, r.iter_s, r.data_s, r.eta_s, r.total_s) for r in got] == [(0, None, None, None, 0.0), (2, 10.0, 7.0, 30.0, 20.0), (4, 10.0, 7.0, 10.0, 40.0)]
+    assert got[-1].s_per_it == 8.0 and "data_s" not in meters.progress(df.drop("loaded"), 2).columns
+
+
+def test_a_shared_folder_is_needed(spark, monkeypatch):
+    from flowtab.functions import joins
+
+    class Bare:
+        conf = type("C", (), {"get": staticmethod(lambda key, other=None: None)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError, match="share"):
+        joins.shared_folder(Bare)
