@@ -7,8 +7,8 @@ agree in all but one part share the template in which that part is a variable fi
 different texts, or in two and has ``long`` or more tokens, which is no chance. Its lines are dropped from all texts but the
 first, by smallest id, that holds it; a text of such lines alone is empty thereafter.
 
-Equal texts are treated as one, so exact copies stay exact copies, for near-dedup to decide on. Texts are counted by a 64-bit hash;
-lines are dropped only where a second one, of another seed, is equal too.
+Equal texts are treated as one, so exact copies stay exact copies, for near-dedup to decide on. Texts are told apart by a 64-bit
+hash; where different texts have one (a second hash, of another seed, tells), these keep all their lines.
 
 Edge cases. A null text is one empty line and stays null. Blank lines, and lines of variable fields alone (rows of numbers), never
 recur. Texts of any length are worked on as arrays of lines, in time linear in them. Null ids come last when the first text is
@@ -53,7 +53,7 @@ def _keys(text: Column) -> list[Column]:
 
 
 def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS, long: int = LONG) -> DataFrame:
-    """Per text with lines to drop: ``row_key, check`` (its hashes) and ``places`` (of the lines, from 0)."""
+    """Per text with lines to drop: ``row_key`` (its hash) and ``places`` (of the lines, from 0)."""
     use_checkpoints(df.sparkSession)
     texts = df.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     key, check = _keys(F.col("t"))
@@ -69,9 +69,12 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     # A template's lines have one token count, which is part of its hash.
     often = (F.col("texts") >= least) | ((F.col("texts") >= 2) & (F.col("tokens") >= long))
     templates = each.groupBy("s").agg(F.count("*").alias("texts"), F.min(first).alias("first"), F.max("tokens").alias("tokens")).where(often).select(F.col("s").alias("t"), F.col("first.k").alias("owner"))
-    flat = lines.select("row_key", "check", "place", F.explode("s").alias("s"))
+    flat = lines.select("row_key", "place", F.explode("s").alias("s"))
     met = salted_left(flat, templates, "s", "t", F.xxhash64("row_key", "place")).where("owner != row_key")
-    return met.groupBy("row_key", "check").agg(F.collect_set("place").alias("places"))
+    found = met.groupBy("row_key").agg(F.collect_set("place").alias("places"))
+    # Every text has a first line, so these are all.
+    two = lines.where("place = 0").groupBy(F.col("row_key").alias("k")).agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a < b")
+    return found.join(two, F.col("row_key") == F.col("k"), "left_anti")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS, long: int = LONG, counts: bool = False) -> DataFrame:
@@ -80,9 +83,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     With ``counts`` two columns are added, ``n_lines`` and ``n_dropped``; columns of ``df`` with these names are replaced.
     """
     text = columns_of(df)[df.columns.index(text_col)]
-    found = recurring(df, id_col, text_col, least, long).toDF("__ft_key", "__ft_check", "__ft_places")
-    key, check = _keys(F.coalesce(text, F.lit("")))
-    met = salted_left(df.withColumns({"__ft_row": key, "__ft_second": check}), found, ["__ft_row", "__ft_second"], ["__ft_key", "__ft_check"], F.xxhash64(columns_of(df)[df.columns.index(id_col)]))
+    found = recurring(df, id_col, text_col, least, long).toDF("__ft_key", "__ft_places")
+    key, _ = _keys(F.coalesce(text, F.lit("")))
+    met = salted_left(df.withColumn("__ft_row", key), found, "__ft_row", "__ft_key", F.xxhash64(columns_of(df)[df.columns.index(id_col)]))
     lines, places = F.split(text, "\n"), F.col("__ft_places")
     # A set difference of places, so that the time is linear in the lines, however many are dropped.
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
