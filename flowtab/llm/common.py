@@ -72,6 +72,43 @@ def salted_left(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return joined.drop("__ft_salt", "__ft_copy")
 
 
+#: Bits of a key filter for each key, places set for one, and the largest filter that is sent to tasks (16 MB).
+BITS_EACH, PLACES, FILTER_BITS = 12, 6, 1 << 27
+
+
+def _filter_place(key: Column, k: int, bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(k), key), F.lit(bits))
+
+
+def key_filter(keys: DataFrame, key: str, most_bits: int = FILTER_BITS) -> tuple[bytes, int] | None:
+    """A Bloom filter of a column's values, sized by their number, and its bits; None where it would be larger than ``most_bits``."""
+    import numpy as np
+
+    bits = max(64, 1 << (BITS_EACH * max(1, keys.count()) - 1).bit_length())
+    if bits > most_bits:
+        return None
+    places = keys.select(F.explode(F.array(*(_filter_place(F.col(key), k, bits) for k in range(PLACES)))).alias("p"))
+    masks = places.groupBy(F.floor(F.col("p") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("mask")).toArrow()
+    out = np.zeros(bits // 32, "<u4")
+    out[masks["word"].to_numpy()] = masks["mask"].to_numpy().astype("<u4")
+    return out.tobytes(), bits
+
+
+def may_hold(found: tuple[bytes, int], key: Column) -> Column:
+    """Whether a key may be in the filter: true for all that are, and for one in some hundreds of others."""
+    data, bits = found
+
+    def is_set(k: int) -> Column:
+        place = _filter_place(key, k, bits)
+        byte = F.conv(F.hex(F.substring(F.lit(data), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    out = is_set(0)
+    for k in range(1, PLACES):
+        out = out & is_set(k)
+    return out
+
+
 def dealt_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, salt: Column, share: int = 256) -> DataFrame:
     """Left join on one key: rows of ``left`` with a key of more than ``share`` rows are dealt to tasks, each with a copy of the right row.
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, salted_left, stored, use_checkpoints
+from .common import FILTER_BITS, columns_of, key_filter, may_hold, salted_left, stored, use_checkpoints
 
 LEAD, PARTS = 4, 4
 #: Texts from which on a template recurs, and tokens from which on it does so from two.
@@ -77,25 +77,34 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     return found.join(two, F.col("row_key") == F.col("k"), "left_anti")
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS, long: int = LONG, counts: bool = False) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS, long: int = LONG, counts: bool = False, most_bits: int = FILTER_BITS) -> DataFrame:
     """``df`` without recurring lines in the text column; all rows and columns stay.
 
     With ``counts`` two columns are added, ``n_lines`` and ``n_dropped``; columns of ``df`` with these names are replaced.
+    ``most_bits`` bounds the filter that tells which texts lose lines; with 0 all go by the join, with the same result.
     """
     text = columns_of(df)[df.columns.index(text_col)]
-    found = recurring(df, id_col, text_col, least, long).toDF("__ft_key", "__ft_places")
+    found = recurring(df, id_col, text_col, least, long).toDF("__ft_key", "__ft_places").checkpoint()
     key, _ = _keys(F.coalesce(text, F.lit("")))
-    met = salted_left(df.withColumn("__ft_row", key), found, "__ft_row", "__ft_key", F.xxhash64(columns_of(df)[df.columns.index(id_col)]))
+    keyed = df.withColumn("__ft_row", key)
+    known = key_filter(found, "__ft_key", most_bits)
+    # Texts that lose nothing need not move to the places; where the texts that do are too many for a filter, all move.
+    hit = F.lit(True) if known is None else may_hold(known, F.col("__ft_row"))
+    met = salted_left(keyed.where(hit), found, "__ft_row", "__ft_key", F.xxhash64(columns_of(df)[df.columns.index(id_col)]))
+    whole = keyed.where(~hit).withColumn("__ft_places", F.lit(None).cast("array<int>"))
     lines, places = F.split(text, "\n"), F.col("__ft_places")
     # A set difference of places, so that the time is linear in the lines, however many are dropped.
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
     kept = F.transform(F.array(F.struct(lines.alias("l"), left.alias("k"))), lambda s: F.array_join(F.transform(s["k"], lambda k: s["l"][k]), "\n"))[0]
-    out = met
-    if counts:
-        out = out.withColumns({"n_lines": F.when(text.isNull(), 1).otherwise(F.size(lines)).cast("bigint"), "n_dropped": F.coalesce(F.size(places), F.lit(0)).cast("bigint")})
     names = ["n_lines", "n_dropped"] if counts else []
-    out = out.withColumn(text_col, F.when(places.isNull() | text.isNull(), text).otherwise(kept))
-    return out.select(*(c for c, n in zip(columns_of(df), df.columns, strict=True) if n not in names), *names)
+
+    def finished(rows: DataFrame) -> DataFrame:
+        if counts:
+            rows = rows.withColumns({"n_lines": F.when(text.isNull(), 1).otherwise(F.size(lines)).cast("bigint"), "n_dropped": F.coalesce(F.size(places), F.lit(0)).cast("bigint")})
+        rows = rows.withColumn(text_col, F.when(places.isNull() | text.isNull(), text).otherwise(kept))
+        return rows.select(*(c for c, n in zip(columns_of(df), df.columns, strict=True) if n not in names), *names)
+
+    return finished(met) if known is None else finished(met).union(finished(whole))
 
 
 SQL = f"""

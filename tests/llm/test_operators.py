@@ -96,6 +96,9 @@ def test_line_dedup_edges(spark, edge):
     assert got.columns == edge.columns and got.count() == edge.count()
     assert line_dedup.dedup_lines(edge.limit(0), counts=True).count() == 0
     assert {r.text for r in got.where("doc_id = 2").collect()} == {None}
+    assert sorted(map(str, line_dedup.dedup_lines(edge, most_bits=0).collect())) == sorted(map(str, got.collect()))
+    docs = table(spark, "sf0.001")
+    assert sorted(line_dedup.dedup_lines(docs, most_bits=0).collect()) == sorted(line_dedup.dedup_lines(docs).collect())
     clash = edge.withColumns({"n_lines": F.lit("mine"), "n_dropped": F.lit("mine")})
     counted = line_dedup.dedup_lines(clash, counts=True)
     assert sorted(counted.columns) == sorted(clash.columns) and dict(counted.dtypes)['n_lines'] == 'bigint'
