@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, columns_of, per_row, row_key, salted_left, use_checkpoints
+from .common import SALTS, columns_of, key_filter, may_hold, per_row, row_key, salted_left, use_checkpoints
 
 _LOW = 0x5555555555555555
 _HALF = 0xFFFFFFFF
@@ -156,8 +156,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """The rows of ``df`` without near-duplicates: of each component the row with the smallest id stays.
 
     Ties (one id with several texts) go by the text's hash, null ids come last, and of repeated rows one
-    stays. Columns stay as they are. Ids and hashes alone meet in the joins before the last one, in which the texts move once
-    to meet the verdicts by id and hash.
+    stays. Columns stay as they are. Ids and hashes alone meet in the joins before the last one, to which only those texts move
+    that a filter of bounded size does not clear.
     """
     return keep_first(df, near_duplicates(df, id_col, text_col).select("doc_id", "row_key", "component_fp"), id_col, text_col)
 
@@ -175,10 +175,16 @@ def keep_first(df: DataFrame, marked: DataFrame, id_col: str, text_col: str) ->
         .select("doc_id", "row_key", "n", (F.col("doc_id").eqNullSafe(F.col("w.i")) & (F.col("row_key") == F.col("w.k"))).alias("wins"))
         .where("not wins or n > 1")
         .select(F.col("doc_id").alias("__ft_id"), F.col("row_key").alias("__ft_key"), F.col("wins").alias("__ft_wins"))
+        .checkpoint()
     )
     keyed = df.withColumn("__ft_row", row_key(F.col(text_col)))
-    met = keyed.join(verdicts, F.col(id_col).eqNullSafe(F.col("__ft_id")) & (F.col("__ft_row") == F.col("__ft_key")), "left")
+    # Texts without a verdict need not move; where those with one are too many for a filter, all move.
+    known = key_filter(verdicts.select(F.xxhash64("__ft_id", "__ft_key").alias("k")), "k")
+    hit = F.lit(True) if known is None else may_hold(known, F.xxhash64(id_col, "__ft_row"))
+    met = keyed.where(hit).join(verdicts, F.col(id_col).eqNullSafe(F.col("__ft_id")) & (F.col("__ft_row") == F.col("__ft_key")), "left")
     single = met.where("__ft_wins is null").select(*columns_of(df))
+    if known is not None:
+        single = keyed.where(~hit).select(*columns_of(df)).union(single)
     # Of repeated rows the one with the smallest hash, found by tasks before the shuffle: however many there are, few meet.
     order = F.xxhash64(*(c for c, (_, t) in zip(columns_of(df), df.dtypes, strict=True) if "map<" not in t and "variant" not in t))
     rows = met.where("__ft_wins").select("__ft_id", "__ft_key", order.alias("__ft_order"), F.struct(*columns_of(df)).alias("__ft_row"))
