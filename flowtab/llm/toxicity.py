@@ -11,8 +11,8 @@ fitted on one half of the sample, leaves residuals on the other. Of all pairs of
 sums the residuals of the documents with both, block by block, as matrix products; where a sum is beyond chance (Bernstein's bound), both
 terms are taken. So an insult and the mention of a group that tell nothing alone come in together.
 
-The machine is fitted by mini-batches; the cut that makes 0.5 the threshold is chosen on a fold that has not been learned
-from (largest F2: a missed document counts more than one wrongly marked), then it is fitted on all folds but the held-out one. It is
+The machine is fitted by mini-batches on three folds; the cut that makes 0.5 the threshold is chosen on a fourth, from which its
+weights have not been learned (largest F2: a missed document counts more than one wrongly marked). It is
 broadcast (its size is bounded by the sample) and applied to every document where it lies.
 
 Bounds, all parameters: ``SAMPLE`` labelled documents with ``NUMBERS`` terms altogether.
@@ -212,10 +212,9 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAM
     found = telling_pairs(spark, rows.only(chosen, len(terms)), len(chosen), y - probability, probability * (1 - probability))
     known = np.union1d(known, chosen[found])
     of_known = rows.only(known, len(terms))
-    machine = lambda which: FactorizationMachine([terms[i] for i in known]).fit(of_known.take(np.flatnonzero(which)), y[which])
-    tried = machine(part != 1).logits(of_known.take(np.flatnonzero(part == 1)))
-    model = machine(part > 0)
-    model.cut = best_cut(tried, y[part == 1])
+    learn, choose = np.flatnonzero(part != 1), np.flatnonzero(part == 1)
+    model = FactorizationMachine([terms[i] for i in known]).fit(of_known.take(learn), y[learn])
+    model.cut = best_cut(model.logits(of_known.take(choose)), y[choose])  # of this machine: a cut does not carry over to another
     return model
 
 
