@@ -77,11 +77,12 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     return found.join(two, F.col("row_key") == F.col("k"), "left_anti")
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS, long: int = LONG, counts: bool = False, most_bits: int = FILTER_BITS) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS, long: int = LONG, counts: bool = False, most_bits: int = FILTER_BITS, keep_whole: bool = False) -> DataFrame:
     """``df`` without recurring lines in the text column; all rows and columns stay.
 
     With ``counts`` two columns are added, ``n_lines`` and ``n_dropped``; columns of ``df`` with these names are replaced.
     ``most_bits`` bounds the filter that tells which texts lose lines; with 0 all go by the join, with the same result.
+    With ``keep_whole`` a text that would lose all its words stays as it is: a copy as a whole, for near-dedup to decide on.
     """
     text = columns_of(df)[df.columns.index(text_col)]
     found = recurring(df, id_col, text_col, least, long).toDF("__ft_key", "__ft_places").checkpoint()
@@ -99,6 +100,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     names = ["n_lines", "n_dropped"] if counts else []
 
     def finished(rows: DataFrame) -> DataFrame:
+        if keep_whole:
+            rows = rows.withColumn("__ft_places", F.when(kept.rlike("[^ \n]"), places))
         if counts:
             rows = rows.withColumns({"n_lines": F.when(text.isNull(), 1).otherwise(F.size(lines)).cast("bigint"), "n_dropped": F.coalesce(F.size(places), F.lit(0)).cast("bigint")})
         rows = rows.withColumn(text_col, F.when(places.isNull() | text.isNull(), text).otherwise(kept))
