@@ -67,6 +67,25 @@ def test_crowded_buckets(spark, monkeypatch):
     assert got == by_force(rows) and sum(i >= 1000 for i, _ in got) == 1
 
 
+def test_shared_passages(spark, monkeypatch):
+    """Texts that share most of their words without being alike fill a bucket; the rarest shingles tell those that are alike."""
+    rng = random.Random(25)
+    passage = prose(rng, 70)
+    texts = [" ".join(prose(rng, 8) + passage + prose(rng, 10)) for _ in range(60)]
+    texts += [t + " more" for t in texts[:7]] + ["few " + " ".join(t.split()[1:]) for t in texts[5:9]]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(near_copies, "HOLDERS", 8)
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {(r.doc_id, r.text) for r in got.collect()} == by_force(rows)
+    held = [(i, i, near_copies.shingles(t)) for i, t in rows]
+    sets = spark.createDataFrame(held, "node bigint, rank bigint, set array<bigint>")
+    met = near_copies._by_rarest(sets.selectExpr("node", "rank", "size(set) AS n"), sets.select("node", "set"))
+    alike = {(j, i) for (i, a), (j, b) in itertools.combinations(rows, 2) if jaccard(a, b) >= 0.8}
+    found = {(r.x, r.m) for r in met.collect()}
+    assert alike and alike <= found and len(found) < 200  # of 2,485 pairs
+
+
 def test_edges(spark):
     one = " ".join(prose(random.Random(23), 50))
     rows = [(1, one), (1, one), (2, one.upper()), (None, one + " x"), (3, None), (4, ""), (5, " \n"), (6, "a b"), (7, "a  B"), (8, "a c"), (None, "b a")]
