@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions.joins import cut
 from ..operators import metrics
-from ..operators.images import halving_center_crop
+from ..operators.images import halving_center_crop, prepare_pairs
 from ..operators.order import generation_plan, global_index
-from ..operators.pairing import class_index
-from ..sources.images import read_images, read_labeled_images, relative
-from ..sources.sinks import export_images, export_name, write_metric_log
+from ..operators.pairing import check_pairs, class_index, pair_images, self_pair
+from ..sources.images import read_images, read_labeled_images, relative, resolve_layout, scan_images
+from ..sources.sinks import export_images, export_name, write_files, write_metric_log
 from .scoring import Predictor, generate, restore
 
 
@@ -64,9 +64,49 @@ def evaluate_restoration(df: DataFrame, predict: Predictor, null_class: int, by:
 
     Rows without a target take no part in the metric; without any target it is null.
     """
-    made = restore(df, predict, null_class, **sampling)
+    return _scored(restore(df, predict, null_class, **sampling), by, log, step)
+
+
+def _scored(made: DataFrame, by: str | None, log: str | None, step: int) -> tuple[DataFrame, DataFrame]:
     images = made.withColumn("psnr", F.when(F.col("target").isNotNull(), metrics.psnr("pixels", "target")))
     scores = metrics.mean_psnr(images, *([by] if by else []))
     if log:
         write_metric_log(scores.where("n > 0").select(F.lit("psnr").alias("tag"), F.col("psnr").alias("value"), F.lit(step).alias("step")), log)
     return images, scores
+
+
+def restore_folder(
+    spark: SparkSession, root: str, size: int, predict: Predictor, null_class: int, split: str = "val", overrides: dict[tuple[str, str], str] | None = None,
+    put: Callable[[str, bytes], None] | None = None, batch: int = 1, world: int = 1, log: str | None = None, step: int = 0, **sampling,
+) -> tuple[DataFrame, DataFrame]:
+    """Restore the images below a folder: listing, layout, pairs, pixels, middle boxes, sampling, PSNR, and files by ``put`` if given.
+
+    Gives ``evaluate_restoration``'s images, with ``rel`` as their ``id``, and its mean PSNR. Without a target folder there is no metric.
+    Images are cut to ``size`` before they meet their pair, so only small rows move; files that cannot be decoded are left out.
+    """
+    base = root.rstrip("/")
+    files = scan_images(spark, base)
+    # Two rows at most.
+    found = {r.role: f"{base}/{r.prefix}" for r in resolve_layout(files, overrides, check=False).where(F.col("split") == split).collect()}
+    if "condition" not in found:
+        raise ValueError(f"no condition folder for {split}")
+
+    def boxes(role: str, name: str) -> DataFrame:
+        images = read_images(spark, found[role]).withColumns({"id": relative("path", found[role]), "pixels": A.normalize("pixels")})
+        return prepare_pairs(images.select("id", "h", "w", "c", F.col("pixels").alias(name)), size, False, columns=(name,))
+
+    conditions = scan_images(spark, found["condition"]).select("rel")
+    if "target" in found:
+        pairs = check_pairs(pair_images(conditions, scan_images(spark, found["target"]).select("rel")))
+        targets = boxes("target", "target").select(F.col("id").alias("__ft_target"), "target")
+        rows = pairs.join(targets, F.col("target_rel") == F.col("__ft_target")).select("rel", "target")
+    else:
+        rows = self_pair(conditions).select("rel", F.lit(None).cast("array<double>").alias("target"))
+    rows = boxes("condition", "condition").join(rows, F.col("id") == F.col("rel")).drop("rel")
+    planned = generation_plan(global_index(rows.withColumn("__ft_order", F.split("id", "/")), ["__ft_order"]).drop("__ft_order"), batch, world)
+    made = cut(restore(planned, predict, null_class, **sampling))
+    images, scores = _scored(made, None, log, step)
+    if put:
+        u8 = made.withColumns({"pixels": A.denormalize_u8("pixels"), "file_name": export_name("flat", F.col("id"), batch=F.col("step"), rank=F.col("rank"))})
+        write_files(export_images(u8), put)
+    return images, scores

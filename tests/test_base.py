@@ -344,3 +344,28 @@ def test_a_shared_folder_is_needed(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="share"):
         joins.shared_folder(Bare)
+
+
+@pytest.mark.parametrize("with_targets", [True, False])
+def test_restore_folder(spark, tmp_path, with_targets):
+    """From files to restored files, metric and log; the predictor hands the condition back."""
+    rng, pixels = np.random.default_rng(5), {}
+    for name, (h, w) in {"a/x.png": (6, 6), "a/y.png": (6, 9), "z.png": (8, 6)}.items():
+        for role in ("rainy", "clean")[: 1 + with_targets]:
+            pixels[role, name] = rng.integers(0, 256, (h, w, 3))
+            file = tmp_path / "data" / "val" / role / name
+            file.parent.mkdir(parents=True, exist_ok=True)
+            file.write_bytes(sinks.png(pixels[role, name], h, w, 3))
+    out, log = tmp_path / "out", str(tmp_path / "log")
+    out.mkdir()
+    put = lambda name, content, out=str(out): open(f"{out}/{name}", "wb").write(content)  # noqa: E731, SIM115
+    made, scores = evaluate.restore_folder(spark, str(tmp_path / "data"), 6, scoring.predictor("condition"), 10, put=put, batch=2, log=log, steps=2)
+    middle = lambda a: a[(a.shape[0] - 6) // 2 :, (a.shape[1] - 6) // 2 :][:6, :6]
+    assert sorted(f.name for f in out.iterdir()) == ["00000_0_a__x.png", "00000_0_a__y.png", "00001_0_z.png"]
+    for r in made.collect():
+        box = middle(pixels["rainy", r.id])
+        assert np.allclose((array_of(r) + 1) / 2 * 255, box)
+        if with_targets:
+            assert math.isclose(r.psnr, -10 * math.log10(np.mean((box - middle(pixels["clean", r.id])) ** 2 / 255**2)), rel_tol=1e-6)
+    if with_targets:
+        assert scores.first().n == 3 and math.isclose(sinks.read_metric_log(spark, log).first().value, scores.first().psnr)
