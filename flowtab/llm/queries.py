@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, licenses, line_dedup, line_quality, media, packing, secrets, simhash, toxicity
+from . import bpe, cotrain, licenses, line_dedup, line_quality, media, packing, pieces, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +64,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_media_columns, op3_byte_bpe, op4_secret_scan, op5_quality, op6_toxicity, op7_line_quality, op8_license_scan,
-        op9_packing, op10_simhash,
+        op9_packing, op10_simhash, op11_sentencepiece,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op7_line_quality": line_quality.SQL, "op8_license_scan": licenses.SQL}
