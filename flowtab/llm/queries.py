@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, licenses, line_dedup, line_quality, media, negatives, packing, pieces, secrets, simhash, toxicity
+from . import bpe, collocations, cotrain, licenses, line_dedup, line_quality, media, negatives, packing, pieces, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,11 +72,15 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_media_columns, op3_byte_bpe, op4_secret_scan, op5_quality, op6_toxicity, op7_line_quality, op8_license_scan,
-        op9_packing, op10_simhash, op11_sentencepiece, op12_hard_negatives,
+        op9_packing, op10_simhash, op11_sentencepiece, op12_hard_negatives, op13_collocations,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op7_line_quality": line_quality.SQL, "op8_license_scan": licenses.SQL, "op12_hard_negatives": negatives.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op7_line_quality": line_quality.SQL, "op8_license_scan": licenses.SQL, "op12_hard_negatives": negatives.SQL, "op13_collocations": collocations.SQL}
