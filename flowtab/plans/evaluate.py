@@ -13,8 +13,9 @@ from ..operators import metrics
 from ..operators.images import halving_center_crop, prepare_pairs
 from ..operators.order import generation_plan, global_index
 from ..operators.pairing import check_pairs, class_index, pair_images, self_pair
+from ..sources.files import save_files
 from ..sources.images import read_images, read_labeled_images, relative, resolve_layout, scan_images
-from ..sources.sinks import export_images, export_name, write_files, write_metric_log
+from ..sources.sinks import export_images, export_name, write_metric_log
 from .scoring import Predictor, generate, restore
 
 
@@ -77,12 +78,13 @@ def _scored(made: DataFrame, by: str | None, log: str | None, step: int) -> tupl
 
 def restore_folder(
     spark: SparkSession, root: str, size: int, predict: Predictor, null_class: int, split: str = "val", overrides: dict[tuple[str, str], str] | None = None,
-    put: Callable[[str, bytes], None] | None = None, batch: int = 1, world: int = 1, log: str | None = None, step: int = 0, **sampling,
+    out: str | None = None, batch: int = 1, world: int = 1, log: str | None = None, step: int = 0, **sampling,
 ) -> tuple[DataFrame, DataFrame]:
-    """Restore the images below a folder: listing, layout, pairs, pixels, middle boxes, sampling, PSNR, and files by ``put`` if given.
+    """Restore the images below a folder: listing, layout, pairs, pixels, middle boxes, sampling, PSNR, and files below ``out`` if given.
 
     Gives ``evaluate_restoration``'s images, with ``rel`` as their ``id``, and its mean PSNR. Without a target folder there is no metric.
-    Images are cut to ``size`` before they meet their pair, so only small rows move; files that cannot be decoded are left out.
+    Images are scaled and cut to ``size`` in whole levels, and brought to -1..1 thereafter, before they meet their pair, so only small rows
+    move; what a box has outside its image is black. Files that cannot be decoded are left out. Restored files appear all or not at all.
     """
     base = root.rstrip("/")
     files = scan_images(spark, base)
@@ -92,8 +94,9 @@ def restore_folder(
         raise ValueError(f"no condition folder for {split}")
 
     def boxes(role: str, name: str) -> DataFrame:
-        images = read_images(spark, found[role]).withColumns({"id": relative("path", found[role]), "pixels": A.normalize("pixels")})
-        return prepare_pairs(images.select("id", "h", "w", "c", F.col("pixels").alias(name)), size, False, columns=(name,))
+        images = read_images(spark, found[role]).withColumn("id", relative("path", found[role]))
+        levels = images.select("id", "h", "w", "c", F.col("pixels").cast("array<double>").alias(name))
+        return prepare_pairs(levels, size, False, columns=(name,)).withColumn(name, A.normalize(name))
 
     conditions = scan_images(spark, found["condition"]).select("rel")
     if "target" in found:
@@ -106,7 +109,7 @@ def restore_folder(
     planned = generation_plan(global_index(rows.withColumn("__ft_order", F.split("id", "/")), ["__ft_order"]).drop("__ft_order"), batch, world)
     made = cut(restore(planned, predict, null_class, **sampling))
     images, scores = _scored(made, None, log, step)
-    if put:
+    if out:
         u8 = made.withColumns({"pixels": A.denormalize_u8("pixels"), "file_name": export_name("flat", F.col("id"), batch=F.col("step"), rank=F.col("rank"))})
-        write_files(export_images(u8), put)
+        save_files(export_images(u8), out)
     return images, scores

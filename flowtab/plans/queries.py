@@ -12,8 +12,8 @@ from ..functions import arrays as A
 from ..functions.joins import shared_folder
 from ..functions.rand import hash_normal, hash_uniform
 from ..operators import flow, images, meters, metrics, order, pairing, params
+from ..sources import files, sinks
 from ..sources import images as sources
-from ..sources import sinks
 from ..streaming import meters as streams
 from . import evaluate, scoring
 from . import fixtures as X
@@ -94,10 +94,19 @@ def a5_decode_images(spark, sf_dir):
     return digest(out, "pixels")
 
 
-@query()
+# A grey PNG without filters has 41 bytes for its head, 16 for its end, 12 round the packed rows; these rows are packed without loss.
+@query(
+    f"WITH {PX}, b AS (SELECT id, pos, round_even({U8}, 0) AS pixels FROM px), d AS ({dig('b', 'pixels')}) "
+    "SELECT lpad(id::VARCHAR, greatest(5, len(id::VARCHAR))::INT, '0') || '.png' AS file_name, 8 AS h, 8 AS w, true AS fits, pixels_sum, pixels_pos FROM d"
+)
 def a6_export_images(spark, sf_dir):
+    """Files written with commit and read again: names, sides, whether the length is that of the parts, and pixels."""
     named = X.imgs_u8(spark, sf_dir).withColumn("file_name", sinks.export_name("generated", index=F.col("id")))
-    return sinks.export_images(named).select("file_name", F.length("content").alias("bytes"), F.md5("content").alias("md5"))
+    path = scratch(spark, "images")
+    files.save_files(sinks.export_images(named), path)
+    side = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
+    made = files.saved_files(spark, path).withColumns({"w": side(17), "h": side(21), "fits": F.col("bytes") == 57 + side(34), "pixels": sinks.unpng("content")})
+    return digest(made, "pixels", by=("file_name", "h", "w", "fits"))
 
 
 @query(
@@ -300,22 +309,25 @@ def d1_upscaled_size(spark, sf_dir):
     return _sides(spark, sf_dir).select("id", h.alias("new_h"), w.alias("new_w"))
 
 
-def _bicubic_sql(n: int) -> str:
-    """The 8 x 8 images resampled to n x n: the kernel's weights as a table, across, then down, 8 bits between."""
+def _resampled_sql(n: int, before: str, relation: str) -> str:
+    """8 x 8 images ``id, y, x, v`` resampled to n x n as ``rs``: the kernel's weights as a table, across, then down, 8 bits between."""
     step = f"(8::DOUBLE / {n})"
     wide = f"greatest(1, {step})"
     kernel = "CASE WHEN a < 1 THEN (1.5::DOUBLE * a - 2.5::DOUBLE) * a * a + 1 WHEN a < 2 THEN ((-0.5::DOUBLE * a + 2.5::DOUBLE) * a - 4) * a + 2 ELSE 0 END"
     level = lambda x: f"least(greatest(floor({x} + (0.5::DOUBLE + 1e-9::DOUBLE)), 0), 255)"
     return (
-        f"{PX}, b AS (SELECT id, y, x, round_even({U8}, 0) AS u FROM px), "
+        f"{before}b AS (SELECT id, y, x, round_even({U8}, 0) AS u FROM {relation}), "
         f"kn AS (SELECT o, i, abs((i + 0.5::DOUBLE - (o + 0.5::DOUBLE) * {step}) / {wide}) AS a FROM UNNEST(range({n})) AS t(o), UNNEST(range(8)) AS s(i)), "
         f"wt AS (SELECT o, i, ({kernel}) / sum({kernel}) OVER (PARTITION BY o) AS w FROM kn), "
         f"ac AS (SELECT id, y, o AS x, {level('sum(w * u)')} AS u FROM b JOIN wt ON b.x = wt.i GROUP BY id, y, o), "
-        f"rs AS (SELECT id, {n} AS h, {n} AS w, o * {n} + x AS pos, {level('sum(wt.w * u)')} AS pixels FROM ac JOIN wt ON ac.y = wt.i GROUP BY id, o, x) "
-        + dig("rs", "pixels", by="id, h, w")
+        f"rs AS (SELECT id, {n} AS h, {n} AS w, o * {n} + x AS pos, {level('sum(wt.w * u)')} AS pixels FROM ac JOIN wt ON ac.y = wt.i GROUP BY id, o, x)"
     )
 
 
+def _bicubic_sql(n: int) -> str:
+    return _resampled_sql(n, f"{PX}, ", "px") + " " + dig("rs", "pixels", by="id, h, w")
+
+
 @query("WITH " + _bicubic_sql(12))
 def d1_upscale_short_side(spark, sf_dir):
     return digest(images.upscale_short_side(X.imgs_u8(spark, sf_dir), 12), "pixels", by=("id", "h", "w"))
@@ -732,6 +744,30 @@ def h8_evaluate_restoration(spark, sf_dir):
     return scores.withColumn("psnr", rounded(F.col("psnr")))
 
 
+@query(
+    "WITH "
+    + _resampled_sql(12, f"{PR}, ", f"(SELECT id || ':c' AS id, label, y, x, condition AS v FROM pr UNION ALL SELECT id || ':t', label, y, x, target FROM pr)")
+    + ", two AS (SELECT string_split(id, ':')[1]::BIGINT AS id, pos, max(pixels) FILTER (id LIKE '%c') AS pixels, max(pixels) FILTER (id LIKE '%t') AS target FROM rs GROUP BY ALL), "
+    + "q AS (SELECT id, -10 * log10(greatest(avg((pixels - target) * (pixels - target) / 65025::DOUBLE), 1e-10)) AS psnr FROM two GROUP BY id), "
+    + "n AS (SELECT id, label || '/' || id || '.png' AS rel, row_number() OVER (ORDER BY label::VARCHAR, id || '.png') - 1 AS idx FROM (SELECT vec_id AS id, label FROM embeddings)), "
+    + "d AS ("
+    + dig("two", "pixels")
+    + f") SELECT lpad((idx // 64)::VARCHAR, 5, '0') || '_' || (idx % 64 // 32) || '_' || replace(replace(rel, '/', '__'), '.png', '') || '.png' AS file_name, rel AS id, {R('psnr')} AS psnr, pixels_sum, pixels_pos FROM d JOIN q USING (id) JOIN n USING (id)"
+)
+def h8_restore_folder(spark, sf_dir):
+    """From files to files: noisy 8 x 8 images are scaled to 12, restored (by a predictor that hands them back), scored and exported."""
+    root, out = scratch(spark, "folder"), scratch(spark, "restored")
+    rel = F.concat(F.col("label").cast("string"), F.lit("/"), F.col("id").cast("string"), F.lit(".png"))
+    for role, column in (("rainy", "condition"), ("clean", "target")):
+        levels = X.pairs(spark, sf_dir).withColumns({"pixels": A.denormalize_u8(column), "file_name": F.concat(F.lit(f"val/{role}/"), rel)})
+        files.save_files(sinks.export_images(levels), root)
+    images, _ = evaluate.restore_folder(spark, root, 12, scoring.predictor("condition"), 10, out=out, batch=32, world=2, steps=2)
+    scores = images.select(F.col("id"), rounded(F.col("psnr")).alias("psnr"), sinks.export_name("flat", F.col("id"), batch=F.col("step"), rank=F.col("rank")).alias("name"))
+    made = files.saved_files(spark, out).withColumn("pixels", F.transform(sinks.unpng("content"), lambda x: x))
+    grey = made.withColumn("pixels", F.filter("pixels", lambda _, i: i % 3 == 0))
+    return digest(grey, "pixels", by=("file_name",)).join(scores, F.col("file_name") == F.col("name")).drop("name")
+
+
 @query(
     f"WITH {_sampled_sql(N(repr('0:noise'), 'pr.id', 'pr.pos'), 'euler', 3)}, ft AS (SELECT id, pos, z AS v FROM z3 WHERE pos < 10), "
     "sx AS (SELECT id, pos, exp(v - max(v) OVER (PARTITION BY id)) AS e FROM ft), pb AS (SELECT id, pos, e / sum(e) OVER (PARTITION BY id) AS p FROM sx), "
