@@ -63,13 +63,18 @@ def rolling_meters(df: DataFrame, window: int = 20, block: int = BLOCK) -> DataF
     return out.where("not __ft_extra").drop("__ft_extra")
 
 
-def global_average(df: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Weighted mean of all values of a meter so far, at each step."""
+def global_average(df: DataFrame, block: int = BLOCK, base: DataFrame | None = None) -> DataFrame:
+    """Weighted mean of all values of a meter so far, at each step. ``base``: ``meter, total, count`` of what came before ``df``."""
     weighed = df.select("meter", "step", (F.col("value") * F.col("n")).alias("x"), F.col("n").alias("m"))
     blocks = _blocks(weighed, "meter", 0, block)
     before = _totals_before(blocks, "meter", bx=F.col("x"), bm=F.col("m"))
     w = Window.partitionBy("__ft_block", "meter").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     inside = blocks.select("meter", "step", "__ft_block", F.sum("x").over(w).alias("x"), F.sum("m").over(w).alias("m"))
+    if base is not None:
+        # A row for each meter and block on the left, one for each meter on the right.
+        first = base.select("meter", F.col("total").alias("__ft_total"), F.col("count").alias("__ft_count"))
+        known = before.join(first, "meter", "left")
+        before = known.select("meter", "__ft_block", *((F.col(c) + F.coalesce(f, F.lit(0))).alias(c) for c, f in (("bx", "__ft_total"), ("bm", "__ft_count"))))
     return inside.join(before, ["meter", "__ft_block"]).select("meter", "step", ((F.col("bx") + F.col("x")) / (F.col("bm") + F.col("m"))).alias("global_avg"))
 
 

@@ -842,36 +842,39 @@ def i7_format_meters(spark, sf_dir):
     return meters.format_meters(last)
 
 
-def _streamed(spark, sf_dir, make, start):
-    """Run a query over the events as a stream, once, into a table in the shared folder."""
+def _live(spark, sf_dir):
+    """The events as a stream of metrics."""
     events = X.table(spark, sf_dir, "events")
     folder, name = sf_dir.rstrip("/"), "event[s].parquet"  # a stream wants a folder or a pattern
     live = spark.readStream.schema(events.schema).parquet(f"{folder}/{name}")
     k = F.col("event_id")
-    rows = live.select(F.col("event_type").alias("meter"), k.alias("step"), "value", (1 + k % 3).alias("n"))
-    out, marks = scratch(spark, "stream"), scratch(spark, "stream-marks")
-    start(make(rows), out, marks).awaitTermination()
-    return spark.read.parquet(out)
+    return live.select(F.col("event_type").alias("meter"), k.alias("step"), "value", (1 + k % 3).alias("n"))
+
+
+def _run(spark, writer):
+    """Run a stream's writer over all that is there."""
+    writer.option("checkpointLocation", scratch(spark, "stream-marks")).trigger(availableNow=True).start().awaitTermination()
 
 
 @query(
     f"WITH {METRICS}, r AS ({_ROLLING}) SELECT meter, step, l[(len(l) + 1) // 2] AS median, {R('mean')} AS mean, max, latest, {R('g * pi()', 8)} AS global_avg_pi, 0::BIGINT AS late FROM r"
 )
 def i8_stream_meters(spark, sf_dir):
-    start = lambda df, out, marks: df.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start()
-    out = _streamed(spark, sf_dir, streams.stream_meters, start)
+    path = scratch(spark, "stream")
+    _run(spark, streams.stream_meters(_live(spark, sf_dir), path, delay=50))
+    streams.finish(spark, path)
+    out = streams.read_meters(spark, path)
     return out.withColumns({"mean": rounded(F.col("mean")), "global_avg_pi": rounded(F.col("global_avg") * F.pi(), 8)}).drop("global_avg")
 
 
 @query("SELECT event_type AS meter, event_id AS step FROM events WHERE event_id % 97 = 3")
 def i9_stream_alert(spark, sf_dir):
-    broken = lambda rows: rows.withColumn("value", F.when(F.col("step") % 97 == 3, float("nan")).otherwise(F.col("value")))
-
-    def start(df, out, marks):
-        writer = streams.stream_alert(broken(df), lambda batch, _: batch.select("meter", "step").write.mode("append").parquet(out))
-        return writer.option("checkpointLocation", marks).trigger(availableNow=True).start()
-
-    return _streamed(spark, sf_dir, lambda rows: rows, start)
+    """Alerts are logged by micro-batch, once each."""
+    broken = _live(spark, sf_dir).withColumn("value", F.when(F.col("step") % 97 == 3, float("nan")).otherwise(F.col("value")))
+    path = scratch(spark, "alerts")
+    log = lambda batch, number: sinks.write_metric_log(batch.select(F.col("meter").alias("tag"), "value", "step"), path, number)
+    _run(spark, streams.stream_alert(broken, log))
+    return sinks.read_metric_log(spark, path).select(F.col("tag").alias("meter"), "step")
 
 
 # J. Schedules and parameters

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import Versions
+
 
 def export_name(scheme: str, name: Column | None = None, index: Column | None = None, batch: Column | None = None, rank: Column | None = None) -> Column:
     """File names: ``reference`` (8 digits), ``generated`` (5 digits or more), ``flat`` (path as one name, with batch and rank)."""
@@ -83,26 +86,36 @@ def write_files(exported: DataFrame, put: Callable[[str, bytes], None]) -> None:
     exported.foreachPartition(each)
 
 
-def write_metric_log(df: DataFrame, path: str) -> None:
-    """Append ``tag, value, step`` rows, by tag."""
-    df.select("tag", F.col("value").cast("double").alias("value"), F.col("step").cast("bigint").alias("step")).write.mode("append").partitionBy("tag").parquet(path)
+_LOG = "value double, step bigint, tag string"
+
+
+def write_metric_log(df: DataFrame, path: str, batch: str | int | None = None) -> None:
+    """Append ``tag, value, step`` rows, by tag. What a failed write leaves is never read; rows of a ``batch`` are appended once, however often it is repeated."""
+    rows = df.select("tag", F.col("value").cast("double").alias("value"), F.col("step").cast("bigint").alias("step"))
+    key = uuid.uuid4().hex if batch is None else f"batch {batch}"
+    Versions(df.sparkSession, path).publish(key, rows, once=batch is not None, by=["tag"])
 
 
 def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("value double, step bigint, tag string").parquet(path)
+    found = Versions(spark, path).read(_LOG)
+    return spark.createDataFrame([], _LOG) if found is None else found
 
 
 def write_snapshot(df: DataFrame, path: str, epoch: int, epoch_name: str = "last") -> None:
-    """Store parameters and averages under a name. Writing a name again replaces it and leaves all others."""
+    """Store parameters and averages under a name. A new version takes the name's place at once and whole, and leaves all others."""
     out = df.withColumn("epoch", F.lit(epoch)).withColumn("epoch_name", F.lit(epoch_name))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch_name").parquet(path)
+    Versions(df.sparkSession, path).publish(epoch_name, out, {"epoch": epoch})
 
 
 def read_snapshot(spark: SparkSession, path: str, epoch_name: str = "last") -> DataFrame:
-    return spark.read.parquet(path).where(F.col("epoch_name") == epoch_name)
+    """The version that counts now; it stays readable when another takes its place."""
+    found = Versions(spark, path).read(keys=[epoch_name])
+    if found is None:
+        raise ValueError(f"no snapshot {epoch_name} in {path}")
+    return found
 
 
 def resume_epoch(spark: SparkSession, path: str, epoch_name: str = "last") -> int:
-    """The epoch to go on with: one after the snapshot's."""
-    found = read_snapshot(spark, path, epoch_name).agg(F.max("epoch")).first()[0]
-    return 0 if found is None else found + 1
+    """The epoch to go on with: one after the snapshot's, 0 without one. The parameters are not read."""
+    found = Versions(spark, path).entries().get(epoch_name)
+    return 0 if found is None else int(found.meta["epoch"]) + 1

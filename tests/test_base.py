@@ -228,23 +228,6 @@ def test_meters_and_schedules(spark):
     assert abs(params.ema(snaps, 0.9).first().ema - 1.29) < 1e-12
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [("a" if i % 3 else "b", i, float(i * 7 % 11), 1 + i % 2) for i in range(120)]
-    schema = "meter string, step bigint, value double, n int"
-    batch = spark.createDataFrame(rows, schema)
-    batch.where("step < 60").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    batch.where("step >= 60 or step = 5").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = streams.stream_meters(live, 20).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    got = sorted((r.meter, r.step, r.median, round(r["mean"], 9), r["max"], r.latest, round(r.global_avg, 9)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    both = meters.rolling_meters(batch).join(meters.global_average(batch), ["meter", "step"])
-    want = sorted((r.meter, r.step, r.median, round(r["mean"], 9), r["max"], r.latest, round(r.global_avg, 9)) for r in both.collect())
-    assert got == want
-    late = spark.read.parquet(str(tmp_path / "out")).agg(F.max("late")).first()[0]
-    assert late == 1
-
-
 def test_files_round_trip(spark, tmp_path):
     df = image_rows(spark, [(5, 7, 3), (4, 4, 1), (6, 9, 3)])
     named = df.withColumn("file_name", F.concat(F.lit("train/k"), F.col("label").cast("string"), F.lit("/"), F.col("id").cast("string"), F.lit(".PNG")))
