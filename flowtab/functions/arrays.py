@@ -45,12 +45,6 @@ def bind(fn: Callable[..., Column], *values: Column) -> Column:
     return F.transform(F.array(packed), lambda s: fn(*(s[f"v{i}"] for i in range(len(values)))))[0]
 
 
-def reverse_channels(pixels: Column | str, channels: int) -> Column:
-    """RGB to BGR and back."""
-    c = channels
-    return bind(lambda px: F.transform(px, lambda _, i: F.get(px, i - i % c + (c - 1) - i % c)), _col(pixels))
-
-
 def concat_channels(a: Column | str, b: Column | str, channels: int) -> Column:
     """Channels of ``a``, then of ``b``, for every pixel."""
 

@@ -1,6 +1,7 @@
 """Image table transforms: one row is one image with ``pixels`` (row-major H, W, C), ``h``, ``w`` and ``c``.
 
-Crops, flips, turns and patches only move pixels and are expressions. Resampling runs in Arrow batches with NumPy.
+Boxes are slices of rows, as expressions. What moves each pixel, or mixes pixels, runs in Arrow batches with NumPy, on stacks of the images of one
+shape: flips, turns and patches are views of a stack that are copied once. Random draws and sides are columns, made by Spark.
 """
 
 from __future__ import annotations
@@ -8,22 +9,35 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.rand import hash_uniform
 
 
-def validate_images(df: DataFrame, size: int, channels: int | None = None) -> DataFrame:
-    """``df`` if all images have the size; otherwise an error with their number."""
+def validate_images(df: DataFrame, size: int, channels: int | None = None, observation: Observation | None = None) -> DataFrame:
+    """``df`` if all images have the size; the first that has not is an error. The input is read once, as the result is.
+
+    With an ``observation`` wrong images are counted on the way instead, as ``wrong`` beside ``images``; see ``check_observed``.
+    """
     wrong = (F.col("h") != size) | (F.col("w") != size) | (F.size("pixels") != F.col("h") * F.col("w") * F.col("c"))
     if channels:
         wrong = wrong | (F.col("c") != channels)
-    bad = df.where(F.coalesce(wrong, F.lit(True))).count()
-    if bad:
-        raise ValueError(f"{bad} images are not {size} x {size}")
-    return df
+    wrong = F.coalesce(wrong, F.lit(True))
+    if observation is not None:
+        return df.observe(observation, F.count_if(wrong).alias("wrong"), F.count("*").alias("images"))
+    what = F.format_string(f"an image is not {size} x {size}: %s x %s", F.coalesce(F.col("h").cast("string"), F.lit("?")), F.coalesce(F.col("w").cast("string"), F.lit("?")))
+    # A filter, as an error in a column that nobody asks for would be pruned.
+    return df.where(F.when(wrong, F.raise_error(what).cast("boolean")).otherwise(F.lit(True)))
+
+
+def check_observed(observation: Observation) -> int:
+    """The number of images, after an action on what ``validate_images`` gave; an error if some were wrong."""
+    found = observation.get
+    if found["wrong"]:
+        raise ValueError(f"{found['wrong']} of {found['images']} images have the wrong size")
+    return found["images"]
 
 
 def upscaled_size(h: Column, w: Column, size: int) -> tuple[Column, Column]:
@@ -44,11 +58,6 @@ def halved_size(h: Column, w: Column, size: int) -> tuple[Column, Column, Column
     return final(h), final(w), times
 
 
-def _moved(df: DataFrame, out_h: Column, out_w: Column, source: Callable, columns: Iterable[str], *bound: Column) -> DataFrame:
-    made = {c: A.remap(c, F.col("h"), F.col("w"), F.col("c"), out_h, out_w, source, *bound) for c in columns}
-    return df.withColumns(made | {"h": out_h.cast("int"), "w": out_w.cast("int")})
-
-
 def _boxed(df: DataFrame, size: int, columns: Iterable[str], top: Column, left: Column) -> DataFrame:
     """The box from (top, left): slices of rows; in an image without room for it pixel by pixel, with zeros outside."""
     side, h, w, c = F.lit(size), F.col("h"), F.col("w"), F.col("c")
@@ -75,16 +84,26 @@ def random_crop_pair(df: DataFrame, size: int, seed: int, columns: Iterable[str]
     return _boxed(df, size, columns, draw("h", "top"), draw("w", "left"))
 
 
+def _mirrored(df: DataFrame, coin: Column, across: bool, columns: Iterable[str]) -> DataFrame:
+    def each(stacks, rows):
+        import numpy as np
+
+        turn = np.asarray(rows.column("__ft_coin").to_numpy(zero_copy_only=False), bool)
+        for s in stacks:
+            s[turn] = s[turn, :, ::-1] if across else s[turn, ::-1]
+        return stacks
+
+    return _each_shape(df.withColumn("__ft_coin", coin), each, list(columns)).drop("__ft_coin")
+
+
 def hflip(df: DataFrame, seed: int, p: float = 0.5, columns: Iterable[str] = ("pixels",)) -> DataFrame:
     """Mirror left and right with probability p, all image columns alike."""
-    coin = hash_uniform(f"{seed}:hflip", F.col("id")) < p
-    return _moved(df, F.col("h"), F.col("w"), lambda y, x, coin, w: (y, F.when(coin, w - 1 - x).otherwise(x)), columns, coin, F.col("w"))
+    return _mirrored(df, hash_uniform(f"{seed}:hflip", F.col("id")) < p, True, columns)
 
 
 def vflip(df: DataFrame, seed: int, p: float = 0.5, columns: Iterable[str] = ("pixels",)) -> DataFrame:
     """Mirror top and bottom with probability p, all image columns alike."""
-    coin = hash_uniform(f"{seed}:vflip", F.col("id")) < p
-    return _moved(df, F.col("h"), F.col("w"), lambda y, x, coin, h: (F.when(coin, h - 1 - y).otherwise(y), x), columns, coin, F.col("h"))
+    return _mirrored(df, hash_uniform(f"{seed}:vflip", F.col("id")) < p, False, columns)
 
 
 def random_hflip(df: DataFrame, seed: int) -> DataFrame:
@@ -100,31 +119,45 @@ def rot90(df: DataFrame, turns: Column | int, columns: Iterable[str] = ("pixels"
     """Quarter turns counter-clockwise; an odd number swaps the sides."""
     turns = F.lit(turns) if isinstance(turns, int) else turns
 
-    def source(y: Column, x: Column, k: Column, h: Column, w: Column) -> tuple[Column, Column]:
-        return (
-            F.when(k == 1, x).when(k == 2, h - 1 - y).when(k == 3, h - 1 - x).otherwise(y),
-            F.when(k == 1, w - 1 - y).when(k == 2, w - 1 - x).when(k == 3, y).otherwise(x),
-        )
+    def each(stacks, rows):
+        import numpy as np
+
+        return [np.rot90(s, rows.column("__ft_turns")[0].as_py(), (1, 2)) for s in stacks]
 
-    odd = turns % 2 == 1
-    return _moved(df, F.when(odd, F.col("w")).otherwise(F.col("h")), F.when(odd, F.col("h")).otherwise(F.col("w")), source, columns, turns, F.col("h"), F.col("w"))
+    turned = df.withColumn("__ft_turns", F.pmod(turns, F.lit(4)).cast("int"))
+    return _each_shape(turned, each, list(columns), ("__ft_turns",)).drop("__ft_turns")
+
+
+def swap_channels(df: DataFrame, columns: Iterable[str] = ("pixels",)) -> DataFrame:
+    """RGB to BGR and back: the channels of each pixel in reverse."""
+    return _each_shape(df, lambda stacks, rows: [s[..., ::-1] for s in stacks], list(columns))
 
 
 def patchify(df: DataFrame, p: int, id_col: str = "id") -> DataFrame:
-    """Rows ``id, patch, values``: the p x p patches in row-major order, each row-major with its channels."""
-    across = (F.col("w") / p).cast("int")
-    count = ((F.col("h") / p).cast("int") * across).cast("int")
+    """Rows ``id, patch, values``: the p x p patches in row-major order, each row-major with its channels.
 
-    def patch(px: Column, w: Column, c: Column, across: Column, k: Column) -> Column:
-        def at(i: Column) -> Column:
-            y = F.floor(k / across) * p + F.floor(i / (p * c))
-            x = k % across * p + F.floor(i / c) % p
-            return F.get(px, ((y * w + x) * c + i % c).cast("int"))
+    A rest of rows or columns that fills no patch is left out, and an image without pixels has none.
+    """
+    source = df.select(id_col, "h", "w", "c", F.col("pixels").cast("array<double>").alias("pixels"))
+    target = source.select(id_col, F.lit(0).alias("patch"), F.col("pixels").alias("values")).schema
 
-        return F.transform(F.sequence(F.lit(0), p * p * c - 1), at)
+    def run(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    cut = A.bind(lambda px, w, c, a, n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("patch"), patch(px, w, c, a, k).alias("values"))), F.col("pixels"), F.col("w"), F.col("c"), across, count)
-    return df.select(id_col, F.explode(cut).alias("p")).select(id_col, "p.patch", "p.values")
+        out = to_arrow_schema(target)
+        for rows, (stack,), _ in _stacks(batches, ["pixels"], ("h", "w", "c")):
+            if stack is None:
+                continue
+            n, (down, across) = len(stack), (side // p for side in stack.shape[1:3])
+            cells = stack[:, : down * p, : across * p].reshape(n, down, p, across, p, -1).transpose(0, 1, 3, 2, 4, 5)
+            if cells.size:
+                ids = rows.column(id_col).take(pa.array(np.repeat(np.arange(n), down * across)))
+                patch = pa.array(np.tile(np.arange(down * across, dtype=np.int32), n))
+                yield pa.RecordBatch.from_arrays([ids.cast(out.field(0).type), patch, _listed(cells.reshape(n * down * across, -1), out.field(2).type)], schema=out)
+
+    return source.mapInArrow(run, target)
 
 
 def unpatchify(patches: DataFrame, p: int, channels: int, id_col: str = "id") -> DataFrame:
@@ -215,26 +248,64 @@ def middle(images, size: int):
     return out
 
 
-def _each_shape(df: DataFrame, fn: Callable, columns: list[str]) -> DataFrame:
-    """Apply ``fn(stacks, rows)`` to the images of one shape at a time: a stack (N, H, W, C) for each image column, and their rows.
+def _stacks(batches: Iterable, columns: list[str], keys: Iterable[str]) -> Iterator:
+    """Of each Arrow batch the rows of one key at a time (its first three parts are h, w and c), and their images as stacks (N, H, W, C).
+
+    Rows without one of the images come by themselves, without stacks.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        gone = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            gone |= pc.is_null(batch.column(c)).to_numpy(zero_copy_only=False)
+        if gone.any():
+            yield batch.filter(pa.array(gone)), [None] * len(columns), None
+        there = np.flatnonzero(~gone)
+        if not len(there):
+            continue
+        found, of = np.unique(np.stack([batch.column(k).to_numpy(zero_copy_only=False)[there] for k in keys], 1), axis=0, return_inverse=True)
+        for k, key in enumerate(found.astype(int)):
+            rows = batch.take(pa.array(there[of.ravel() == k]))
+            yield rows, [rows.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, *key[:3]) for c in columns], key
+
+
+def _listed(stack, kind):
+    """An Arrow list for each image of a stack."""
+    import numpy as np
+    import pyarrow as pa
+
+    flat = np.ascontiguousarray(stack).reshape(len(stack), -1)
+    ends = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()).cast(kind.value_type)).cast(kind)
+
+
+def _each_shape(df: DataFrame, fn: Callable, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Apply ``fn(stacks, rows)`` to the images of one shape (and of equal ``keys``) at a time: a stack (N, H, W, C), its own to change, for each
+    image column, and their rows as an Arrow batch. A row without one of the images stays as it is.
 
     Spark bounds an Arrow batch by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``), so large images come a few at a time.
     """
-    names = df.columns
+    names, schema = df.columns, df.schema
 
     def run(batches: Iterable) -> Iterator:
-        import numpy as np
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-        for pdf in batches:
-            for shape, at in pdf.groupby(["h", "w", "c"]).indices.items():
-                rows = pdf.iloc[at].reset_index(drop=True)
-                made = fn([np.stack(rows[c].to_list()).astype(float).reshape(-1, *map(int, shape)) for c in columns], rows)
-                for c, m in zip(columns, made, strict=True):
-                    rows[c] = list(m.reshape(len(rows), -1))
-                rows["h"], rows["w"] = (np.int32(side) for side in made[0].shape[1:3])
-                yield rows[names]
+        out = to_arrow_schema(schema)
+        for rows, stacks, _ in _stacks(batches, columns, ("h", "w", "c", *keys)):
+            if stacks[0] is None:
+                yield pa.RecordBatch.from_arrays([rows.column(n).cast(f.type) for n, f in zip(names, out, strict=True)], schema=out)
+                continue
+            made = fn(stacks, rows)
+            new = {c: _listed(m, out.field(c).type) for c, m in zip(columns, made, strict=True)}
+            for side, at in (("h", 1), ("w", 2)):
+                new[side] = pa.array([made[0].shape[at]] * rows.num_rows, out.field(side).type)
+            yield pa.RecordBatch.from_arrays([new[n] if n in new else rows.column(n).cast(f.type) for n, f in zip(names, out, strict=True)], schema=out)
 
-    return df.mapInPandas(run, df.schema)
+    return df.mapInArrow(run, schema)
 
 
 def _to_sides(df: DataFrame, h: Column, w: Column, times: Column | None, fn: Callable, columns: Iterable[str]) -> DataFrame:
@@ -243,7 +314,7 @@ def _to_sides(df: DataFrame, h: Column, w: Column, times: Column | None, fn: Cal
     columns = list(columns)
 
     def each(stacks, rows):
-        h, w, times = (int(rows[c].iloc[0]) for c in ("__ft_h", "__ft_w", "__ft_times"))  # the same for all of one shape
+        h, w, times = (rows.column(c)[0].as_py() for c in ("__ft_h", "__ft_w", "__ft_times"))  # the same for all of one shape
         return [fn(resample(halve(s, times), h, w)) for s in stacks]
 
     return _each_shape(sided, each, columns).drop("__ft_h", "__ft_w", "__ft_times")
@@ -298,10 +369,10 @@ def prepare_pairs(
     def each(stacks, rows):
         import numpy as np
 
-        sides = [int(rows[c].iloc[0]) for c in ("__ft_h", "__ft_w")]
+        sides = [rows.column(c)[0].as_py() for c in ("__ft_h", "__ft_w")]
         scaled = [resample(s, *sides) for s in stacks]
         if train:
-            marks = rows[names].to_dict("records")  # a few numbers for each image
+            marks = rows.select(names).to_pylist()  # a few numbers for each image
             scaled = [np.stack([box(i, m) for i, m in zip(s, marks, strict=True)]) for s in scaled]
         else:
             scaled = [middle(s, size) for s in scaled]

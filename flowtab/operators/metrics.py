@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,18 +111,24 @@ def mean_psnr(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("psnr").alias("n"), (F.sum("psnr") / F.nullif(F.count("psnr"), F.lit(0))).alias("psnr"))
 
 
-def _summed(parts: DataFrame, by: str) -> DataFrame:
+def _summed(parts: DataFrame, *by: str) -> DataFrame:
     """``by, x``: the sum of the arrays ``x`` of each group, element by element, added up by tasks before the shuffle."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    return parts.groupBy(by).agg(vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("x"))
+    return parts.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("x"))
 
 
-def moment_sums(df: DataFrame, col: str = "f") -> tuple[DataFrame, object]:
-    """Rows ``i, x`` and the pilot: one row of features, about which the sums are taken.
+#: Columns of a tile, and bytes of tiles that a task adds up at once.
+TILE, TASK_BYTES = 256, 64 << 20
 
-    Row i is row i of the sum of outer products; the last one (i = d) has the sums and the count. Each task gives d + 1 rows.
+
+def moment_tiles(df: DataFrame, col: str = "f", tile: int = TILE) -> tuple[DataFrame, object]:
+    """Rows ``i, j, x`` and the pilot: one row of features, about which the sums are taken.
+
+    ``x`` is the tile of the sum of outer products at block row i and block column j >= i, row by row; i = j = -1 has the sums and the
+    count. Tasks add up their own tiles, and Spark the tasks', by tile. A task holds ``TASK_BYTES`` of tiles at most: wider features are read
+    once for each such group of tiles.
     """
     import numpy as np
 
@@ -130,41 +137,64 @@ def moment_sums(df: DataFrame, col: str = "f") -> tuple[DataFrame, object]:
     if not some:
         raise ValueError("no features")
     pilot, d = np.array(some[0].f), len(some[0].f)
-
-    def partial(batches: Iterable) -> Iterator:
-        import pandas as pd
-
-        gram, shift, rows = np.zeros((d, d)), np.zeros(d), 0
-        for pdf in batches:
-            x = np.stack(pdf["f"].to_list()) - pilot
-            gram += x.T @ x
-            shift += x.sum(0)
-            rows += len(x)
-        yield pd.DataFrame({"i": range(d + 1), "x": [*gram, np.append(shift, rows)]})
-
-    return _summed(first.mapInPandas(partial, "i long, x array<double>"), "i"), pilot
-
-
-def feature_moments(df: DataFrame, col: str = "f") -> tuple[int, object, object]:
-    """Count, mean vector and sample covariance of a feature column of equal lengths; d + 1 rows reach the driver."""
+    blocks = [slice(at, min(d, at + tile)) for at in range(0, d, tile)]
+    every = [(i, j) for i in range(len(blocks)) for j in range(i, len(blocks))]
+    each = max(1, TASK_BYTES // (8 * tile * tile))
+
+    def partial(group: list[tuple[int, int]], sums: bool) -> DataFrame:
+        def run(batches: Iterable) -> Iterator:
+            import pyarrow as pa
+
+            gram = {(i, j): np.zeros((blocks[i].stop - blocks[i].start, blocks[j].stop - blocks[j].start)) for i, j in group}
+            shift, rows = np.zeros(d), 0
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - pilot
+                for i, j in group:
+                    gram[i, j] += x[:, blocks[i]].T @ x[:, blocks[j]]
+                shift += x.sum(0)
+                rows += len(x)
+            found = [(-1, -1, np.append(shift, rows)), *((i, j, g.ravel()) for (i, j), g in gram.items())][0 if sums else 1 :]
+            for i, j, x in found:  # a tile at a time
+                values = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), values], names=["i", "j", "x"])
+
+        return first.mapInArrow(run, "i int, j int, x array<double>")
+
+    parts = [partial(every[at : at + each], at == 0) for at in range(0, len(every), each)]
+    return _summed(reduce(DataFrame.unionAll, parts), "i", "j"), pilot
+
+
+def feature_moments(df: DataFrame, col: str = "f", tile: int = TILE) -> tuple[int, object, object]:
+    """Count, mean vector and sample covariance of a feature column of equal lengths; half of d x d numbers reaches the driver."""
     import numpy as np
 
-    sums, pilot = moment_sums(df, col)
-    rows = sums.orderBy("i").toArrow()["x"]
-    *gram, last = (np.array(x.values.to_numpy()) for x in rows)
-    shift, n = last[:-1], int(last[-1])
-    return n, pilot + shift / n, (np.stack(gram) - np.outer(shift, shift) / n) / max(1, n - 1)
-
-
-def covariance_rows(df: DataFrame, col: str = "f") -> DataFrame:
+    sums, pilot = moment_tiles(df, col, tile)
+    d = len(pilot)
+    gram, shift, n = np.zeros((d, d)), None, 0
+    for batch in sums.toArrow().to_batches():
+        for i, j, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            x = x.values.to_numpy()
+            if i < 0:
+                shift, n = x[:-1], int(x[-1])
+                continue
+            rows, across = slice(i * tile, (i + 1) * tile), slice(j * tile, (j + 1) * tile)
+            gram[rows, across] = x.reshape(gram[rows, across].shape)
+            gram[across, rows] = gram[rows, across].T
+    return n, pilot + shift / n, (gram - np.outer(shift, shift) / n) / max(1, n - 1)
+
+
+def covariance_rows(df: DataFrame, col: str = "f", tile: int = TILE) -> DataFrame:
     """The same as rows ``i, j, mean_i, cov``, made by Spark; the driver sees the sums (d numbers) alone."""
-    sums, pilot = moment_sums(df, col)
+    sums, pilot = moment_tiles(df, col, tile)
     sums = cut(sums)
     d = len(pilot)
-    last = sums.where(F.col("i") == d).first().x
+    last = sums.where("i = -1").first().x
     n = last[d]
     means = sums.sparkSession.createDataFrame([(k, s / n, float(p) + s / n) for k, (s, p) in enumerate(zip(last, pilot, strict=False))], "k int, shift double, mean double")
-    flat = sums.where(F.col("i") < d).select(F.col("i").cast("int").alias("i"), F.posexplode("x").alias("j", "g"))
+    across = F.least(F.lit(tile), d - F.col("bj") * tile)
+    cells = sums.where("i >= 0").select(F.col("i").alias("bi"), F.col("j").alias("bj"), F.posexplode("x").alias("at", "g"))
+    upper = cells.select("bi", "bj", (F.col("bi") * tile + F.floor(F.col("at") / across)).cast("int").alias("i"), (F.col("bj") * tile + F.col("at") % across).cast("int").alias("j"), "g")
+    flat = upper.select("i", "j", "g").union(upper.where("bi < bj").select("j", "i", "g"))
     here, there = means.alias("a"), means.alias("b")
     met = flat.join(here, F.col("i") == F.col("a.k")).join(there, F.col("j") == F.col("b.k"))
     return met.select("i", "j", F.col("a.mean").alias("mean_i"), ((F.col("g") - n * F.col("a.shift") * F.col("b.shift")) / max(1.0, n - 1)).alias("cov"))

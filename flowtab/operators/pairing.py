@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.joins import cut, dealt_left
+from ..functions.joins import HOT, cut, hot_left
 
 
 def path_order(rel: Column | str) -> Column:
@@ -28,19 +28,19 @@ def split_path(df: DataFrame, rel: str = "rel") -> DataFrame:
     )
 
 
-def pair_images(cond: DataFrame, target: DataFrame) -> DataFrame:
+def pair_images(cond: DataFrame, target: DataFrame, share: int = HOT) -> DataFrame:
     """Each condition once, with its target by the first tier that has one.
 
     Tiers: the same path; the same path without extension; the same file stem anywhere. Adds ``target_rel`` (null without a
-    match) and ``match_tier``. The target side has one row for each key before it is joined; the conditions of a hot stem are dealt to
-    several tasks.
+    match) and ``match_tier``. The target side has one row for each key before it is joined, and moves once; the conditions of a key that has
+    more than ``share`` of them are dealt to several tasks, each with that key's target.
     """
     sides = split_path(target.select("rel"))
     last = F.max_by("rel", path_order("rel"))
     out = split_path(cond)
     for tier, key in enumerate(("rel", "rel_stem", "stem"), 1):
         keyed = sides.groupBy(F.col(key).alias(f"__ft_k{tier}")).agg(last.alias(f"__ft_t{tier}"))
-        out = dealt_left(out, keyed, F.col(key) == F.col(f"__ft_k{tier}"), F.xxhash64("rel", F.lit(tier)))
+        out = hot_left(out, keyed, F.col(key), F.col(f"__ft_k{tier}"), F.xxhash64("rel", F.lit(tier)), share)
     found = [F.col(f"__ft_t{t}") for t in (1, 2, 3)]
     tier = F.when(found[0].isNotNull(), 1).when(found[1].isNotNull(), 2).when(found[2].isNotNull(), 3)
     return out.withColumn("target_rel", F.coalesce(*found)).withColumn("match_tier", tier).select(*cond.columns, "target_rel", "match_tier")

@@ -43,21 +43,25 @@ def overlay_params(base: DataFrame, ema: DataFrame) -> DataFrame:
     return base.join(e, ["name", "idx"], "left").withColumn("value", F.coalesce("__ft_value", "value")).drop("__ft_value")
 
 
-def _weight(decay: float) -> Column:
-    """What a step's value counts for in the end: d^n for the first, (1 - d) d^(n - k) for step k of 0..n."""
-    d = F.lit(float(decay))
-    return F.when(F.col("step") == 0, F.pow(d, F.col("__ft_last"))).otherwise((1.0 - d) * F.pow(d, F.col("__ft_last") - F.col("step")))
+#: Most steps of one block of an average.
+BLOCK = 1 << 16
 
 
 def emas(df: DataFrame, **decays: float) -> DataFrame:
-    """Exponential averages of each value over its steps 0..n, in closed form: any order, partial sums.
+    """Exponential averages of each value over its steps 0..n, in closed form: any order, partial sums, no join.
 
-    The last step of each value is an aggregate joined back, the steps of one value dealt to several tasks; so a value with very many
-    steps is gathered nowhere.
+    Step k of 0..n counts (1 - d) d^(n - k) in the end, and the first d^n. Steps are added up in blocks, relative to the block's end; the blocks
+    of a value, few even for very many steps, are brought to the last step when they meet. A block is short enough that powers of d neither
+    vanish nor overflow in it.
     """
-    last = df.groupBy(F.col("name").alias("__ft_name"), F.col("idx").alias("__ft_idx")).agg(F.max("step").alias("__ft_last"))
-    met = dealt_left(df, last, (F.col("name") == F.col("__ft_name")) & (F.col("idx") == F.col("__ft_idx")), F.xxhash64("step"))
-    return met.groupBy("name", "idx").agg(*(F.sum(F.col("value") * _weight(d)).alias(n) for n, d in decays.items()))
+    small = min((d for d in decays.values() if 0 < d < 1), default=1.0)
+    block = 1 if any(d <= 0 for d in decays.values()) else max(1, min(BLOCK, int(300 / -math.log(small)))) if small < 1 else BLOCK
+    end = (F.floor(F.col("step") / block) + 1) * block - 1
+    weight = lambda d: F.when(F.col("step") == 0, 1.0).otherwise(1.0 - d) * F.pow(F.lit(float(d)), end - F.col("step"))
+    blocks = df.groupBy("name", "idx", end.alias("__ft_end")).agg(F.max("step").alias("__ft_last"), *(F.sum(F.col("value") * weight(d)).alias(n) for n, d in decays.items()))
+    met = blocks.groupBy("name", "idx").agg(F.max("__ft_last").alias("__ft_last"), F.collect_list(F.struct("__ft_end", *decays)).alias("__ft_blocks"))
+    total = lambda n, d: F.aggregate("__ft_blocks", F.lit(0.0), lambda a, b: a + b[n] * F.pow(F.lit(float(d)), F.col("__ft_last") - b["__ft_end"]))
+    return met.select("name", "idx", *(total(n, d).alias(n) for n, d in decays.items()))
 
 
 def ema(df: DataFrame, decay: float, name: str = "ema") -> DataFrame:

@@ -164,7 +164,8 @@ def b2_denormalize_u8(spark, sf_dir):
 
 @query(f"WITH {PX}, b AS (SELECT id, pos - pos % 4 + 3 - pos % 4 AS pos, v AS bgr FROM px) " + dig("b", "bgr"))
 def b3_reverse_channels(spark, sf_dir):
-    return digest(X.imgs(spark, sf_dir).withColumn("bgr", A.reverse_channels("pixels", 4)), "bgr")
+    wide = X.imgs(spark, sf_dir).withColumns({"w": F.lit(2), "c": F.lit(4)}).withColumnRenamed("pixels", "bgr")
+    return digest(images.swap_channels(wide, ["bgr"]), "bgr")
 
 
 @query(f"WITH {PX}, b AS (SELECT id, pos, least(greatest((v + 1) / 2, 0), 1) AS u FROM px) " + dig("b", "u"))
@@ -622,11 +623,27 @@ def g9_feature_moments(spark, sf_dir):
     return rows.select("i", "j", rounded(F.col("mean_i"), 8).alias("mean_i"), rounded(F.col("cov"), 8).alias("cov"))
 
 
-@query()
+def _frechet_sql(steps: int) -> str:
+    """The trace of the root of the product of both covariances by Newton and Schulz: Y goes to the root, Z to its inverse."""
+    times = lambda a, b: f"SELECT {a}.i, {b}.j, sum({a}.v * {b}.v) AS v FROM {a} JOIN {b} ON {a}.j = {b}.i GROUP BY {a}.i, {b}.j"
+    parts = [
+        PX,
+        *(f"{n} AS MATERIALIZED (SELECT a.pos AS i, b.pos AS j, covar_samp(a.v, b.v) AS v, avg(a.v) AS m FROM px a JOIN px b ON a.id = b.id AND a.id % 2 = {k} GROUP BY a.pos, b.pos)" for n, k in (("ca", 0), ("cb", 1))),
+        f"mm AS MATERIALIZED ({times('ca', 'cb')})", "nn AS MATERIALIZED (SELECT sqrt(sum(v * v)) AS n FROM mm)",
+        "y0 AS MATERIALIZED (SELECT i, j, v / n AS v FROM mm, nn)", "z0 AS MATERIALIZED (SELECT i, j, (i = j)::INT::DOUBLE AS v FROM mm)",
+    ]
+    for k in range(steps):
+        parts += [f"p{k} AS MATERIALIZED ({times(f'z{k}', f'y{k}')})", f"t{k} AS MATERIALIZED (SELECT i, j, ((i = j)::INT * 3::DOUBLE - v) / 2 AS v FROM p{k})"]
+        parts += [f"y{k + 1} AS MATERIALIZED ({times(f'y{k}', f't{k}')})", f"z{k + 1} AS MATERIALIZED ({times(f't{k}', f'z{k}')})"]
+    means = "(SELECT sum((ca.m - cb.m) * (ca.m - cb.m) + ca.v + cb.v) FROM ca JOIN cb USING (i, j) WHERE i = j)"
+    return f"WITH {', '.join(parts)} SELECT 'even' AS a, 'odd' AS b, {R(f'{means} - 2 * sqrt(n) * (SELECT sum(v) FROM y{steps} WHERE i = j)')} AS distance FROM nn"
+
+
+@query(_frechet_sql(20))
 def g10_frechet_distance(spark, sf_dir):
     rows = X.imgs(spark, sf_dir).select("id", F.col("pixels").alias("f"))
     even, odd = rows.where("id % 2 = 0"), rows.where("id % 2 = 1")
-    return spark.createDataFrame([("even", "odd", metrics.frechet_distance(even, odd))], "a string, b string, distance double")
+    return spark.createDataFrame([("even", "odd", metrics.frechet_distance(even, odd))], "a string, b string, distance double").withColumn("distance", rounded(F.col("distance")))
 
 
 _SOFT = "sx AS (SELECT id, pos, v, exp(v - max(v) OVER (PARTITION BY id)) AS e FROM px WHERE pos < 10), pb AS (SELECT id, pos, e / sum(e) OVER (PARTITION BY id) AS p FROM sx)"
@@ -715,7 +732,9 @@ def h4_heun_step(spark, sf_dir):
 
 @query(f"WITH {_sampled_sql(N(repr('0:noise'), 'pr.id', 'pr.pos'), 'heun', 4, 2.0, 0.1, 0.9)} " + dig("(SELECT id, pos, z AS pixels FROM z4)", "pixels"))
 def h5_generate(spark, sf_dir):
-    out = scoring.generate(_with_stats(spark, sf_dir), scoring.predictor("class_gaussian"), 10, "heun", 4, 2.0, low=0.1, high=0.9)
+    """The class Gaussians as a callable over stacks, with noise by id made beside them."""
+    rows = _with_stats(spark, sf_dir).select("id", "label", "target", "mu", "var", "mu_null", "var_null")
+    out = scoring.generate_with(rows, scoring.class_gaussian_arrays(), 10, "heun", 4, 2.0, low=0.1, high=0.9, carry=("mu", "var", "mu_null", "var_null"))
     return digest(out, "pixels")
 
 

@@ -1,7 +1,7 @@
 """Batch sampling: a state is led from noise (or a condition) to an image along predicted velocities.
 
 A predictor is either a function of columns, ``predict(z, t, label, condition) -> Column``, which keeps the whole loop one
-expression, or a callable over NumPy batches, ``predict(z, t, labels, conditions) -> array``, which runs in Arrow batches. Either
+expression, or a callable over NumPy stacks, ``predict(z, t, labels, carried) -> stack``, which runs in Arrow batches. Either
 way rows do not move: there is no shuffle.
 """
 
@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.joins import dealt_left
+from ..functions.rand import normals
 from ..operators.flow import bridge_source, noise
 
 Predictor = Callable[[Column, Column, Column, Column], Column]
@@ -140,39 +142,78 @@ def restore(df: DataFrame, predict: Predictor, null_class: int, method: str = "h
     return generate(bridge_source(df, seed, mode, bridge_noise), predict, null_class, method, steps, seed=seed, out=out, **options)
 
 
-def generate_with(df: DataFrame, predict: Callable, null_class: int, method: str = "heun", steps: int = 50, scale: float = 1.0, drop: float = 0.1, low: float = 0.0, high: float = 1.0, eps: float = 0.05, out: str = "pixels") -> DataFrame:
-    """The same with a callable over NumPy batches, such as a network; broadcast what it carries by its closure.
+def class_gaussian_arrays(null_class: int = 10, scale: float = 1.0) -> Callable:
+    """``class_gaussian`` over stacks; rows carry ``mu, var, mu_null, var_null``, so ask for these by ``carry``."""
 
-    ``df`` needs ``id, label, source``, and ``condition`` if the callable uses it. Sources of one batch have one length.
+    def predict(z, t, labels, carried):
+        import numpy as np
+
+        free = (labels == null_class)[:, None]
+        mu, var = (np.where(free, carried[f"{c}_null"], carried[c]) for c in ("mu", "var"))
+        return mu + t * var / (t * t * var + (1.0 - t) * (1.0 - t) * scale * scale) * (z - t * mu)
+
+    return predict
+
+
+def generate_with(
+    df: DataFrame, predict: Callable, null_class: int, method: str = "heun", steps: int = 50, scale: float = 1.0, drop: float = 0.1,
+    low: float = 0.0, high: float = 1.0, eps: float = 0.05, seed: int = 0, noise_scale: float = 1.0, like: str = "target", carry: tuple[str, ...] = (), out: str = "pixels",
+) -> DataFrame:
+    """``generate`` in Arrow batches, with a callable over NumPy stacks, such as a network: ``predict(z, t, labels, carried) -> stack``.
+
+    ``df`` has ``id`` and ``label``, and ``source`` or else an array column ``like``, of whose length the noise is made, the same numbers as
+    ``generate``'s. ``carried`` has the columns of ``carry`` as stacks. The callable goes to the workers once, as a broadcast; its size is the
+    caller's to bound. States of one length are worked on together; a null state gives a null image. All columns of ``df`` stay.
     """
     if method not in ("euler", "heun"):
         raise ValueError(f"unknown method: {method}")
-    has_condition = "condition" in df.columns
-    kind = df.schema["id"].dataType.simpleString()
+    df = df.drop(out) if out != like else df
+    begin = "source" if "source" in df.columns else like
+    shipped = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(predict))
+    target = df.withColumn("__ft_out", F.lit(None).cast("array<double>")).schema
 
-    def run(batches: Iterable) -> Iterator:
+    def sampled(model, z, labels, carried):
         import numpy as np
 
-        for pdf in batches:
-            z, labels = np.stack(pdf["source"].to_list()).astype(float), pdf["label"].to_numpy()
-            condition = np.stack(pdf["condition"].to_list()) if has_condition else None
-
-            def velocity(z, t, labels=labels, condition=condition):
-                of = lambda l: (predict(z, t, l, condition) - z) / max(1 - t, eps)  # noqa: E731, E741
-                v = of(labels)
-                if scale == 1.0 or drop <= 0:
-                    return v
-                g = scale if t < high and (low == 0 or t > low) else 1.0
-                u = of(np.full_like(labels, null_class))
-                return u + g * (v - u)
-
-            grid = np.linspace(0, 1, steps + 1)
-            for k in range(steps):
-                t, t_next = float(grid[k]), float(grid[k + 1])
-                v = velocity(z, t)
-                if method == "heun" and k < steps - 1:
-                    v = 0.5 * (v + velocity(z + (t_next - t) * v, t_next))
-                z = z + (t_next - t) * v
-            yield type(pdf)({"id": pdf["id"], "label": labels, out: list(z)})
-
-    return df.select("id", "label", "source", *(["condition"] if has_condition else [])).mapInPandas(run, f"id {kind}, label int, {out} array<double>")
+        of = lambda z, t, labels: (model(z, t, labels, carried) - z) / max(1.0 - t, eps)
+
+        def velocity(z, t):
+            v = of(z, t, labels)
+            if scale == 1.0 or drop <= 0:
+                return v
+            u = of(z, t, np.full_like(labels, null_class))
+            return u + (scale if t < high and (low == 0 or t > low) else 1.0) * (v - u)
+
+        for k in range(steps):
+            t, t_next = k / steps, (k + 1) / steps
+            v = velocity(z, t)
+            if method == "heun" and k < steps - 1:
+                v = 0.5 * (v + velocity(z + (t_next - t) * v, t_next))
+            z = z + (t_next - t) * v
+        return z
+
+    def run(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(target)
+        kind, model = schema.field("__ft_out").type, cloudpickle.loads(shipped.value)
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column(begin)), -1).to_numpy(zero_copy_only=False)
+            for n in np.unique(lengths):
+                rows = batch.take(pa.array(np.flatnonzero(lengths == n)))
+                if n < 0:
+                    made = pa.nulls(rows.num_rows, kind)
+                else:
+                    stack = lambda c: rows.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, -1)  # noqa: B023, E731
+                    z = stack(begin) if begin == "source" else noise_scale * normals(f"{seed}:noise", rows.column("id").to_pylist(), int(n))
+                    labels = rows.column("label").to_numpy(zero_copy_only=False)
+                    made = sampled(model, z, labels, {c: stack(c) for c in carry})
+                    ends = pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * n)
+                    made = pa.ListArray.from_arrays(ends, pa.array(made.ravel())).cast(kind)
+                yield pa.RecordBatch.from_arrays([*(rows.column(f.name).cast(f.type) for f in list(schema)[:-1]), made], schema=schema)
+
+    done = df.mapInArrow(run, target)
+    return done.drop(out).withColumnRenamed("__ft_out", out) if out in df.columns else done.withColumnRenamed("__ft_out", out)

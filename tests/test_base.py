@@ -149,8 +149,6 @@ def test_sizes_and_resampling(spark):
     assert all(r.condition == r.target and len(r.target) == 192 and r.h == 8 for r in got)
     with pytest.raises(ValueError):
         images.prepare_pairs(image_rows(spark), 8, True, resize=4)
-    with pytest.raises(ValueError):
-        images.validate_images(image_rows(spark), 8)
 
 
 def test_losses_golden(spark):
@@ -186,7 +184,7 @@ def test_sampler_golden(spark, method, steps, want):
     df = spark.createDataFrame([(1, 0, [1.0, 1.0], [-2.0, -2.0])], "id bigint, label int, target array<double>, source array<double>")
     got = scoring.generate(df, scoring.predictor("target"), 10, method, steps).first().pixels
     assert np.allclose(got, want, atol=1e-6 if want != 1 else 1e-12)
-    called = scoring.generate_with(df, lambda z, t, labels, condition: np.ones_like(z), 10, method, steps).first().pixels
+    called = scoring.generate_with(df, lambda z, t, labels, carried: np.ones_like(z), 10, method, steps).first().pixels
     assert np.allclose(got, called, atol=1e-9)
 
 
@@ -302,10 +300,10 @@ def test_tasks_give_arrays_and_hot_keys_are_dealt(spark):
     df = image_rows(spark, [(4, 4, 1)] * 20).withColumnRenamed("pixels", "target")
     plan = plan_of(metrics.fit_class_gaussian(df, 9))
     assert "collect_list" not in plan and "explode" not in plan.lower()
-    sums, _ = metrics.moment_sums(df, "target")
-    assert sums.count() == 17
+    tiles, _ = metrics.moment_tiles(df, "target", 5)
+    assert sorted((r.i, r.j, len(r.x)) for r in tiles.collect()) == sorted([(-1, -1, 17), *((i, j, (5 if i < 3 else 1) * (5 if j < 3 else 1)) for i in range(4) for j in range(i, 4))])
     steps = spark.createDataFrame([("a", 0, k, float(k)) for k in range(50)], "name string, idx int, step int, value double")
-    assert "__ft_salt" in plan_of(params.ema(steps, 0.9))
+    assert "Join" not in plan_of(params.ema(steps, 0.9))
     files = spark.createDataFrame([("a/x.png",)], "rel string")
     assert "__ft_salt" in plan_of(pairing.pair_images(files, files))
 
@@ -350,3 +348,116 @@ def test_restore_folder(spark, tmp_path, with_targets):
             assert math.isclose(r.psnr, -10 * math.log10(np.mean((box - middle(pixels["clean", r.id])) ** 2 / 255**2)), rel_tol=1e-6)
     if with_targets:
         assert scores.first().n == 3 and math.isclose(sinks.read_metric_log(spark, log).first().value, scores.first().psnr)
+
+
+def test_arrow_sampling_is_the_expression(spark):
+    """The same images to 1e-12, for two shapes, by ids that are numbers or text, from noise and from a source."""
+    rng = np.random.default_rng(8)
+    rows = [(f"x{i}", int(i % 4), *(rng.normal(size=n).tolist() for _ in range(2)), *(rng.uniform(0.1, 1, n).tolist() for _ in range(2)), rng.normal(size=n).tolist()) for i, n in enumerate([6, 6, 9, 6, 9, 4])]
+    df = spark.createDataFrame(rows, "id string, label int, mu array<double>, mu_null array<double>, var array<double>, var_null array<double>, target array<double>").withColumn("a.b", F.lit(1))
+    carry = ("mu", "var", "mu_null", "var_null")
+    for extra in ({}, {"source": F.col("target")}):
+        for method, scale in (("euler", 1.0), ("heun", 2.0)):
+            how = dict(method=method, steps=5, scale=scale, low=0.1, high=0.9, seed=3, noise_scale=2.0)
+            want = {r.id: r.pixels for r in scoring.generate(df.withColumns(extra), scoring.predictor("class_gaussian", null_class=3), 3, **how).collect()}
+            made = scoring.generate_with(df.withColumns(extra), scoring.class_gaussian_arrays(3), 3, carry=carry, **how)
+            assert made.columns[:8] == df.columns
+            got = {r.id: r.pixels for r in made.collect()}
+            assert all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in want) and len(got) == 6
+    gone = scoring.generate_with(df.withColumn("target", F.lit(None).cast("array<double>")), scoring.class_gaussian_arrays(3), 3, carry=carry, steps=2)
+    assert gone.where("pixels is null").count() == 6
+
+
+def test_numpy_normals_are_the_columns(spark):
+    from flowtab.functions import rand
+
+    df = spark.createDataFrame([(7,), (None,), (-3,)], "id bigint").withColumn("n", F.array(*(rand.hash_normal("5:noise", F.col("id"), F.lit(i)) for i in range(12))))
+    rows = df.collect()
+    assert np.allclose(rand.normals("5:noise", [r.id for r in rows], 12), [r.n for r in rows], rtol=0, atol=1e-14)
+
+
+def test_hot_keys_alone_are_dealt(spark):
+    from flowtab.functions.joins import hot_left
+
+    left = spark.range(1000).select("id", F.when(F.col("id") < 600, 0).when(F.col("id") < 990, F.col("id")).alias("k").cast("bigint"))
+    right = spark.range(0, 2000, 2).select(F.col("id").alias("r"), (F.col("id") * 10).alias("v"))
+    want = sorted((r.id, r.v) for r in left.join(right, F.col("k") == F.col("r"), "left").select("id", "v").collect() if r.v is not None)
+    for share in (50, 100_000):
+        got = hot_left(left, right, F.col("k"), F.col("r"), F.xxhash64("id"), share)
+        assert got.columns == ["id", "k", "r", "v"] and got.count() == 1000
+        assert sorted((r.id, r.v) for r in got.where("v is not null").collect()) == want
+        # The right side is copied for hot keys alone, and not at all where there are none.
+        assert ("Generate explode" in plan_of(got)) == (share == 50)
+    conditions = spark.createDataFrame([(f"{i}/x.png",) for i in range(40)] + [("b/y.png",)], "rel string")
+    targets = spark.createDataFrame([("t/x.png",), ("b/y.png",)], "rel string")
+    both = [sorted(map(tuple, pairing.pair_images(conditions, targets, share).collect())) for share in (7, 1000)]
+    assert both[0] == both[1] and sum(r[1] == "t/x.png" for r in both[0]) == 40
+
+
+@pytest.mark.parametrize("decay", [0.0, 0.01, 0.5, 0.9, 0.9999, 1.0])
+def test_averages_of_many_steps(spark, decay):
+    steps = 700
+    rows = [("p", 0, s, math.sin(s)) for s in range(steps)] + [("p", 1, 0, 4.0)]
+    got = {r.idx: r.ema for r in params.ema(spark.createDataFrame(rows, "name string, idx bigint, step int, value double").repartition(5), decay).collect()}
+    want = 0.0
+    for s in range(steps):
+        want = math.sin(s) if s == 0 else decay * want + (1 - decay) * math.sin(s)
+    assert math.isclose(got[0], want, rel_tol=1e-9, abs_tol=1e-12) and got[1] == 4.0
+    assert "Join" not in plan_of(params.ema(spark.createDataFrame(rows, "name string, idx bigint, step int, value double"), decay))
+
+
+def test_validation_reads_once(spark):
+    from pyspark.sql import Observation
+
+    good, bad = image_rows(spark, [(4, 4, 3)] * 3), image_rows(spark, [(4, 4, 3), (4, 5, 3)])
+    assert images.validate_images(good, 4, 3).count() == 3
+    assert plan_of(images.validate_images(good, 4)).count("Scan") == 1
+    with pytest.raises(Exception, match="not 4 x 4: 4 x 5"):
+        images.validate_images(bad, 4).select("id").count()
+    with pytest.raises(Exception, match="not 4 x 4"):
+        images.validate_images(good, 4, 1).count()
+    with pytest.raises(Exception, match=r"not 4 x 4: \? x 4"):
+        images.validate_images(good.withColumn("h", F.lit(None).cast("int")), 4).count()
+    seen = Observation()
+    images.validate_images(bad, 4, observation=seen).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"wrong": 1, "images": 2}
+    with pytest.raises(ValueError, match="1 of 2"):
+        images.check_observed(seen)
+    seen = Observation()
+    images.validate_images(good, 4, observation=seen).collect()
+    assert images.check_observed(seen) == 3
+
+
+def test_moves_with_missing_images(spark):
+    df = image_rows(spark, [(4, 6, 3), (5, 5, 1)]).withColumn("pixels", F.when(F.col("id") == 1, F.col("pixels")).cast("array<double>")).withColumn("a.b", F.lit("x"))
+    a = next(array_of(r) for r in df.collect() if r.id == 1)
+    for made, want in ((images.rot90(df, 5), np.rot90(a)), (images.vflip(df, 1, 1.1), a[::-1]), (images.swap_channels(df), a[..., ::-1])):
+        rows = {r.id: r for r in made.collect()}
+        assert rows[0].pixels is None and (rows[0].h, rows[0].w, rows[0]["a.b"]) == (4, 6, "x") and made.schema == df.schema
+        assert (array_of(rows[1]) == want).all()
+    assert images.patchify(df, 2).count() == 4 and images.patchify(df.limit(0), 2).count() == 0
+    ints = df.withColumn("pixels", F.col("pixels").cast("array<int>"))
+    assert images.hflip(ints, 1, 1.1).schema == ints.schema
+
+
+def test_moments_in_tiles(spark, monkeypatch):
+    """Any tile and any number of passes give the moments; wide features never stand in a task as d x d numbers."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 23)) + 5
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, f array<double>").union(spark.createDataFrame([(99, None)], "id int, f array<double>")).repartition(3)
+    for tile, most in ((256, 1 << 30), (7, 1 << 30), (7, 8 * 7 * 7 * 2)):
+        monkeypatch.setattr(metrics, "TASK_BYTES", most)
+        n, mu, sigma = metrics.feature_moments(df, tile=tile)
+        assert n == 40 and np.allclose(mu, x.mean(0)) and np.allclose(sigma, np.cov(x.T))
+        rows = {(r.i, r.j): r for r in metrics.covariance_rows(df, tile=tile).collect()}
+        assert len(rows) == 23 * 23 and all(math.isclose(rows[i, j].cov, np.cov(x.T)[i, j], rel_tol=1e-9, abs_tol=1e-12) for i, j in rows)
+        assert all(math.isclose(rows[i, j].mean_i, x.mean(0)[i], rel_tol=1e-12) for i, j in rows)
+
+
+def test_wide_moments(spark):
+    df = spark.range(0, 30, 1, 2).select(F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda k: F.sin(F.col("id") * (k + 1)).cast("double")).alias("f"))
+    n, mu, sigma = metrics.feature_moments(df)
+    x = np.sin(np.arange(30)[:, None] * (np.arange(4096) + 1))
+    assert n == 30 and np.allclose(mu, x.mean(0), atol=1e-9)
+    at = np.random.default_rng(1).integers(0, 4096, (200, 2))
+    assert np.allclose([sigma[i, j] for i, j in at], [np.cov(x[:, i], x[:, j])[0, 1] for i, j in at], atol=1e-9)
