@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.arrow import map_in_arrow
 from ..functions.rand import hash_uniform
 
 
@@ -157,7 +158,7 @@ def patchify(df: DataFrame, p: int, id_col: str = "id") -> DataFrame:
                 patch = pa.array(np.tile(np.arange(down * across, dtype=np.int32), n))
                 yield pa.RecordBatch.from_arrays([ids.cast(out.field(0).type), patch, _listed(cells.reshape(n * down * across, -1), out.field(2).type)], schema=out)
 
-    return source.mapInArrow(run, target)
+    return map_in_arrow(source, run, target)
 
 
 def unpatchify(patches: DataFrame, p: int, channels: int, id_col: str = "id") -> DataFrame:
@@ -305,7 +306,7 @@ def _each_shape(df: DataFrame, fn: Callable, columns: list[str], keys: tuple[str
                 new[side] = pa.array([made[0].shape[at]] * rows.num_rows, out.field(side).type)
             yield pa.RecordBatch.from_arrays([new[n] if n in new else rows.column(n).cast(f.type) for n, f in zip(names, out, strict=True)], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return map_in_arrow(df, run, schema)
 
 
 def _to_sides(df: DataFrame, h: Column, w: Column, times: Column | None, fn: Callable, columns: Iterable[str]) -> DataFrame:

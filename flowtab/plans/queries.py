@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions import sql
 from ..functions.joins import shared_folder
 from ..functions.rand import hash_normal, hash_uniform
 from ..operators import flow, images, meters, metrics, order, pairing, params
 from ..sources import files, sinks
 from ..sources import images as sources
 from ..streaming import meters as streams
-from . import evaluate, scoring
+from . import evaluate, scoring, training
 from . import fixtures as X
 from .fixtures import COND, LISTING, METRICS, PARAMS, PR, PX, SNAPSHOTS, STEM, TARGET, U8, digest, rounded
 from .fixtures import sql_digest as dig
@@ -27,11 +28,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
+def query(oracle: str | None = None) -> Callable:
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
         return f
 
     return register
@@ -540,6 +541,28 @@ def f5_training_examples(spark, sf_dir):
     return digest(flow.make_training_examples(X.pairs(spark, sf_dir), "restoration"), "z", "v", by=("id", "label"))
 
 
+_ORDER = "md5('5:2:' || vec_id)"
+
+
+@query(
+    f"WITH {PX}, o AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {_ORDER}, vec_id) - 1 AS idx FROM embeddings), n AS (SELECT count(*) AS n FROM o), "
+    "a AS (SELECT id, idx FROM o UNION ALL SELECT id, idx + n FROM o, n WHERE idx < (3 - n % 3) % 3), s AS (SELECT id, idx, (idx % 3)::INT AS shard, idx // 3 AS pos FROM a), "
+    'f AS (SELECT shard, count(*) // 32 AS "full" FROM s GROUP BY shard), p AS (SELECT id, idx, shard, pos, pos // 32 AS batch FROM s JOIN f USING (shard) WHERE pos // 32 < "full"), '
+    f"r AS (SELECT id, label, y, x // 2 AS x, floor(avg(round_even({U8}, 0)) + 0.5) AS u FROM px GROUP BY id, label, y, x // 2), "
+    "c AS (SELECT id, label, y // 2 AS y, x, floor(avg(u) + 0.5) / 255 * 2 - 1 AS v FROM r GROUP BY id, label, y // 2, x), "
+    f"m AS (SELECT id, label, y * 4 + CASE WHEN {U(repr('5.2:hflip'), 'id')} < 0.5 THEN 3 - x ELSE x END AS pos, v AS target FROM c), "
+    f"t AS (SELECT vec_id AS id, 1 / (1 + exp(-({N(repr('5.2:t'), 'vec_id')} * 0.8::DOUBLE - 0.8::DOUBLE))) AS t FROM embeddings), "
+    f"b AS (SELECT id, (CASE WHEN {U(repr('5.2:drop'), 'id')} < 0.1 THEN 10 ELSE label END)::INT AS label, t, m.pos AS place, t * target + (1 - t) * {N(repr('5.2:noise'), 'id', 'm.pos')} AS z, target FROM m JOIN t USING (id)), "
+    "e AS (SELECT id, label, t, place, z, (target - z) / greatest(1 - t, 0.05::DOUBLE) AS v FROM b), "
+    f"d AS ({dig('e', 'z', 'v', by='id, label, t', pos='place')}) SELECT idx, shard, p.pos, batch, id, label, {R('t')} AS t, z_sum, z_pos, v_sum, v_pos FROM d JOIN p USING (id)"
+)
+def f5_training_batches(spark, sf_dir):
+    """An epoch from images in class folders to the noised examples of each worker's batches."""
+    rows = X.imgs_u8(spark, sf_dir).withColumn("class_name", F.col("label").cast("string")).drop("label")
+    made = training.training_batches(pairing.class_index(rows), 2, 5, 3, 32, 10, size=4)
+    return digest(made.withColumn("t", rounded(F.col("t"))), "z", "v", by=("idx", "shard", "pos", "batch", "id", "label", "t"))
+
+
 # G. Losses and metrics
 
 
@@ -947,3 +970,62 @@ def k1_sinusoidal_encode(spark, sf_dir):
 def k2_grid_encode(spark, sf_dir):
     k = F.col("event_id")
     return digest(X.table(spark, sf_dir, "events").select(k.alias("id"), A.grid_encode(F.floor(k / 16) % 16, k % 16, 16).alias("enc")), "enc")
+
+
+# M. What users add, and SQL
+
+
+@query(
+    f"WITH {PX}, b AS (SELECT id, y, x, round_even({U8}, 0) AS u FROM px), r AS (SELECT id, y, x // 2 AS x, floor(avg(u) + 0.5) AS u FROM b GROUP BY id, y, x // 2), "
+    "s AS (SELECT id, y // 2 * 4 + x AS pos, 255 - floor(avg(u) + 0.5) AS pixels FROM r GROUP BY id, y // 2, x) " + dig("s", "pixels")
+)
+def m1_transform_hook(spark, sf_dir):
+    """A user's function on each image, in the pass that scales and cuts it."""
+    return digest(images.halving_center_crop(X.imgs_u8(spark, sf_dir), 4, lambda image: 255 - image), "pixels")
+
+
+@scoring.register_predictor("scaled")
+def _scaled(factor: float = 0.5) -> scoring.Predictor:
+    """Predicts a part of the state: a user's predictor, known by name."""
+    return lambda z, t, label, condition: F.transform(z, lambda x: x * factor)
+
+
+_SCALED = "(0.25::DOUBLE * z - z)"
+
+
+@query(
+    f"WITH {PR}, z0 AS (SELECT id, pos, {N(repr('0:noise'), 'id', 'pos')} AS z FROM pr), z1 AS (SELECT id, pos, z + 0.5::DOUBLE * {_SCALED} AS z FROM z0), "
+    f"z2 AS (SELECT id, pos, z + 0.5::DOUBLE * ({_SCALED} / 0.5::DOUBLE) AS pixels FROM z1) " + dig("z2", "pixels")
+)
+def m2_predictor_registry(spark, sf_dir):
+    rows = X.pairs(spark, sf_dir).select("id", "label", "target")
+    return digest(scoring.generate(rows, scoring.predictor("scaled", factor=0.25), 10, "euler", 2), "pixels")
+
+
+def _in_sql(spark, sf_dir, statement):
+    """A statement over the pairs, with the library's functions."""
+    sql.register(spark, "ft_")
+    return spark.sql(statement, pairs=X.pairs(spark, sf_dir))
+
+
+@query(
+    f"WITH {PR}, q AS ({_psnr_sql('condition', 'pr', 'id, label')}), e AS (SELECT id, pos, (target - (0.25::DOUBLE * target + 0.75::DOUBLE * condition)) / 0.75::DOUBLE AS v FROM pr), d AS ({dig('e', 'v')}), "
+    "m AS (SELECT id, max(target) AS top FROM pr GROUP BY id), x AS (SELECT id, exp(max(target) - any_value(top)) / sum(exp(target - top)) AS p FROM pr JOIN m USING (id) GROUP BY id) "
+    f"SELECT id, {R('psnr')} AS psnr, v_sum, v_pos, {R('p')} AS top_share, {R('cos(label)')} AS c, {R('sin(label)')} AS s FROM q JOIN d USING (id) JOIN x USING (id)"
+)
+def m3_sql_functions(spark, sf_dir):
+    """Quality, velocities, shares and codes of pairs, by functions of SQL."""
+    rows = _in_sql(
+        spark, sf_dir,
+        "SELECT id, ft_psnr(ft_to_unit(condition), ft_to_unit(target)) AS psnr, ft_velocity(target, ft_interpolate(target, condition, 0.25D), 0.25D) AS v, "
+        "array_max(ft_softmax(target)) AS top_share, ft_sinusoidal_encode(label, 2) AS code FROM {pairs}",
+    )
+    numbers = {"psnr": rounded(F.col("psnr")), "top_share": rounded(F.col("top_share")), "c": rounded(F.col("code")[0]), "s": rounded(F.col("code")[1])}
+    return digest(rows.withColumns(numbers), "v", by=("id", *numbers))
+
+
+@query(f"WITH {PR}, b AS (SELECT id, y // 4 * 2 + x // 4 AS patch, y % 4 * 4 + x % 4 AS pos, target AS cells FROM pr WHERE label < 5) " + dig("b", "cells", by="id, patch"))
+def m3_sql_patchify(spark, sf_dir):
+    """Patches by a table function of SQL."""
+    rows = _in_sql(spark, sf_dir, "SELECT id, t.patch, t.patch_values AS cells FROM {pairs}, LATERAL ft_patchify(target, h, w, c, 4) AS t WHERE label < 5")
+    return digest(rows, "cells", by=("id", "patch"))

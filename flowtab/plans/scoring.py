@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.arrow import map_in_arrow
 from ..functions.joins import dealt_left
 from ..functions.rand import normals
 from ..operators.flow import bridge_source, noise
@@ -215,5 +216,5 @@ def generate_with(
                     made = pa.ListArray.from_arrays(ends, pa.array(made.ravel())).cast(kind)
                 yield pa.RecordBatch.from_arrays([*(rows.column(f.name).cast(f.type) for f in list(schema)[:-1]), made], schema=schema)
 
-    done = df.mapInArrow(run, target)
+    done = map_in_arrow(df, run, target)
     return done.drop(out).withColumnRenamed("__ft_out", out) if out in df.columns else done.withColumnRenamed("__ft_out", out)

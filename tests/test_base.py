@@ -304,8 +304,8 @@ def test_tasks_give_arrays_and_hot_keys_are_dealt(spark):
     assert sorted((r.i, r.j, len(r.x)) for r in tiles.collect()) == sorted([(-1, -1, 17), *((i, j, (5 if i < 3 else 1) * (5 if j < 3 else 1)) for i in range(4) for j in range(i, 4))])
     steps = spark.createDataFrame([("a", 0, k, float(k)) for k in range(50)], "name string, idx int, step int, value double")
     assert "Join" not in plan_of(params.ema(steps, 0.9))
-    files = spark.createDataFrame([("a/x.png",)], "rel string")
-    assert "__ft_salt" in plan_of(pairing.pair_images(files, files))
+    files = spark.createDataFrame([("a/x.png",), ("b/x.png",)], "rel string")
+    assert "__ft_salt" in plan_of(pairing.pair_images(files, files, 1)) and "explode" not in plan_of(pairing.pair_images(files, files)).lower()
 
 
 def test_progress_counts_waits_and_totals(spark):
