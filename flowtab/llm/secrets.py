@@ -1,16 +1,18 @@
 """Secret scans with multipart credential linking.
 
 A scan of each text finds parts. Certain parts (assignments, access identifiers, long hex runs) are reported
-as they are. Weak parts say nothing alone: an address with a host (endpoint), a run of 20 or more mixed
-base64 characters (opaque), a user or account name (account). A weak part is reported only where a
+as they are. Weak parts say nothing alone: an address or a host (endpoint), a run of 20 or more mixed
+base64 characters (opaque), a user, client or account name (account), a value of 8 or more characters after the name of a key or pass phrase that the
+base pattern does not know (named). A weak part is reported only where a
 complementary part lies within the same scope: at most ``scope`` code points between the end of one and the start of the other,
 or overlapping. That is an interval join of ``[start - scope, end + scope]`` with ``[start, end]``. It is done on places binned by
 the scope's width: a part enters each bin that its span covers, and a bin's first start and last end of each kind, aggregated
 before the shuffle, tell whether a partner is in reach. So each weak part meets one row for each kind and bin, however many parts
 a document has.
 
-Only documents with a weak part take part in the join. ``redact`` replaces spans in the batches that scan them; texts with a weak
-part, which wait for the join's answer, are split off, and no other text moves.
+Only documents with a weak part take part in the joins; rows of one id and text are dealt to several tasks. ``redact`` replaces spans in the
+batches that scan them; texts with a weak part, which wait for the join's answer, are split off, and no other text moves. Both branches scan, so
+``redact`` scans each text twice.
 
 Edge cases. Null and empty texts have no spans. Very long texts are scanned whole, in time linear in their length and
 their spans. Overlapping kinds are all reported; ties (spans of one start) go by kind as listed, then by end. Repeated rows of one
@@ -27,17 +29,18 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, columns_of, per_row, row_key, stored, use_checkpoints
+from .common import bound_batches, columns_of, per_row, row_key, salted_left, stored, use_checkpoints
 
 SCOPE = 200
 #: Base kinds, in the order in which spans of one start are listed; weak kinds come after them.
 BASE = ("assign", "access", "hex")
-KINDS = (*BASE, "endpoint", "opaque", "account")
+KINDS = (*BASE, "endpoint", "opaque", "account", "named")
 #: For each weak kind: the kinds of which one has to be in its scope.
 COMPLEMENT = {
-    "endpoint": ("assign", "access", "opaque"),
+    "endpoint": ("assign", "access", "opaque", "named"),
     "opaque": ("access", "endpoint", "account"),
-    "account": ("assign", "opaque", "hex"),
+    "account": ("assign", "opaque", "hex", "named"),
+    "named": ("access", "endpoint", "account"),
 }
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -45,9 +48,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # a run of fewer is dropped anyway
 _ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+", re.I | re.A)
 _ADDRESS = re.compile(r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}:[0-9]{2,5}\b", re.A)
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{20,}={0,2}")
+_HOST = re.compile(r"""(?<![A-Za-z])(?:host(?:name)?|server|endpoint)["']?\x20*[:=]\x20*["']?[a-z0-9][a-z0-9-]*(?:\.[a-z0-9][a-z0-9-]*)+(?::[0-9]{2,5})?""", re.I | re.A)
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}={0,2}")
 _MIX = [re.compile(c) for c in ("[0-9]", "[A-Z]", "[a-z]")]
-_ACCOUNT = re.compile(r"\b(?:user(?:name)?|login|account_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})", re.I | re.A)
+_ACCOUNT = re.compile(r"""(?<![A-Za-z])(?:user(?:name|_?id)?|login|e?mail|account_?(?:id|name)|client_?id|tenant_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
+_NAMED = re.compile(
+    r"""(?<![A-Za-z])(?:secret_?access_?key|access_?key(?:_?secret)?|private_?key|(?:auth|account|shared|secret)_?key|pass(?:phrase|code)?|pwd|credentials?)["']?\x20*[:=]\x20*["']?([^\s"'<>,;&]{8,})""",
+    re.I | re.A,
+)
 
 
 def scan(text: str | None) -> list[tuple[str, int, int]]:
@@ -58,6 +66,8 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if ":" in text or "=" in text:  # what all of these need
         found += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
         found += [("account", *m.span()) for m in _ACCOUNT.finditer(text)]
+        found += [("named", *m.span()) for m in _NAMED.finditer(text)]
+        found += [("endpoint", *m.span()) for m in _HOST.finditer(text)]
         if "://" in text:
             found += [("endpoint", *m.span()) for m in _ENDPOINT.finditer(text)]
         found += [("endpoint", *m.span()) for m in _ADDRESS.finditer(text)]
@@ -141,22 +151,30 @@ def credentials(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return _reported(parts(df, id_col, text_col).checkpoint(), scope)  # one scan of the texts for both uses
 
 
+def _asked(rows: DataFrame, answer: DataFrame) -> DataFrame:
+    """Left join of rows ``__ft_pair`` with their answer: repeated rows are dealt to several tasks."""
+    return salted_left(rows, answer, "__ft_pair", "__ft_answer", F.xxhash64(F.monotonically_increasing_id()))
+
+
 def _reported(found: DataFrame, scope: int) -> DataFrame:
     """``parts`` with the spans to report, in order."""
-    extra = linked(found, scope).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
-    base = found.withColumn("spans", F.filter("spans", lambda s: s["kind"].isin(*BASE)))
-    joined = base.alias("b").join(extra.alias("e"), F.col("b.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("b.row_key") == F.col("e.row_key")), "left")
+    pair = F.struct(F.col("doc_id").alias("i"), F.col("row_key").alias("k"))
+    extra = linked(found, scope).groupBy(pair.alias("__ft_answer")).agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
+    base = found.withColumns({"__ft_pair": pair, "weak": _weak(F.col("spans")), "spans": F.filter("spans", lambda s: s["kind"].isin(*BASE))})
+    none = F.lit(None).cast(extra.schema["more"].dataType).alias("more")
+    kept = ["doc_id", "row_key", "spans", "more"]
+    joined = _asked(base.where("weak"), extra).select(*kept).union(base.where("not weak").select("doc_id", "row_key", "spans", none))
     order = F.array(*map(F.lit, KINDS))
     spans = F.transform(
         F.array_sort(
             F.transform(
-                F.concat("b.spans", F.coalesce("e.more", F.filter("b.spans", lambda s: F.lit(False)))),
+                F.concat("spans", F.coalesce("more", F.filter("spans", lambda s: F.lit(False)))),
                 lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")),
             )
         ),
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
     )
-    return joined.select("b.doc_id", "b.row_key", spans.alias("spans"))
+    return joined.select("doc_id", "row_key", spans.alias("spans"))
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -189,8 +207,8 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     waiting = stored(found.where(_weak(F.col("__ft_parts"))).withColumn("__ft_row", row_key(text)), "weak-parts")
     ids = columns_of(df)[df.columns.index(id_col)]
     answer = _reported(waiting.select(ids.alias("doc_id"), F.col("__ft_row").alias("row_key"), F.col("__ft_parts").alias("spans")).dropDuplicates(["doc_id", "row_key"]), scope)
-    answer = answer.toDF("__ft_id", "__ft_key", "__ft_spans")
-    met = waiting.join(answer, ids.eqNullSafe(F.col("__ft_id")) & (F.col("__ft_row") == F.col("__ft_key")), "left")
+    answer = answer.select(F.struct(F.col("doc_id").alias("i"), F.col("row_key").alias("k")).alias("__ft_answer"), F.col("spans").alias("__ft_spans"))
+    met = _asked(waiting.withColumn("__ft_pair", F.struct(ids.alias("i"), F.col("__ft_row").alias("k"))), answer)
     linked_too = met.withColumn(text_col, cleaned(text, F.col("__ft_spans")))
     return plain.select(*columns_of(df)).union(linked_too.select(*columns_of(df)))
 
