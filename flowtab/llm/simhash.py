@@ -1,12 +1,12 @@
 """SimHash near-duplicates: segment-popcount embedding, grid range-join, exact verification.
 
-A 64-bit fingerprint is cut into 32 segments of two bits and mapped to its 32 segment bit counts, kept in
-unary code (0: 00, 1: 01, 2: 11). The Manhattan distance of two such vectors is then the bit count of the
-XOR of their codes, and never more than the Hamming distance of the fingerprints. Of two fingerprints at Hamming distance
-3 or less, one of the two halves (32 bits, 16 counts) is at Hamming distance 1 or less, and so at Manhattan distance 1 or less;
-so each half is a unit grid, joined at radius one. A cell of the counts is subdivided by the exact bits of its half, as
-cells of middling counts would fill up: a fingerprint is stored in its own subcell and looks into that and those of one bit more.
-Pairs that meet are held against the whole Manhattan bound and then the exact Hamming distance, in the join itself.
+A fingerprint is mapped to the bit counts of its two-bit segments, under two segmentations, the second one bit on (and round the
+end of its half). A fingerprint's distance by Manhattan of either is never more than the Hamming distance. Of two fingerprints at Hamming distance
+3 or less, one of the two halves (32 bits, 2 x 16 counts) is at Hamming distance 1 or less, and so at Manhattan distance 1 or less in each
+segmentation; so the counts of each half are a grid, joined at radius one: a fingerprint is stored in its own cell and looks into that and into those
+where one count of each segmentation, in segments that overlap, is one higher. One segmentation alone would have cells of middling
+counts that fill up as the input grows; both together leave few fingerprints to a cell. Pairs that meet are held against the Manhattan
+bound of the whole vector of counts and then the exact Hamming distance, in the join itself.
 
 Edge cases. Null or empty texts and texts without words have the fingerprint zero and link like any other. Very long texts are
 hashed in blocks. Null ids take part; the id of a component is its smallest id that is not null, so ties do not occur. Repeated rows
@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, columns_of, key_filter, may_hold, per_row, row_key, salted_left, use_checkpoints
+from .common import SALTS, columns_of, dealt_join, key_filter, may_hold, per_row, row_key, salted_left, use_checkpoints
 
 _LOW = 0x5555555555555555
 _HALF = 0xFFFFFFFF
@@ -71,28 +71,47 @@ def embedding(fp: Column) -> Column:
     return either.bitwiseOR(F.shiftleft(both, 1))
 
 
-def _higher(half: Column) -> Column:
-    """The halves with one bit more."""
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
-    return F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.when(half.bitwiseAND(bit(i)) == 0, half.bitwiseOR(bit(i)))))
+def counts(half: Column) -> Column:
+    """Bit counts (0 to 2) of a half's two-bit segments, two bits for each count."""
+    return half - F.shiftrightunsigned(half, 1).bitwiseAND(F.lit(_LOW & _HALF))
+
+
+def _cell(which: Column, even: Column, odd: Column) -> Column:
+    """A cell's name: which half, and its counts in both segmentations. Cells of one name by chance add candidates, and no links."""
+    return F.xxhash64(which, even, odd)
+
+
+def _cells(which: Column, half: Column, radius: bool) -> Column:
+    """The cell of a half, or, with ``radius``, that and the cells where a count of each segmentation is one higher."""
+    turned = F.shiftrightunsigned(half, 1).bitwiseOR(F.shiftleft(half.bitwiseAND(F.lit(1)), 31))
+    grid = F.struct(half.alias("bits"), counts(half).alias("even"), counts(turned).alias("odd"))
+    if not radius:
+        return F.transform(F.array(grid), lambda g: _cell(which, g["even"], g["odd"]))
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+
+    def raised(g: Column, i: Column) -> Column:
+        """Bit i is in one segment of each segmentation; where it is set already no neighbour is one higher by it."""
+        place = lambda at: one(F.floor(at / 2).cast("int") * 2)
+        return F.when(g["bits"].bitwiseAND(one(i)) == 0, _cell(which, g["even"] + place(i), g["odd"] + place(F.pmod(i - 1, F.lit(32)))))
+
+    return F.flatten(F.transform(F.array(grid), lambda g: F.array_compact(F.concat(F.array(_cell(which, g["even"], g["odd"])), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: raised(g, i))))))
+
+
+def candidates(prints: DataFrame) -> tuple[DataFrame, DataFrame, tuple[Column, Column]]:
+    """Both sides of the grid join of distinct ``fp``: ``x``, each in its own cells, and ``y``, each in those it looks into; and what makes a pair a
+    candidate (the cell), and a link (the bounds by counts and by bits)."""
+    half = lambda k: F.shiftrightunsigned("fp", 32 * k).bitwiseAND(F.lit(_HALF))
+    side = lambda radius: prints.select("fp", embedding(F.col("fp")).alias("e"), F.explode(F.concat(*(_cells(F.lit(k), half(k), radius) for k in (0, 1)))).alias("cell"))
+    near = F.bit_count(F.col("x.e").bitwiseXOR(F.col("y.e"))) <= MAX_BITS
+    exact = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= MAX_BITS
+    met = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.fp") != F.col("y.fp"))
+    return side(False).alias("x"), side(True).alias("y"), (met, near & exact)
 
 
 def links(prints: DataFrame) -> DataFrame:
     """Pairs ``a, b`` (a < b) of distinct fingerprints at ``MAX_BITS`` or fewer bits. ``prints``: distinct ``fp``."""
-    half = lambda k: F.struct(F.lit(k).alias("half"), F.shiftrightunsigned("fp", 32 * k).bitwiseAND(F.lit(_HALF)).alias("bits"))
-    halves = prints.select("fp", embedding(F.col("fp")).alias("e"), F.explode(F.array(half(0), half(1))).alias("h"))
-    # The exact bits of a half tell its counts too; which half it is goes into the key's spare upper bits: one long to shuffle by.
-    key = lambda bits: bits.bitwiseOR(F.shiftleft(F.col("h.half").cast("long"), 33)).alias("cell")
-    home = halves.select("fp", "e", key(F.col("h.bits")))
-    probe = halves.select("fp", "e", "h", F.explode(F.concat(F.array("h.bits"), _higher(F.col("h.bits")))).alias("c")).select("fp", "e", key(F.col("c")))
-    x, y = home.alias("x"), probe.alias("y")
-    found = x.join(
-        y,
-        (F.col("x.cell") == F.col("y.cell"))
-        & (F.col("x.fp") != F.col("y.fp"))
-        & (F.bit_count(F.col("x.e").bitwiseXOR(F.col("y.e"))) <= MAX_BITS)
-        & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= MAX_BITS),
-    )
+    x, y, (met, bounds) = candidates(prints)
+    found = x.join(y, met & bounds)
     return found.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
 
 
@@ -147,7 +166,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .where("root is not null or n > 1")
         .select(F.col("fp").alias("k"), F.coalesce("root", "fp").alias("component_fp"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("id")).alias("id"))
     )
-    met = salted_left(docs, shared, "fp", "k", F.xxhash64("doc_id", "row_key"))
+    met = dealt_join(docs, shared, "fp", "k", F.xxhash64("doc_id", "row_key"))  # copies for hot fingerprints alone
     alone = F.col("k").isNull()
     return met.select("doc_id", "row_key", "fp", F.coalesce("component_fp", "fp").alias("component_fp"), F.when(alone, F.col("doc_id")).otherwise(F.col("id")).alias("component_id"))
 
