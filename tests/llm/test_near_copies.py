@@ -103,3 +103,20 @@ def test_pipeline_stage(spark):
     rows = [(k, edited(random.Random(k), words, 4)) for k in range(6)]
     left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
     assert {(r.doc_id, r.text) for r in left.collect()} == by_force(rows)
+
+
+def test_texts_of_one_hash_are_kept(spark, monkeypatch):
+    """Where different texts share a node they are told apart by the second hash: none is lost, and their copies still go."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(8)]
+    near = texts[6].split()
+    near[30] = "other"
+    rows = [(i, t) for i, t in enumerate([*texts, texts[0], " ".join(near)])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    signed = near_copies._signed(df, "doc_id", "text").collect()
+    # The first three texts are given one node.
+    node = signed[0].node
+    forged = spark.createDataFrame([(r.doc_id, bytes(r.row_key), node if r.doc_id in (0, 1, 2, 8) else r.node, r.check, r.n, r.bands) for r in signed], near_copies._signed(df, "doc_id", "text").schema)
+    monkeypatch.setattr(near_copies, "_signed", lambda *_: forged)
+    assert sorted(r.doc_id for r in near_copies.keep_one(df).collect()) == list(range(8))
