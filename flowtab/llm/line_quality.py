@@ -40,11 +40,11 @@ _SENTENCE = re.compile(r"[.!?][ \t]")
 _CAPITAL, _SMALL = re.compile("[A-Z]"), re.compile("[a-z]")
 
 
-def failing_rule(line: str, n_words: int) -> str | None:
-    """The first rule that a line with ``n_words`` words fails."""
+def failing_rule(line: str, n_words: int, phrases: bool = True) -> str | None:
+    """The first rule that a line with ``n_words`` words fails. ``phrases`` is false where its text is known to have none of ``BOILERPLATE``."""
     if line.count("|") >= 2 or _ARROW.search(line):
         return "navigation"
-    if _PHRASE.search(line):
+    if phrases and _PHRASE.search(line):
         return "boilerplate"
     if 4 * len(_SIGN.findall(line)) > n_words:
         return "signs"
@@ -83,6 +83,8 @@ def clean(text: str | None) -> tuple[dict, list[str]]:
     text = text or ""
     words = _WORD.findall(text)
     seen, kept, dup, lost, failed = set(), [], 0, 0, 0
+    low = text.lower()  # also makes some other letters ASCII ones, so that it may have a phrase that no line has, but never the other way
+    phrases = any(p in low for p in BOILERPLATE)
     for line in text.split("\n"):
         n = len(_WORD.findall(line))
         if not n:
@@ -90,7 +92,7 @@ def clean(text: str | None) -> tuple[dict, list[str]]:
             continue
         dup += line in seen
         seen.add(line)
-        if failing_rule(line, n):
+        if failing_rule(line, n, phrases):
             lost, failed = lost + n, failed + 1
         else:
             kept.append(line)
