@@ -78,6 +78,8 @@ NAMES = {
     "CC0-1.0": ["CC0 1.0"],
     "Unlicense": ["Unlicense"],
 }
+#: Further licences that are known by their identifier in a file's tag alone.
+TAGGED = ["0BSD", "Artistic-2.0", "BSL-1.0", "CC-BY-3.0", "CC-BY-SA-3.0", "EPL-2.0", "Zlib"]
 _CC = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
 _CC_KINDS = ["BY", "BY-NC", "BY-ND", "BY-SA", "BY-NC-ND", "BY-NC-SA"]
 _UNDER = ["under", "under the", "under the terms of the"]
@@ -114,6 +116,10 @@ def _table() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
         code = f"cc-{kind.lower()}-4.0-code"
         known[code] = normal(f"Creative Commons {spelt} 4.0 International Public License")
         rules.append((f"CC-{kind}-4.0", [code]))
+    for licence in [*names, *TAGGED]:
+        key = f"{licence.lower()}-tag"
+        known[key] = normal(f"SPDX-License-Identifier: {licence}")
+        rules.append((licence, [key]))
     for licence, spellings in names.items():
         for i, name in enumerate(spellings):
             for j, under in enumerate(_UNDER):
@@ -124,12 +130,11 @@ def _table() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
 
 
 SENTENCES, RULES = _table()
-#: (licence, those that are no finding of their own beside it): their wording is part of its text.
-HIDES = [("BSD-3-Clause", ["BSD-2-Clause", "All-Rights-Reserved"]), ("BSD-2-Clause", ["All-Rights-Reserved"])]
-ANCHORS = ["licens", "warrant", "redistribut", "hereby granted", "permission notice", "endorse", "cc by", "cc0", "rights reserved", "public domain", "obtain one at", "anyone is free", "gnu gpl"]
 #: Permissive licences may be trained on in most settings; the others ask for a decision.
-PERMISSIVE = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC0-1.0", "ISC", "MIT", "Unlicense"]
-
+PERMISSIVE = ["0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC0-1.0", "ISC", "MIT", "Unlicense", "Zlib"]
+#: (licence, those that are no finding of their own beside it): a copyright line goes before a grant of rights, and does not take it back.
+HIDES = [("BSD-3-Clause", ["BSD-2-Clause"]), *((name, ["All-Rights-Reserved"]) for name in PERMISSIVE)]
+ANCHORS = ["licens", "warrant", "redistribut", "hereby granted", "permission notice", "endorse", "cc by", "cc0", "rights reserved", "public domain", "obtain one at", "anyone is free", "gnu gpl"]
 #: Sentence ends before white space, and blank lines.
 _CUT = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n"
 _ANCHOR = "|".join(a.replace(" ", "[^a-z0-9]+") for a in ANCHORS)

@@ -134,4 +134,14 @@ def test_names_and_order(spark):
     assert len(licenses.SENTENCES) < 200 and all(re.search(licenses._ANCHOR, s) for s in licenses.SENTENCES.values())
     grant, notice = MIT.split("\n\n")[2], MIT.split("\n\n")[3]
     got = scanned(spark, [f"{grant}\n\nOther words.\n\n{notice}", f"{notice}\n\n{grant}", "x\n\nReleased  under the MIT license.\n\nAll rights reserved."])
-    assert got == ["MIT", "", "All-Rights-Reserved,MIT"]
+    assert got == ["MIT", "", "MIT"]
+
+
+def test_tags_and_copyright_lines(spark):
+    """A file's tag names its licence; beside a permissive one a copyright line's reservation is no finding, alone or beside others it is."""
+    tags = ["MIT", "Apache-2.0", "GPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-SA-4.0", "LGPL-3.0", "MPL-2.0", "Zlib", "EPL-2.0", "0BSD", "CC-BY-3.0"]
+    got = scanned(spark, [f"// SPDX-License-Identifier: {t}\n// Copyright 2020 X. All rights reserved.\nint main();\n" for t in tags])
+    assert got == [t if t in licenses.PERMISSIVE else ",".join(sorted(["All-Rights-Reserved", t])) for t in tags]
+    header = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file.\n\nCopyright 2020 X. All rights reserved."
+    df = spark.createDataFrame([(1, header), (2, "Copyright 2020 X. All rights reserved."), (3, "# SPDX-License-Identifier: GPL-2.0-only\n")], "doc_id bigint, text string")
+    assert [(r.licenses, r.permissive) for r in licenses.scan(df).orderBy("doc_id").collect()] == [("Apache-2.0", True), ("All-Rights-Reserved", False), ("GPL-2.0", False)]
