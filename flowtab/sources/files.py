@@ -2,8 +2,9 @@
 
 Each attempt of a task writes into a folder of its own below ``<path>/_staged-<job>``, which readers skip, and tells the driver its name, files and
 bytes. When all tasks are done the driver moves the files of the attempts that count to ``<path>/<file_name>``, and ends by ``_SUCCESS``;
-those of failed or doubled attempts go with the staging folder. A job that fails leaves no file. Names are keys: a later job's file replaces
-an earlier one; with ``overwrite`` files of earlier jobs go first. The driver holds the names of one task at a time.
+those of failed or doubled attempts go with the staging folder. A job that fails leaves no file that readers see; tasks that outlive it find its
+folder gone and clear their own, and what a killed one leaves is cleared by a later job after ``STALE_DAYS``. Names are keys: a later job's file
+replaces an earlier one; with ``overwrite`` files of earlier jobs go first. The driver holds the names of one task at a time.
 
 Edge cases. A null name is an error, a null content an empty file; of two rows with one name in a job one stays. An empty table gives
 an empty folder with its mark. Names may have folders, but may not leave the path.
@@ -22,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 NAME = "flowtab_files"
 DONE = "_SUCCESS"
+#: In the staging folder of a job that goes on; and days after which the folder of one that left it is cleared.
+_OPEN, STALE_DAYS = ".open", 7
 
 
 def _store(path: str):
@@ -49,6 +52,10 @@ class Written(WriterCommitMessage):
 class FilesWriter(DataSourceWriter):
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
+        store, base = _store(path)
+        store.create_dir(self._staged(base), recursive=True)
+        with store.open_output_stream(f"{self._staged(base)}/{_OPEN}") as out:
+            out.write(b"")
 
     def _staged(self, base: str) -> str:
         return f"{base}/_staged-{self.job}"
@@ -71,6 +78,9 @@ class FilesWriter(DataSourceWriter):
             with store.open_output_stream(target) as out:
                 out.write(content)
             sizes[name] = len(content)
+        if not self._is_file(store, f"{self._staged(base)}/{_OPEN}"):
+            self._drop_staged(store, base)
+            raise RuntimeError("the job was given up while its task went on")
         return Written(folder, len(sizes), sum(sizes.values()))
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -85,6 +95,7 @@ class FilesWriter(DataSourceWriter):
             if m.files:
                 self._move(store, f"{self._staged(base)}/{m.folder}", base, made)
         self._drop_staged(store, base)
+        self._clear_stale(store, base)
         with store.open_output_stream(f"{base}/{DONE}") as out:
             out.write(json.dumps({"job": self.job, "files": sum(m.files for m in told), "bytes": sum(m.size for m in told)}).encode())
 
@@ -98,12 +109,26 @@ class FilesWriter(DataSourceWriter):
             store.delete_dir(self._staged(base))
 
     @staticmethod
-    def _drop(store, path: str) -> None:
+    def _is_file(store, path: str) -> bool:
         from pyarrow import fs
 
-        if store.get_file_info(path).type == fs.FileType.File:
+        return store.get_file_info(path).type == fs.FileType.File
+
+    def _drop(self, store, path: str) -> None:
+        if self._is_file(store, path):
             store.delete_file(path)
 
+    @staticmethod
+    def _clear_stale(store, base: str) -> None:
+        from datetime import datetime, timedelta, timezone
+
+        from pyarrow import fs
+
+        before = datetime.now(timezone.utc) - timedelta(days=STALE_DAYS)
+        for info in store.get_file_info(fs.FileSelector(base)):
+            if info.base_name.startswith("_staged-") and info.mtime is not None and info.mtime < before:
+                store.delete_dir(info.path)
+
     @staticmethod
     def _move(store, source: str, base: str, made: set[str]) -> None:
         from pyarrow import fs

@@ -21,7 +21,7 @@ def rows(spark, n, parts=4):
 
 
 def found(root):
-    return {os.path.relpath(os.path.join(d, f), root): os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names if not f.endswith(".crc")}
+    return {os.path.relpath(os.path.join(d, f), root): os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names if not f.endswith(".crc") and "/_staged-" not in f"{d}/"}
 
 
 def test_files_and_their_mark(spark, tmp_path):
@@ -58,6 +58,33 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path):
     assert found(out) == before
 
 
+def test_a_task_that_outlives_its_job(tmp_path):
+    """It finds the job's folder gone, clears its own and fails; folders that nobody came back to are cleared after days."""
+    import pyspark
+
+    writer = files.FilesWriter(str(tmp_path), False)
+    context = pyspark.TaskContext()
+    context._partitionId, context._attemptNumber = 0, 0
+    before, pyspark.TaskContext._taskContext = pyspark.TaskContext._taskContext, context
+
+    def rows():
+        yield {"file_name": "a.bin", "content": b"x"}
+        writer.abort([])
+        yield {"file_name": "b/c.bin", "content": b"y"}
+
+    try:
+        with pytest.raises(RuntimeError, match="given up"):
+            writer.write(rows())
+        assert list(tmp_path.iterdir()) == []
+        old, new = files.FilesWriter(str(tmp_path), False), files.FilesWriter(str(tmp_path), False)
+        os.utime(tmp_path / f"_staged-{old.job}", (0, 0))
+        third = files.FilesWriter(str(tmp_path), False)
+        third.commit([third.write(iter([{"file_name": "d.bin", "content": b"z"}])), None])
+    finally:
+        pyspark.TaskContext._taskContext = before
+    assert {f.name for f in tmp_path.iterdir()} == {"d.bin", files.DONE, f"_staged-{new.job}"}
+
+
 def test_a_retried_task_writes_each_file_once(tmp_path):
     """Tasks that fail in their first attempt, after some files; the session allows attempts, which the shared one does not."""
     out, mark = tmp_path / "out", tmp_path / "marks"
