@@ -6,6 +6,7 @@ shape: flips, turns and patches are views of a stack that are copied once. Rando
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
@@ -162,22 +163,29 @@ def patchify(df: DataFrame, p: int, id_col: str = "id") -> DataFrame:
 
 
 def unpatchify(patches: DataFrame, p: int, channels: int, id_col: str = "id") -> DataFrame:
-    """Images from patches; their number must be a square."""
+    """Images ``id, pixels, h, w, c`` from patches; their number must be a square. An image's patches, as many as it has, meet in one row."""
     gathered = patches.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("patch", "values"))).alias("ps"))
-    side = F.sqrt(F.size("ps")).cast("int")
-    checked = F.when(side * side == F.size("ps"), side).otherwise(F.raise_error(F.lit("the number of patches is no square")).cast("int"))
-    c = channels
+    flat = gathered.select(id_col, F.size("ps").alias("n"), F.flatten(F.transform("ps", lambda x: x["values"])).cast("array<double>").alias("pixels"))
+    target = flat.select(id_col, "pixels", F.lit(0).alias("h"), F.lit(0).alias("w"), F.lit(0).alias("c")).schema
 
-    def image(ps: Column, side: Column) -> Column:
-        def at(i: Column) -> Column:
-            y, x = F.floor(i / (side * p * c)), F.floor(i / c) % (side * p)
-            k = (F.floor(y / p) * side + F.floor(x / p)).cast("int")
-            return F.get(F.get(ps, k)["values"], ((y % p * p + x % p) * c + i % c).cast("int"))
-
-        return F.transform(F.sequence(F.lit(0), side * side * p * p * c - 1), at)
+    def run(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    sides = (checked * p).cast("int")
-    return gathered.select(id_col, A.bind(image, F.col("ps"), checked).alias("pixels"), sides.alias("h"), sides.alias("w"), F.lit(channels).alias("c"))
+        out = to_arrow_schema(target)
+        for batch in batches:
+            counts = batch.column("n").to_numpy(zero_copy_only=False)
+            for n in np.unique(counts):
+                side = math.isqrt(int(n))
+                if side * side != n:
+                    raise ValueError("the number of patches is no square")
+                rows = batch.take(pa.array(np.flatnonzero(counts == n)))
+                cells = rows.column("pixels").flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, side, side, p, p, channels)
+                sides = [pa.array([k] * rows.num_rows, pa.int32()) for k in (side * p, side * p, channels)]
+                yield pa.RecordBatch.from_arrays([rows.column(id_col).cast(out.field(0).type), _listed(cells.transpose(0, 1, 3, 2, 4, 5), out.field(1).type), *sides], schema=out)
+
+    return map_in_arrow(flat, run, target)
 
 
 def _kernel(x):
