@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bounds of one Arrow batch sent to a Python worker, so that long texts cannot fill its memory.
-BATCH_ROWS, BATCH_BYTES = 2_000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -142,5 +142,6 @@ def per_row(df: DataFrame, columns: list[str], make: Callable[[], Callable], sch
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out
                 )
+        pa.default_memory_pool().release_unused()  # workers are used again, by tasks of other kinds
 
     return df.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True))).mapInArrow(run, target)

@@ -188,11 +188,15 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     use_checkpoints(spark)
     text = columns_of(df)[df.columns.index(text_col)]
 
-    @F.pandas_udf(_SPANS)
+    @F.pandas_udf(f"parts {_SPANS}, plain string")
     def scanned(texts):
+        """The parts, and the text without its certain spans: what stays of a text that waits for no answer."""
         import pandas as pd
 
-        return pd.Series([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in scan(t)] for t in texts])
+        found = [scan(t) for t in texts]
+        parts = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans] for spans in found]
+        plain = [replaced(t, [s for s in spans if s[0] in BASE]) if spans else t for t, spans in zip(texts, found, strict=True)]
+        return pd.DataFrame({"parts": parts, "plain": plain})
 
     @F.pandas_udf("string")
     def cleaned(texts, spans):
@@ -200,11 +204,11 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 
         return pd.Series([replaced(t, [(x["kind"], x["start"], x["end"]) for x in s]) if t is not None and s is not None and len(s) else t for t, s in zip(texts, spans, strict=True)])
 
-    found = df.withColumn("__ft_parts", scanned.asNondeterministic()(text))  # so that a filter on it scans no second time
-    plain = found.where(~_weak(F.col("__ft_parts")))
+    # A filter on what a scan gives must not scan a second time. One worker for each task: the plain text comes with the parts.
+    found = df.withColumn("__ft_scan", scanned.asNondeterministic()(text)).withColumns({"__ft_parts": F.col("__ft_scan.parts"), "__ft_plain": F.col("__ft_scan.plain")}).drop("__ft_scan")
     # A weak part alone has no partner either.
-    plain = plain.withColumn(text_col, cleaned(text, F.filter("__ft_parts", lambda s: s["kind"].isin(*BASE))))
-    waiting = stored(found.where(_weak(F.col("__ft_parts"))).withColumn("__ft_row", row_key(text)), "weak-parts")
+    plain = found.where(~_weak(F.col("__ft_parts"))).withColumn(text_col, F.col("__ft_plain"))
+    waiting = stored(found.where(_weak(F.col("__ft_parts"))).drop("__ft_plain").withColumn("__ft_row", row_key(text)), "weak-parts")
     ids = columns_of(df)[df.columns.index(id_col)]
     answer = _reported(waiting.select(ids.alias("doc_id"), F.col("__ft_row").alias("row_key"), F.col("__ft_parts").alias("spans")).dropDuplicates(["doc_id", "row_key"]), scope)
     answer = answer.select(F.struct(F.col("doc_id").alias("i"), F.col("row_key").alias("k")).alias("__ft_answer"), F.col("spans").alias("__ft_spans"))
