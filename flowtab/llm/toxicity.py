@@ -31,7 +31,7 @@ from .common import bound_batches, per_row
 from .learn import Rows, beginnings, fold, hashed, is_frequent, labelled_ids, sample_features, supported_terms, telling_terms, text_terms, within, word_counts, word_terms
 
 #: Bounds: labelled documents to learn from and terms in them altogether; words in a worker's memo, and the longest one there.
-SAMPLE, NUMBERS, MEMO, MEMO_WORD = 16_000, 24_000_000, 300_000, 64
+SAMPLE, NUMBERS, MEMO, MEMO_WORD = 16_000, 24_000_000, 100_000, 64
 #: Length of a term's vector.
 RANK = 8
 #: Support of a term in pairs: documents of label 1, and their share. Evidence of a pair (of e^-20 by chance).
