@@ -56,7 +56,7 @@ def strassen(a, b):
         return c
 
     sides, smallest, unit = (*a.shape, b.shape[1]), min(*a.shape, b.shape[1]), 1
-    while smallest // unit > LEAF:
+    while -(-smallest // unit) > LEAF:  # rounded up, as the padded side is what is halved
         unit *= 2  # each halving needs even sides
     m, k, n = (-(-side // unit) * unit for side in sides)
     padded = lambda x, rows, cols: np.pad(x, ((0, rows - x.shape[0]), (0, cols - x.shape[1])))

@@ -23,6 +23,15 @@ def test_strassen(shape):
             assert (got == a @ b).all()  # modulo 2^64, where products pass a long
 
 
+@pytest.mark.parametrize("least", [33, 34, 65, 66, 129, 131])
+def test_strassen_sides_padded_past_a_leaf(least):
+    g = np.random.default_rng(7)
+    for shape in ((least, 64, 140), (140, least, 64), (64, 140, least)):
+        m, k, n = (max(s, least) for s in shape)
+        a, b = g.integers(-137, 137, (m, k)), g.integers(-137, 137, (k, n))
+        assert (negatives.strassen(a, b) == a @ b).all()
+
+
 def test_heaps_merge():
     g = np.random.default_rng(4)
     for kept in (1, 3, 5):
