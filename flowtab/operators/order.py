@@ -64,12 +64,16 @@ def batch(df: DataFrame, size: int, drop_last: bool) -> DataFrame:
     return out.join(full, "shard").where(F.col("batch") < F.col("__ft_full")).select(*out.columns)
 
 
-def label_plan(df: DataFrame, classes: int, idx: str = "idx", num: int | None = None) -> DataFrame:
-    """Equal images for each class, in class order, over rows numbered from 0; ``num`` must divide evenly."""
+def label_plan(df: DataFrame, classes: int, idx: str = "idx", num: int | None = None, even: bool = True) -> DataFrame:
+    """Equal images for each class, in class order, over rows numbered from 0; ``num`` must divide evenly.
+
+    With ``even`` False any ``num`` will do: the rows left over are numbered on from ``classes``; where there are fewer rows than classes, all are null.
+    """
     num = df.count() if num is None else num
-    if num % classes:
+    if num % classes and even:
         raise ValueError(f"{num} images cannot be dealt evenly to {classes} classes")
-    return df.withColumn("label", F.floor(F.col(idx) / (num // classes)).cast("int"))
+    each = num // classes
+    return df.withColumn("label", F.floor(F.col(idx) / each).cast("int") if each else F.lit(None).cast("int"))
 
 
 def generation_plan(df: DataFrame, batch_size: int, world: int, idx: str = "idx") -> DataFrame:

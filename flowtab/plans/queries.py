@@ -471,7 +471,8 @@ def e4_batch(spark, sf_dir):
 
 @query("SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS idx, ((row_number() OVER (ORDER BY vec_id) - 1) // ((SELECT count(*) FROM embeddings) // 10))::INT AS label FROM embeddings")
 def e5_label_plan(spark, sf_dir):
-    return order.label_plan(order.global_index(X.imgs(spark, sf_dir).select("id"), ["id"]), 10)
+    rows = order.global_index(X.imgs(spark, sf_dir).select("id"), ["id"])
+    return order.label_plan(rows, 10, even=False)
 
 
 @query(f"SELECT vec_id AS id, (CASE WHEN {U(repr('0:drop'), 'vec_id')} < 0.1 THEN 10 ELSE label END)::INT AS label FROM embeddings")
