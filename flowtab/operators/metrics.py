@@ -242,32 +242,62 @@ def inception_score(df: DataFrame, probs: str = "p", split: Column | None = None
 def fit_class_gaussian(df: DataFrame, null_class: int, col: str = "target") -> DataFrame:
     """``label, mu, var``: mean and population variance of each pixel by class, and over all as the null class.
 
-    Each task adds up, for each label, the differences from one image (the pilot), their squares and the rows; Spark adds up
-    the tasks' sums. Nothing is listed by task.
+    Each task adds up, for each label, the differences from one image (the pilot), their squares and the pixels there are; the tasks' sums meet
+    by label and are added up as they come. Nothing is listed by task.
+
+    Null pixels, and those that a shorter or null image does not have, count for nothing; a pixel that no image of a class has is null. Images
+    without a label are a class of their own, with a null label, and count in the null class.
     """
     import numpy as np
-
-    rows = df.where("label is not null").select("label", F.col(col).cast("array<double>").alias("x"))
-    some = rows.where("x is not null").take(1)
-    pilot = np.array(some[0].x) if some else np.zeros(0)
-    d = len(pilot)
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = df.select(F.col("label").cast("int").alias("label"), F.col(col).cast("array<double>").alias("x"))
+    some = rows.where("x is not null").select(F.transform("x", lambda v: F.when(F.abs(v) < float("inf"), v).otherwise(0.0)).alias("x")).take(1)
+    pilot = np.array(some[0].x if some else [], float)
+    doubles = pa.list_(pa.float64())
+    parts = pa.schema([("label", pa.int32()), ("s", doubles), ("q", doubles), ("n", doubles)])
+    fitted = pa.schema([("label", pa.int32()), ("mu", doubles), ("var", doubles)])
+
+    def added(found: dict, label: int | None, sums) -> None:
+        """Add an array of sums, squares and counts to the label's, whichever is wider."""
+        if label in found and found[label].shape[1] < sums.shape[1]:
+            found[label], sums = sums.copy(), found[label]
+        if label in found:
+            found[label][:, : sums.shape[1]] += sums
+        else:
+            found[label] = sums.copy()
 
     def partial(batches: Iterable) -> Iterator:
-        import pandas as pd
-
-        found: dict[int, object] = {}
-        for pdf in batches:
-            for label, at in pdf.groupby("label").indices.items():
-                x = np.stack(pdf["x"].iloc[at].to_list()) - pilot
-                sums = np.concatenate([x.sum(0), (x * x).sum(0), [len(x)]])
-                for k in (label, null_class):
-                    found[k] = found[k] + sums if k in found else sums
-        yield pd.DataFrame({"label": list(found), "x": list(found.values())})
+        found: dict = {}
+        for batch in batches:
+            labels, images = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            lengths = pc.fill_null(pc.list_value_length(images), 0).to_numpy(zero_copy_only=False)
+            unknown = np.isnan(labels.astype(float))
+            for label in np.unique(labels[~unknown]).astype(int).tolist() + [None] * bool(unknown.any()):
+                own = unknown if label is None else labels == label
+                for d in np.unique(lengths[own]).tolist():
+                    x = images.take(pa.array(np.flatnonzero(own & (lengths == d)))).flatten()
+                    there = pc.is_valid(x).to_numpy(zero_copy_only=False).reshape(-1, d) if d else np.zeros((1, 0), bool)
+                    x = (pc.fill_null(x, 0.0).to_numpy(zero_copy_only=False).reshape(-1, d) if d else np.zeros((1, 0))) - np.pad(pilot, (0, max(0, d - len(pilot))))[:d]
+                    x = np.where(there, x, 0.0)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        sums = np.stack([x.sum(0), (x * x).sum(0), there.sum(0).astype(float)])
+                        for k in {label, null_class}:
+                            added(found, k, sums)
+        for label, sums in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), *(pa.array([r], doubles) for r in sums)], schema=parts)
 
     def final(batches: Iterable) -> Iterator:
-        for pdf in batches:
-            x = np.stack(pdf["x"].to_list()) if len(pdf) else np.zeros((0, 2 * d + 1))
-            n, shift = x[:, -1:], x[:, :d] / x[:, -1:]
-            yield type(pdf)({"label": pdf["label"], "mu": list(pilot + shift), "var": list(np.maximum(0, x[:, d : 2 * d] / n - shift * shift))})
-
-    return _summed(rows.mapInPandas(partial, "label int, x array<double>"), "label").mapInPandas(final, "label int, mu array<double>, var array<double>")
+        found: dict = {}
+        for batch in batches:
+            for label, *sums in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                added(found, label, np.stack([r.values.to_numpy() for r in sums]))
+        for label, (s, q, n) in found.items():
+            with np.errstate(divide="ignore", invalid="ignore"):
+                shift = s / n
+                mu, var = np.pad(pilot, (0, max(0, len(s) - len(pilot))))[: len(s)] + shift, np.maximum(0, q / n - shift * shift)
+            yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), *(pa.array([pa.array(v, mask=n == 0)], doubles) for v in (mu, var))], schema=fitted)
+
+    sums = rows.mapInArrow(partial, "label int, s array<double>, q array<double>, n array<double>")
+    return sums.repartition("label").mapInArrow(final, "label int, mu array<double>, var array<double>")

@@ -251,7 +251,8 @@ def _stats(spark, sf_dir):
 @query(f"WITH {PX}, {_MEANS}, d AS (SELECT DISTINCT id, {_DROPPED} AS label FROM px), e AS (SELECT id, d.label, pos, mu AS vec FROM d JOIN c USING (label)) " + dig("e", "vec", by="id, label"))
 def c5_lookup_embedding(spark, sf_dir):
     rows = flow.label_dropout(X.imgs(spark, sf_dir).select("id", "label"), 0.2, 10, 5)
-    return digest(params.lookup_embedding(rows, _stats(spark, sf_dir).withColumnRenamed("mu", "vec")), "vec", by=("id", "label"))
+    known = rows.where("label is not null")
+    return digest(params.lookup_embedding(known, _stats(spark, sf_dir).withColumnRenamed("mu", "vec")), "vec", by=("id", "label"))
 
 
 def _ema_sql(decay: float, name: str = "ema") -> str:
@@ -698,8 +699,12 @@ def g13_class_gaussian(spark, sf_dir):
 # H. Batch scoring
 
 
-def _with_stats(spark, sf_dir):
-    return scoring.with_class_gaussian(X.pairs(spark, sf_dir), _stats(spark, sf_dir), 10)
+def _with_stats(spark, sf_dir, numbered=False):
+    """Pairs that have a label, beside its Gaussian, and an array of the images' size. All pairs are numbered before, if asked for."""
+    rows = X.pairs(spark, sf_dir)
+    rows = order.global_index(rows, ["id"]) if numbered else rows
+    blank = F.array_repeat(F.lit(0.0), F.col("h") * F.col("w") * F.col("c"))
+    return scoring.with_class_gaussian(rows.where("label is not null").withColumn("blank", blank), _stats(spark, sf_dir), 10)
 
 
 def _v_sql(z: str, t: float, scale: float, low: float, high: float) -> str:
@@ -757,8 +762,8 @@ def h4_heun_step(spark, sf_dir):
 @query(f"WITH {_sampled_sql(N(repr('0:noise'), 'pr.id', 'pr.pos'), 'heun', 4, 2.0, 0.1, 0.9)} " + dig("(SELECT id, pos, z AS pixels FROM z4)", "pixels"))
 def h5_generate(spark, sf_dir):
     """The class Gaussians as a callable over stacks, with noise by id made beside them."""
-    rows = _with_stats(spark, sf_dir).select("id", "label", "target", "mu", "var", "mu_null", "var_null")
-    out = scoring.generate_with(rows, scoring.class_gaussian_arrays(), 10, "heun", 4, 2.0, low=0.1, high=0.9, carry=("mu", "var", "mu_null", "var_null"))
+    rows = _with_stats(spark, sf_dir).select("id", "label", "blank", "mu", "var", "mu_null", "var_null")
+    out = scoring.generate_with(rows, scoring.class_gaussian_arrays(), 10, "heun", 4, 2.0, low=0.1, high=0.9, like="blank", carry=("mu", "var", "mu_null", "var_null"))
     return digest(out, "pixels")
 
 
@@ -774,9 +779,9 @@ def h6_restore(spark, sf_dir):
 )
 def h7_evaluate_generation(spark, sf_dir):
     """Images generated for every embedding's label, with their file names; the scores go to the metric log."""
-    rows = order.global_index(_with_stats(spark, sf_dir), ["id"])
+    rows = _with_stats(spark, sf_dir, numbered=True)
     made, _ = evaluate.evaluate_generation(
-        rows, scoring.predictor("class_gaussian"), lambda px: F.slice(px, 1, 10), None, 10, 32, 2, log=scratch(spark, "metric-log"), steps=3, method="euler"
+        rows, scoring.predictor("class_gaussian"), lambda px: F.slice(px, 1, 10), None, 10, 32, 2, log=scratch(spark, "metric-log"), steps=3, method="euler", like="blank"
     )
     return digest(made, "u8", by=("idx", "file_name", "step", "rank", "slot"))
 
@@ -820,9 +825,9 @@ def h8_restore_folder(spark, sf_dir):
 )
 def h7_generation_scores(spark, sf_dir):
     """Both scores, from the log. The stored statistics are a point (no spread), which SQL can follow."""
-    rows, log = order.global_index(_with_stats(spark, sf_dir), ["id"]), scratch(spark, "metric-log")
+    rows, log = _with_stats(spark, sf_dir, numbered=True), scratch(spark, "metric-log")
     stats = spark.createDataFrame([(8, [0.25] * 10, [[0.0] * 10] * 10)], "res int, mu array<double>, sigma array<array<double>>")
-    evaluate.evaluate_generation(rows, scoring.predictor("class_gaussian"), lambda px: F.slice(px, 1, 10), stats, 10, 32, 2, res=8, log=log, steps=3, method="euler")
+    evaluate.evaluate_generation(rows, scoring.predictor("class_gaussian"), lambda px: F.slice(px, 1, 10), stats, 10, 32, 2, res=8, log=log, steps=3, method="euler", like="blank")
     return sinks.read_metric_log(spark, log).select("tag", rounded(F.col("value")).alias("value"))
 
 
