@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,37 +77,43 @@ def salted_left(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 BITS_EACH, PLACES, FILTER_BITS = 12, 6, 1 << 27
 
 
-def _filter_place(key: Column, k: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(k), key), F.lit(bits))
+def _filter_word(key: Column, words: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(0), key), F.lit(words)).cast("int")
 
 
-def key_filter(keys: DataFrame, key: str, most_bits: int = FILTER_BITS) -> tuple[bytes, int] | None:
-    """A Bloom filter of a column's values, sized by their number, and its bits; None where it would be larger than ``most_bits``."""
+def _filter_mask(key: Column) -> Column:
+    """The places of a key, all in its word of 64 bits: each by six bits of a second hash."""
+
+    def places(h: Column) -> Column:
+        bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(PLACES)]
+        return reduce(Column.bitwiseOR, bits)
+
+    return F.transform(F.array(F.xxhash64(F.lit(1), key)), places)[0]
+
+
+def key_filter(keys: DataFrame, key: str, most_bits: int = FILTER_BITS) -> tuple[Column, int] | None:
+    """A Bloom filter of a column's values, sized by their number, and its words; None where it would be larger than ``most_bits``.
+
+    The filter is a scalar subquery: as a literal, every text of a plan that has it would spell it out, and the driver keeps many.
+    """
     import numpy as np
 
-    bits = max(64, 1 << (BITS_EACH * max(1, keys.count()) - 1).bit_length())
-    if bits > most_bits:
+    spark = keys.sparkSession
+    words = max(64, 1 << (BITS_EACH * max(1, keys.count()) - 1).bit_length()) // 64
+    if 64 * words > most_bits:
         return None
-    places = keys.select(F.explode(F.array(*(_filter_place(F.col(key), k, bits) for k in range(PLACES)))).alias("p"))
-    masks = places.groupBy(F.floor(F.col("p") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("mask")).toArrow()
-    out = np.zeros(bits // 32, "<u4")
-    out[masks["word"].to_numpy()] = masks["mask"].to_numpy().astype("<u4")
-    return out.tobytes(), bits
-
-
-def may_hold(found: tuple[bytes, int], key: Column) -> Column:
-    """Whether a key may be in the filter: true for all that are, and for one in some hundreds of others."""
-    data, bits = found
-
-    def is_set(k: int) -> Column:
-        place = _filter_place(key, k, bits)
-        byte = F.conv(F.hex(F.substring(F.lit(data), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        return F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-    out = is_set(0)
-    for k in range(1, PLACES):
-        out = out & is_set(k)
-    return out
+    masks = keys.groupBy(_filter_word(F.col(key), words).alias("word")).agg(F.bit_or(_filter_mask(F.col(key))).alias("mask")).toArrow()
+    out = np.zeros(words, "<i8")
+    out[masks["word"].to_numpy()] = masks["mask"].to_numpy()
+    whole = pa.table({"words": pa.ListArray.from_arrays(pa.array([0, words], pa.int32()), pa.array(out))})
+    return spark.createDataFrame(whole).repartition(1).scalar(), words
+
+
+def may_hold(found: tuple[Column, int], key: Column) -> Column:
+    """Whether a key may be in the filter: true for all that are, and for some hundredths of others."""
+    data, words = found
+    mask = _filter_mask(key)
+    return F.get(data, _filter_word(key, words)).bitwiseAND(mask) == mask
 
 
 def dealt_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, salt: Column, share: int = 256) -> DataFrame:
