@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtab.llm import line_dedup, near_copies, packing, secrets, toxicity
+from flowtab.llm import line_dedup, near_copies, packing, secrets, simhash, toxicity
 from flowtab.llm.common import shared_path
 from flowtab.llm.queries import table, vocabulary
 
@@ -29,7 +29,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.keep_one(docs)
+    """SimHash components first, as in op10; of the texts they leave, those that are alike by their exact shingles go too."""
+    return near_copies.keep_one(simhash.keep_one(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -120,3 +120,22 @@ def test_texts_of_one_hash_are_kept(spark, monkeypatch):
     forged = spark.createDataFrame([(r.doc_id, bytes(r.row_key), node if r.doc_id in (0, 1, 2, 8) else r.node, r.check, r.n, r.bands) for r in signed], near_copies._signed(df, "doc_id", "text").schema)
     monkeypatch.setattr(near_copies, "_signed", lambda *_: forged)
     assert sorted(r.doc_id for r in near_copies.keep_one(df).collect()) == list(range(8))
+
+
+def test_pipeline_goes_by_simhash_first_and_by_shingles_then(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(61)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(n))
+    phrase, base = words(13), words(300).split()
+    # Shingles that are repeated weigh in SimHash and not in sets; some words changed tell fingerprints apart and leave the sets alike.
+    linked = [" ".join([phrase] * 60 + [words(30)]) for _ in range(2)]
+    changed = base[:20] + words(6).split() + base[26:]
+    texts = [*linked, " ".join(base), " ".join(changed), words(40)]
+    bits = [simhash.fingerprint(t) for t in texts]
+    apart = lambda i, j: ((bits[i] ^ bits[j]) & (1 << 64) - 1).bit_count()
+    alike = lambda i, j: len(set(near_copies.shingles(texts[i])) & set(near_copies.shingles(texts[j]))) / len(set(near_copies.shingles(texts[i])) | set(near_copies.shingles(texts[j])))
+    assert apart(0, 1) <= simhash.MAX_BITS and alike(0, 1) < near_copies.ALIKE
+    assert apart(2, 3) > simhash.MAX_BITS and alike(2, 3) >= near_copies.ALIKE
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 2, 4]
