@@ -127,7 +127,13 @@ class Rows:
 
         self.flat, self.sizes = np.asarray(flat, np.int64), np.asarray(sizes, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    @property
+    def row(self):
+        """The row of each number; made when it is asked for, as it is as large as the numbers."""
+        import numpy as np
+
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
 
     def __len__(self) -> int:
         return len(self.sizes)

@@ -36,8 +36,8 @@ SAMPLE, NUMBERS, MEMO, MEMO_WORD = 16_000, 24_000_000, 100_000, 64
 RANK = 8
 #: Support of a term in pairs: documents of label 1, and their share. Evidence of a pair (of e^-20 by chance).
 PAIR_DOCUMENTS, PAIR_SHARE, EVIDENCE = 8, 0.02, 20.0
-#: Terms of one block of the pair sums.
-_SIDE = 512
+#: Terms of one block of the pair sums, and rows that are scored at a time while learning.
+_SIDE, _ROWS = 512, 256
 
 
 def _terms(text: str | None) -> list[int]:
@@ -94,9 +94,15 @@ class FactorizationMachine:
     def logits(self, rows: Rows):
         import numpy as np
 
-        v, n = self.v[rows.flat], len(rows)
-        sums = np.stack([np.bincount(rows.row, v[:, f], n) for f in range(v.shape[1])], 1)
-        return self.w0 + np.bincount(rows.row, self.w[rows.flat], n) + 0.5 * ((sums**2).sum(1) - np.bincount(rows.row, (v**2).sum(1), n))
+        out = np.empty(len(rows))
+        for at in range(0, len(rows), _ROWS):  # the vectors of all terms of all rows would be many times the rows
+            which = np.arange(at, min(at + _ROWS, len(rows)))
+            (places, seg), n = rows.places(which), len(which)
+            idx = rows.flat[places]
+            v = self.v[idx]
+            sums = np.stack([np.bincount(seg, v[:, f], n) for f in range(v.shape[1])], 1)
+            out[which] = self.w0 + np.bincount(seg, self.w[idx], n) + 0.5 * ((sums**2).sum(1) - np.bincount(seg, (v**2).sum(1), n))
+        return out
 
     def logit(self, numbers: list[int]) -> float:
         if not numbers:
@@ -201,6 +207,7 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAM
     got = numbered.orderBy("doc_id").toArrow()  # bounded by both parameters; the same order in each run
     lists, y, part = got["numbers"].combine_chunks(), got["y"].to_numpy(), got["fold"].to_numpy()
     rows = Rows(lists.flatten().to_numpy(), lists.value_lengths().to_numpy())
+    del got, lists
 
     number = lambda ts: np.array(sorted(index[t] for t in ts), np.int64)
     known, probability = number(alone), np.zeros(len(y))
