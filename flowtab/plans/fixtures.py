@@ -92,11 +92,11 @@ def rounded(c: Column, digits: int = 6) -> Column:
 
 
 def digest(df: DataFrame, *columns: str, by: tuple[str, ...] = ("id",), digits: int = 6) -> DataFrame:
-    """Of each array column its sum and its sum weighted by place."""
+    """Of each array column its sum and its sum weighted by place. As in SQL, null elements count for nothing, and sums of nulls alone are null."""
+    known = lambda values: F.aggregate(values.cast("array<double>"), F.lit(None).cast("double"), lambda a, x: F.coalesce(a + x, a, x))
     out = []
     for c in columns:
-        weighted = F.zip_with(c, F.sequence(F.lit(1), F.size(c)), lambda x, i: x * i)
-        out += [rounded(A.total(F.col(c).cast("array<double>")), digits).alias(f"{c}_sum"), rounded(A.total(weighted.cast("array<double>")), digits).alias(f"{c}_pos")]
+        out += [rounded(known(F.col(c)), digits).alias(f"{c}_sum"), rounded(known(F.transform(c, lambda x, i: x * (i + 1))), digits).alias(f"{c}_pos")]
     return df.select(*by, *out)
 
 
