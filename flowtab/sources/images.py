@@ -36,10 +36,23 @@ def relative(path: Column | str, root: str) -> Column:
     return F.substring_index(path, base + "/", -1)
 
 
+#: Scan partitions of single files that one task reads, at most.
+FILES_WAYS = 64
+
+
+def gathered(files: DataFrame) -> DataFrame:
+    """A scan of single files, with many to a task. No row moves.
+
+    Spark counts megabytes for opening a file, so that a task would have some files only, however small; each task's result goes to the driver.
+    """
+    scans, least = files.rdd.getNumPartitions(), 4 * files.sparkSession.sparkContext.defaultParallelism
+    return files.coalesce(max(least, -(-scans // FILES_WAYS))) if scans > least else files
+
+
 def scan_images(spark: SparkSession, root: str, index: bool = False) -> DataFrame:
     """``path, rel`` of all images below a folder; contents are not read. ``index`` adds ``idx``, by path components."""
     paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    found = image_paths(paths).withColumn("rel", relative("path", root))
+    found = image_paths(gathered(paths)).withColumn("rel", relative("path", root))
     return global_index(found.withColumn("__ft_order", F.split("rel", "/")), ["__ft_order"]).drop("__ft_order") if index else found
 
 
@@ -78,13 +91,13 @@ def read_labeled_images(spark: SparkSession, root: str) -> DataFrame:
 def read_images(spark: SparkSession, root: str) -> DataFrame:
     """Decoded images ``path, h, w, c, pixels`` (RGB, 0..255). Files that cannot be decoded are left out."""
     raw = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(root).select("image.*")
-    return decode_images(raw)
+    return decode_images(gathered(raw))
 
 
 def count_undecodable(spark: SparkSession, root: str) -> int:
     """Images by name that the image source cannot decode."""
     rows = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(root).select("image.origin", "image.height")
-    return image_paths(rows, "origin").where("height <= 0").count()
+    return image_paths(gathered(rows), "origin").where("height <= 0").count()
 
 
 def decode_images(raw: DataFrame) -> DataFrame:
