@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtab.llm import line_dedup, near_copies, packing, secrets, simhash, toxicity
-from flowtab.llm.common import shared_path
+from flowtab.llm.common import shared_path, stored
 from flowtab.llm.queries import table, vocabulary
 
 
@@ -29,8 +29,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash components first, as in op10; of the texts they leave, those that are alike by their exact shingles go too."""
-    return near_copies.keep_one(simhash.keep_one(docs))
+    """SimHash components first, as in op10; of the texts they leave, those that are alike by their exact shingles go too.
+
+    What SimHash leaves is stored: the shingles read it four times, and each time its joins would be planned, compiled and run again.
+    """
+    return near_copies.keep_one(stored(simhash.keep_one(docs), "simhash"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
