@@ -2,14 +2,18 @@
 
 Texts are split into pieces and words. The first relation holds the occurrences ``(doc, piece, pos, g)`` of the frequent words of
 each language, ``g`` being the word's number. A longer phrase is a pair of neighbours: an occurrence of ``k`` words at ``pos`` and one at
-``pos + 1`` make one of ``k + 1`` words. So each round merge-joins the relation with itself by piece and adjacent position, counts the groups ``(a, b)``,
-numbers those that are frequent, and keeps the occurrences of these alone (a semi-join that also brings the number) as the next relation.
+``pos + 1`` make one of ``k + 1`` words. So each round merge-joins the relation with itself by piece and adjacent position, counts the groups of
+equal words, and keeps the occurrences of those that are frequent (a semi-join) as the next relation. A phrase is told by the numbers of its
+words, two or three of them packed in one ``bigint`` (``g, g1, ...``), so no occurrence is looked up to be named, and none moves.
 Parts of a frequent phrase are frequent, so nothing is lost.
 
 Relations are written as tables bucketed by document and sorted by ``doc, piece, pos``: texts move once, before they are split, and
 every merge-join finds its sides in place and in order. All occurrences of a piece come from one row of the input, so a hot
-word or phrase never gathers in a task: groups are counted within tasks before they are shuffled, and the frequent ones are sent to all
-tasks where they are fewer than ``MOST_SENT`` (counted first), else occurrences meet them by a join with dealt keys.
+word or phrase never gathers in a task: groups are counted within tasks before they are shuffled. The frequent ones are sent to all tasks where they
+are fewer than ``MOST_SENT`` (counted first), beyond that a Bloom filter of them is, and beyond its 16 MB nothing: occurrences that are kept
+too many make groups that are counted exactly in the next round, and found to be too few there. Words are sent by a 64-bit hash,
+seeded so that no two words of the tables share it; beyond ``WORDS_SENT`` times as many they meet their occurrences by a join with dealt keys.
+On disk are two relations at a time at most, in a database of their own in the shared folder, and one step's shuffles.
 
 Edge cases. A null text has no words; a null language is ``und``. Texts and pieces of any length are split by one task, line by
 line of the relation. Repeated rows count as often as they stand there. Ties of the lowest score of a phrase's cuts go to the shortest first
@@ -21,16 +25,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import salted_left, shared_path, stored
+from ..operators.order import global_index
+from .common import key_filter, may_hold, salted_left, shared_path, stored
 
 #: Occurrences from which on a phrase is frequent, the longest phrase in words, and the phrases of each language that are returned.
 LEAST, LONGEST, FIRST = 100, 5, 2000
-#: Numbered groups that are sent to all tasks, and the bytes of words; beyond either they are joined by a shuffle.
-MOST_SENT, MOST_BYTES = 500_000, 32 << 20
+#: Frequent groups that are sent to all tasks, and times as many spellings of words; beyond the one a filter is sent, beyond the other they are joined by a shuffle.
+MOST_SENT, WORDS_SENT = 500_000, 4
 #: Words of one bucket, and the fewest and most buckets.
 BUCKET_WORDS, LEAST_BUCKETS, MOST_BUCKETS = 3_000_000, 8, 100_000
 _PLACE = ["doc", "piece", "pos"]
@@ -39,8 +45,11 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @contextmanager
 def _ordered_buckets(spark: SparkSession) -> Iterator[None]:
-    """Let a scan of a bucket's one file tell its order, and buckets by document serve joins by document, piece and place."""
-    wanted = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    """Let a scan of a bucket's one file tell its order, buckets by document serve joins by document, piece and place, and shuffles go with their step."""
+    wanted = {
+        "spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.requireAllClusterKeysForCoPartition": "false",
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    }
     before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
@@ -51,10 +60,24 @@ def _ordered_buckets(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def _relation(df: DataFrame, buckets: int) -> DataFrame:
-    """Write a relation, bucketed and sorted, to the shared folder."""
-    spark, name = df.sparkSession, f"flowtab_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(buckets, "doc").sortBy(*_PLACE).option("path", shared_path(spark, "relation")).saveAsTable(name)
+@contextmanager
+def _database(spark: SparkSession) -> Iterator[str]:
+    """A database in the shared folder, which goes with its tables' files."""
+    name = f"flowtab_{uuid.uuid4().hex}"
+    path = shared_path(spark, "relations").replace("'", "\\'")
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{path}'")
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+
+
+def _relation(df: DataFrame, buckets: int, name: str | None = None) -> DataFrame:
+    """Write a relation, bucketed and sorted: as table ``name``, or else in a file of the shared folder that stays."""
+    spark, out = df.sparkSession, df.write.format("parquet").bucketBy(buckets, "doc").sortBy(*_PLACE)
+    if name is None:
+        name, out = f"flowtab_{uuid.uuid4().hex}", out.option("path", shared_path(spark, "relation"))
+    out.saveAsTable(name)
     return spark.table(name)
 
 
@@ -66,28 +89,69 @@ def _words(piece: Column) -> Column:
     return F.split(piece, "[\\x20\\x09]+", -1)
 
 
-def _numbered(groups: DataFrame) -> DataFrame:
-    """Write groups with a number ``g`` for each."""
-    return stored(groups.withColumn("g", F.monotonically_increasing_id()), "groups")
+def _seed(raw: DataFrame) -> int:
+    """The first seed by which no two of the words ``lang, raw`` have one hash."""
+    return next(seed for seed in count() if raw.groupBy(_hash(seed).alias("h")).agg(F.count("*").alias("n")).where("n > 1").isEmpty())
+
 
+def _hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "lang", "raw")
 
-def _with_number(rows: DataFrame, groups: DataFrame, keys: list[str], sent: bool, buckets: int) -> DataFrame:
-    """Rows of the numbered groups, with ``g``. ``groups``: ``keys`` and ``g``; ``rows``: keys of the same names, and places."""
+
+def _with_number(rows: DataFrame, spelt: DataFrame, seed: int, sent: bool, buckets: int) -> DataFrame:
+    """Rows ``lang, raw`` of the numbered words, with ``g``, and places."""
     if sent:
-        return rows.join(F.broadcast(groups), keys)
-    left = rows.withColumn("__ft_key", F.struct(*keys))
-    right = groups.select(F.struct(*keys).alias("__ft_group"), "g")
+        return rows.withColumn("h", _hash(seed)).join(F.broadcast(spelt.select(_hash(seed).alias("h"), "g")), "h")
+    left = rows.withColumn("__ft_key", F.struct("lang", "raw"))
+    right = spelt.select(F.struct("lang", "raw").alias("__ft_group"), "g")
     met = salted_left(left, right, "__ft_key", "__ft_group", F.xxhash64(*_PLACE)).where("g is not null")
-    return met.drop("__ft_key", "__ft_group").repartition(buckets, "doc")
+    return met.select(*_PLACE, "g").repartition(buckets, "doc")
 
 
 def _adjacent(relation: DataFrame) -> DataFrame:
-    """Neighbours of a relation: ``doc, piece, pos, a, b``."""
-    x = relation.select(*_PLACE, F.col("g").alias("a"))
-    y = relation.select("doc", "piece", (F.col("pos") - 1).alias("pos"), F.col("g").alias("b"))
+    """Neighbours of a relation: its columns, and ``next``, the last of the second one's numbers."""
+    ids = [c for c in relation.columns if c not in _PLACE]
+    x = relation.select(*_PLACE, *ids)
+    y = relation.select("doc", "piece", (F.col("pos") - 1).alias("pos"), F.col(ids[-1]).alias("next"))
     return x.hint("merge").join(y, _PLACE)
 
 
+class _Packed:
+    """Phrases as words' numbers, as many to a ``bigint`` as go in: the first ones in ``g``, its lowest bits first, the next in ``g1``."""
+
+    def __init__(self, words: int) -> None:
+        self.bits = 21 if words <= 1 << 21 else 31
+        self.each = 63 // self.bits
+
+    def ids(self, k: int) -> list[str]:
+        """The columns of phrases of ``k`` words."""
+        return ["g", *(f"g{i}" for i in range(1, -(-k // self.each)))]
+
+    def longer(self, pairs: DataFrame, k: int) -> DataFrame:
+        """Places and columns of ``k + 1`` words, of neighbours of ``k``."""
+        ids, at = self.ids(k), k % self.each * self.bits
+        last = F.shiftrightunsigned("next", (k - 1) % self.each * self.bits)
+        if not at:
+            return pairs.select(*_PLACE, *ids, last.alias(self.ids(k + 1)[-1]))
+        return pairs.select(*_PLACE, *ids[:-1], F.col(ids[-1]).bitwiseOR(F.shiftleft(last, at)).alias(ids[-1]))
+
+    def parted(self, groups: DataFrame, k: int) -> DataFrame:
+        """``groups`` of ``k + 1`` words, with the columns of the first ``k`` as ``a0, ...`` and the last one's number as ``b``."""
+        ids, at = self.ids(k), k % self.each * self.bits
+        if not at:
+            return groups.select("*", *(F.col(c).alias(f"a{i}") for i, c in enumerate(ids)), F.col(self.ids(k + 1)[-1]).alias("b"))
+        first = [F.col(c) for c in ids[:-1]] + [F.col(ids[-1]).bitwiseAND(F.lit((1 << at) - 1))]
+        return groups.select("*", *(c.alias(f"a{i}") for i, c in enumerate(first)), F.shiftrightunsigned(ids[-1], at).alias("b"))
+
+
+def _frequent(rows: DataFrame, groups: DataFrame, ids: list[str], sent: bool) -> DataFrame:
+    """Rows of the groups; where these are not sent, of some others too."""
+    if sent:
+        return rows.join(F.broadcast(groups.select(*ids)), ids, "left_semi")
+    found = key_filter(groups.select(F.xxhash64(*ids).alias("key")), "key", places=1)
+    return rows if found is None else rows.where(may_hold(found, F.xxhash64(*ids), places=1))
+
+
 def frequent_phrases(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, most_sent: int = MOST_SENT) -> tuple[DataFrame, DataFrame]:
     """All frequent phrases ``lang, words array<string>, f`` of 1 to ``longest`` words, and ``lang, n``, the words of each language."""
     spark = df.sparkSession
@@ -97,30 +161,36 @@ def frequent_phrases(df: DataFrame, lang_col: str = "lang", text_col: str = "tex
     raw = stored(raw.groupBy("lang", "raw").agg(F.count("*").alias("f")), "words")
     totals = raw.groupBy("lang").agg(F.sum("f").alias("n"))
     word = F.translate("raw", _UPPER, _LOWER)
-    words = _numbered(raw.groupBy("lang", word.alias("word")).agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+    words = raw.groupBy("lang", word.alias("word")).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    words = stored(global_index(words, ["lang", "word"], "g"), "groups")
     spelt = stored(raw.withColumn("word", word).join(words.select("lang", "word", "g"), ["lang", "word"]).select("lang", "raw", "g"), "spelt")
-    size = spelt.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("bytes")).first()
+    packed, sent = _Packed(words.count()), spelt.count() <= WORDS_SENT * most_sent
     n = raw.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-n // BUCKET_WORDS)))
 
-    moved = docs.where("text is not null").withColumn("doc", F.monotonically_increasing_id()).repartition(buckets, "doc")
+    moved = docs.where("text is not null").withColumn("doc", F.monotonically_increasing_id())
+    moved = moved.repartition(buckets, "doc") if sent else moved
     split = moved.select("doc", "lang", F.posexplode(_pieces(F.col("text"))).alias("piece", "words")).where("words != ''")
     # Empty words are left by white space at a piece's begin and end alone, so places of words stay adjacent.
     split = split.select("doc", "lang", "piece", F.posexplode(_words(F.col("words"))).alias("pos", "raw")).where("raw != ''")
     phrases = words.select("lang", "g", F.array("word").alias("words"), "f")
     found = phrases.select("lang", "words", "f")
-    with _ordered_buckets(spark):
-        relation = _relation(_with_number(split, spelt, ["lang", "raw"], size["n"] <= most_sent and size["bytes"] <= MOST_BYTES, buckets).select(*_PLACE, "g"), buckets)
-        for _ in range(1, longest):
-            pairs = _adjacent(relation)
-            groups = _numbered(pairs.groupBy("a", "b").agg(F.count("*").alias("f")).where(F.col("f") >= least))
-            first, last = phrases.select(F.col("g").alias("a"), "lang", "words"), phrases.select(F.col("g").alias("b"), F.element_at("words", -1).alias("last"))
-            phrases = stored(groups.join(first, "a").join(last, "b").select("lang", "g", F.concat("words", F.array("last")).alias("words"), "f"), "phrases")
+    with _ordered_buckets(spark), _database(spark) as base:
+        relation = _relation(_with_number(split, spelt, _seed(raw) if sent else 0, sent, buckets).select(*_PLACE, "g"), buckets, f"{base}.r1")
+        for k in range(1, longest):
+            ids = packed.ids(k + 1)
+            longer = packed.longer(_adjacent(relation), k)
+            groups = stored(longer.groupBy(*ids).agg(F.count("*").alias("f")).where(F.col("f") >= least), "groups")
+            first = phrases.select(*(F.col(c).alias(f"a{i}") for i, c in enumerate(packed.ids(k))), "lang", "words")
+            last = words.select(F.col("g").alias("b"), F.col("word").alias("last"))
+            met = packed.parted(groups, k).join(first, [f"a{i}" for i in range(len(packed.ids(k)))]).join(last, "b")
+            phrases = stored(met.select("lang", *ids, F.concat("words", F.array("last")).alias("words"), "f"), "phrases")
             found = found.union(phrases.select("lang", "words", "f"))
             size = groups.count()
-            if not size or _ == longest - 1:
+            if not size or k == longest - 1:
                 break
-            relation = _relation(_with_number(pairs, groups.select("a", "b", "g"), ["a", "b"], size <= most_sent, buckets).select(*_PLACE, "g"), buckets)
+            relation = _relation(_frequent(longer, groups, ids, size <= most_sent), buckets, f"{base}.r{k + 1}")
+            spark.sql(f"DROP TABLE {base}.r{k}")
     return found, totals
 
 

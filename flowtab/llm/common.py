@@ -81,17 +81,18 @@ def _filter_word(key: Column, words: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(0), key), F.lit(words)).cast("int")
 
 
-def _filter_mask(key: Column) -> Column:
+def _filter_mask(key: Column, places: int) -> Column:
     """The places of a key, all in its word of 64 bits: each by six bits of a second hash."""
 
-    def places(h: Column) -> Column:
-        bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(PLACES)]
+    def marked(h: Column) -> Column:
+        bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(places)]
         return reduce(Column.bitwiseOR, bits)
 
-    return F.transform(F.array(F.xxhash64(F.lit(1), key)), places)[0]
+    h = F.xxhash64(F.lit(1), key)
+    return marked(h) if places == 1 else F.transform(F.array(h), marked)[0]
 
 
-def key_filter(keys: DataFrame, key: str, most_bits: int = FILTER_BITS) -> tuple[Column, int] | None:
+def key_filter(keys: DataFrame, key: str, most_bits: int = FILTER_BITS, places: int = PLACES) -> tuple[Column, int] | None:
     """A Bloom filter of a column's values, sized by their number, and its words; None where it would be larger than ``most_bits``.
 
     The filter is a scalar subquery: as a literal, every text of a plan that has it would spell it out, and the driver keeps many.
@@ -102,17 +103,17 @@ def key_filter(keys: DataFrame, key: str, most_bits: int = FILTER_BITS) -> tuple
     words = max(64, 1 << (BITS_EACH * max(1, keys.count()) - 1).bit_length()) // 64
     if 64 * words > most_bits:
         return None
-    masks = keys.groupBy(_filter_word(F.col(key), words).alias("word")).agg(F.bit_or(_filter_mask(F.col(key))).alias("mask")).toArrow()
+    masks = keys.groupBy(_filter_word(F.col(key), words).alias("word")).agg(F.bit_or(_filter_mask(F.col(key), places)).alias("mask")).toArrow()
     out = np.zeros(words, "<i8")
     out[masks["word"].to_numpy()] = masks["mask"].to_numpy()
     whole = pa.table({"words": pa.ListArray.from_arrays(pa.array([0, words], pa.int32()), pa.array(out))})
     return spark.createDataFrame(whole).repartition(1).scalar(), words
 
 
-def may_hold(found: tuple[Column, int], key: Column) -> Column:
-    """Whether a key may be in the filter: true for all that are, and for some hundredths of others."""
+def may_hold(found: tuple[Column, int], key: Column, places: int = PLACES) -> Column:
+    """Whether a key may be in the filter of as many places: true for all that are, and for some hundredths of others."""
     data, words = found
-    mask = _filter_mask(key)
+    mask = _filter_mask(key, places)
     return F.get(data, _filter_word(key, words)).bitwiseAND(mask) == mask
 
 
