@@ -14,7 +14,7 @@ from ..operators.images import halving_center_crop, prepare_pairs
 from ..operators.order import generation_plan, global_index
 from ..operators.pairing import check_pairs, class_index, pair_images, self_pair
 from ..sources.files import save_files
-from ..sources.images import read_images, read_labeled_images, relative, resolve_layout, scan_images
+from ..sources.images import read_images, read_labeled_images, relative, role_listing
 from ..sources.sinks import export_images, export_name, write_metric_log
 from .scoring import Predictor, generate, restore
 
@@ -86,22 +86,21 @@ def restore_folder(
     Images are scaled and cut to ``size`` in whole levels, and brought to -1..1 thereafter, before they meet their pair, so only small rows
     move; what a box has outside its image is black. Files that cannot be decoded are left out. Restored files appear all or not at all.
     """
-    base = root.rstrip("/")
-    files = scan_images(spark, base)
-    # Two rows at most.
-    found = {r.role: f"{base}/{r.prefix}" for r in resolve_layout(files, overrides, check=False).where(F.col("split") == split).collect()}
+    found = {role: at for role in ("condition", "target") if (at := role_listing(spark, root, split, role, (overrides or {}).get((split, role))))}
     if "condition" not in found:
         raise ValueError(f"no condition folder for {split}")
 
     def boxes(role: str, name: str) -> DataFrame:
-        images = read_images(spark, found[role]).withColumn("id", relative("path", found[role]))
+        folder, _ = found[role]
+        images = read_images(spark, folder).withColumn("id", relative("path", folder))
         levels = images.select("id", "h", "w", "c", F.col("pixels").cast("array<double>").alias(name))
         return prepare_pairs(levels, size, False, columns=(name,)).withColumn(name, A.normalize(name))
 
-    conditions = scan_images(spark, found["condition"]).select("rel")
+    _, conditions = found["condition"]
     if "target" in found:
-        pairs = check_pairs(pair_images(conditions, scan_images(spark, found["target"]).select("rel")))
-        targets = boxes("target", "target").select(F.col("id").alias("__ft_target"), "target")
+        pairs = check_pairs(pair_images(conditions, found["target"][1]))
+        # The driver lists one folder at a time.
+        targets = cut(boxes("target", "target")).select(F.col("id").alias("__ft_target"), "target")
         rows = pairs.join(targets, F.col("target_rel") == F.col("__ft_target")).select("rel", "target")
     else:
         rows = self_pair(conditions).select("rel", F.lit(None).cast("array<double>").alias("target"))

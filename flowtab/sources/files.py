@@ -174,7 +174,7 @@ def saved_files(spark: SparkSession, path: str) -> DataFrame:
     """``file_name, bytes, content`` of the files below a path; contents are read only where they are asked for. Spark lists no empty files."""
     from pyspark.sql import functions as F
 
-    from .images import gathered, relative
+    from .images import gathered, relative, single_files
 
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    rows = single_files(spark, "binaryFile", path)
     return gathered(rows).select(relative("path", path).alias("file_name"), F.col("length").alias("bytes"), "content")

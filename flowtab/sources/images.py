@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import cut
 from ..operators.order import global_index
 from ..operators.pairing import class_index, split_path
 
@@ -49,9 +51,20 @@ def gathered(files: DataFrame) -> DataFrame:
     return files.coalesce(max(least, -(-scans // FILES_WAYS))) if scans > least else files
 
 
+def single_files(spark: SparkSession, kind: str, root: str, **options: object) -> DataFrame:
+    """A scan of all single files below a folder. The driver has their listing as long as the scan, and no longer: it stays out of the session's cache."""
+    key = "spark.sql.hive.manageFilesourcePartitions"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        return spark.read.format(kind).options(recursiveFileLookup=True, **options).load(root)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def scan_images(spark: SparkSession, root: str, index: bool = False) -> DataFrame:
     """``path, rel`` of all images below a folder; contents are not read. ``index`` adds ``idx``, by path components."""
-    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    paths = single_files(spark, "binaryFile", root).select("path")
     found = image_paths(gathered(paths)).withColumn("rel", relative("path", root))
     return global_index(found.withColumn("__ft_order", F.split("rel", "/")), ["__ft_order"]).drop("__ft_order") if index else found
 
@@ -77,6 +90,21 @@ def resolve_layout(paths: DataFrame, overrides: dict[tuple[str, str], str] | Non
     return found
 
 
+def role_listing(spark: SparkSession, root: str, split: str, role: str, override: str | None = None) -> tuple[str, DataFrame] | None:
+    """The folder that ``resolve_layout`` finds for a role and the stored ``rel`` of its images; None where there is none. One folder is listed at a time."""
+    for prefix in [override] if override else LAYOUT.get((split, role), []):
+        folder = f"{root.rstrip('/')}/{prefix}"
+        try:
+            found = cut(scan_images(spark, folder).select("rel"))
+        except AnalysisException as e:
+            if override or e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        if override or not found.isEmpty():
+            return folder, found
+    return None
+
+
 def labeled(paths: DataFrame) -> DataFrame:
     """``rel, class_name, label`` of images in class folders; a listing has ``rel``, below the split's folder."""
     return class_index(split_path(image_paths(paths, "rel")).where("class_name is not null")).select("rel", "class_name", "label")
@@ -90,13 +118,13 @@ def read_labeled_images(spark: SparkSession, root: str) -> DataFrame:
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
     """Decoded images ``path, h, w, c, pixels`` (RGB, 0..255). Files that cannot be decoded are left out."""
-    raw = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(root).select("image.*")
+    raw = single_files(spark, "image", root, dropInvalid=True).select("image.*")
     return decode_images(gathered(raw))
 
 
 def count_undecodable(spark: SparkSession, root: str) -> int:
     """Images by name that the image source cannot decode."""
-    rows = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(root).select("image.origin", "image.height")
+    rows = single_files(spark, "image", root, dropInvalid=False).select("image.origin", "image.height")
     return image_paths(gathered(rows), "origin").where("height <= 0").count()
 
 
